@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablevault.functions.literals import row_tuple
+from tablevault.functions.names import backup_name
+from tablevault.operators.retention import (UNIT_HOURS, classify_names, prune, prune_by_age,
+                                            prune_by_count, prune_report)
 from tablevault.operators.statements import insert_extended, insert_single
 from tablevault.plans.duck_sql import TABLE_COLUMNS, duck_insert, duck_prefix, duck_tuple
 
@@ -102,3 +105,120 @@ LINEITEM_ORDER = [c for c, _ in TABLE_COLUMNS["lineitem"]]
 def insert_extended_lineitem(spark, sf_dir):
     return insert_extended(read(spark, sf_dir, "lineitem"), "lineitem", key=LINEITEM_ORDER,
                            max_packet=EXT_MAX_PACKET, rows_per_chunk=EXT_ROWS_PER_CHUNK)
+
+
+# --- F4, N1-N4, P1-P7: retention over a listing derived from events ----------------------------
+#
+# One backup name per event: target = event_type, time = ts. Odd user ids use the safe ':' -> '-'
+# form; 'error' targets use a custom pattern, which retention must ignore. Names made at second
+# precision collide, so the listing is deduplicated on (target, filename).
+
+CUSTOM_PATTERN = "backup-{{ .year }}{{ .month }}{{ .day }}-{{ .hour }}{{ .minute }}{{ .second }}.{{ .compression }}"
+PRUNE_NOW = "2024-01-31 00:00:00"
+AGE_HOURS = 24 * 14
+KEEP_COUNT = 25
+# (target, retention) per event type
+POLICIES = [("view", "36h"), ("click", "2w"), ("purchase", "50c"), ("signup", "1m"), ("error", "10c")]
+
+
+def events_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = read(spark, sf_dir, "events")
+    safe = (F.col("user_id") % 2) == 1
+    default = backup_name("ts", "tgz", safe=safe)
+    custom = backup_name("ts", "tgz", pattern=CUSTOM_PATTERN)
+    name = F.when(F.col("event_type") == "error", custom).otherwise(default)
+    return ev.select(F.col("event_type").alias("target"), name.alias("filename")).dropDuplicates()
+
+
+_DUCK_LISTING = """
+listing AS (
+  SELECT DISTINCT event_type AS target,
+    CASE WHEN event_type = 'error'
+         THEN 'backup-' || strftime(ts, '%Y%m%d-%H%M%S') || '.tgz'
+         WHEN user_id % 2 = 1 THEN 'db_backup_' || strftime(ts, '%Y-%m-%dT%H-%M-%SZ') || '.tgz'
+         ELSE 'db_backup_' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '.tgz' END AS filename
+  FROM events
+), classified AS (
+  SELECT target, filename,
+    CASE WHEN regexp_matches(filename, '^db_backup_\\d{4}-\\d{2}-\\d{2}T\\d{2}[:-]\\d{2}[:-]\\d{2}(Z|[\\-\\+]\\d{2}[:-]\\d{2})\\.\\w+$')
+         THEN try_strptime(regexp_replace(substr(filename, 11, 19), '[:-]', '', 'g'), '%Y%m%dT%H%M%S') END AS filetime,
+    CASE WHEN NOT regexp_matches(filename, '^db_backup_\\d{4}-\\d{2}-\\d{2}T\\d{2}[:-]\\d{2}[:-]\\d{2}(Z|[\\-\\+]\\d{2}[:-]\\d{2})\\.\\w+$')
+         THEN 'ignored' ELSE 'matched' END AS status
+  FROM listing
+)"""
+
+
+def _classified(spark, sf_dir):
+    return classify_names(events_listing(spark, sf_dir))
+
+
+@plan("classify_backups", f"WITH {_DUCK_LISTING} SELECT target, filename, filetime, status FROM classified")
+def classify_backups(spark, sf_dir):
+    return _classified(spark, sf_dir).select("target", "filename", "filetime", "status")
+
+
+@plan("prune_age", f"""WITH {_DUCK_LISTING}
+SELECT target, filename, filetime FROM classified
+WHERE status = 'matched' AND filetime <= TIMESTAMP '{PRUNE_NOW}' - INTERVAL {AGE_HOURS} HOUR""")
+def prune_age(spark, sf_dir):
+    return prune_by_age(_classified(spark, sf_dir), AGE_HOURS, PRUNE_NOW).select(
+        "target", "filename", "filetime")
+
+
+@plan("prune_count", f"""WITH {_DUCK_LISTING}, ranked AS (
+  SELECT target, filename, filetime,
+         row_number() OVER (PARTITION BY target ORDER BY filetime DESC, filename DESC) AS rn
+  FROM classified WHERE status = 'matched')
+SELECT target, filename, filetime FROM ranked WHERE rn > {KEEP_COUNT}""")
+def prune_count(spark, sf_dir):
+    return prune_by_count(_classified(spark, sf_dir), KEEP_COUNT).select(
+        "target", "filename", "filetime")
+
+
+def _duck_policies() -> str:
+    rows = ", ".join(f"('{t}', '{r}')" for t, r in POLICIES)
+    hours = " ".join(f"WHEN retention LIKE '%{u}' THEN {h}" for u, h in UNIT_HOURS.items())
+    return f"""policies AS (
+  SELECT target, retention,
+    CASE WHEN regexp_matches(retention, '^\\d+[hdwmy]$')
+         THEN CAST(regexp_extract(retention, '^(\\d+)', 1) AS BIGINT) * (CASE {hours} END) END AS hours,
+    CASE WHEN regexp_matches(retention, '^\\d+c$')
+         THEN CAST(regexp_extract(retention, '^(\\d+)', 1) AS BIGINT) END AS cnt
+  FROM (VALUES {rows}) p(target, retention)
+), judged AS (
+  SELECT c.target, c.filename, c.filetime, p.hours, p.cnt,
+         row_number() OVER (PARTITION BY c.target ORDER BY c.filetime DESC, c.filename DESC) AS rn
+  FROM classified c JOIN policies p USING (target) WHERE c.status = 'matched'
+), candidates AS (
+  SELECT target, filename, filetime, 'age' AS rule FROM judged
+  WHERE hours > 0 AND filetime <= TIMESTAMP '{PRUNE_NOW}' - hours * INTERVAL 1 HOUR
+  UNION ALL
+  SELECT target, filename, filetime, 'count' AS rule FROM judged
+  WHERE coalesce(hours, 0) <= 0 AND cnt > 0 AND rn > cnt
+)"""
+
+
+def _policies_df(spark):
+    return spark.createDataFrame(POLICIES, "target string, retention string")
+
+
+@plan("prune_policies", f"WITH {_DUCK_LISTING}, {_duck_policies()} SELECT * FROM candidates")
+def prune_policies(spark, sf_dir):
+    return prune(events_listing(spark, sf_dir), _policies_df(spark), PRUNE_NOW).select(
+        "target", "filename", "filetime", "rule")
+
+
+@plan("prune_report", f"""WITH {_DUCK_LISTING}, {_duck_policies()},
+per_status AS (
+  SELECT target, count(*) AS n_files, count(*) FILTER (WHERE status = 'matched') AS n_matched,
+         count(*) FILTER (WHERE status = 'ignored') AS n_ignored,
+         count(*) FILTER (WHERE status = 'invalid_date') AS n_invalid_date
+  FROM classified GROUP BY target
+), pruned AS (SELECT target, count(*) AS n_pruned FROM candidates GROUP BY target)
+SELECT s.target, s.n_files, s.n_matched, s.n_ignored, s.n_invalid_date,
+       coalesce(p.n_pruned, 0) AS n_pruned, s.n_matched - coalesce(p.n_pruned, 0) AS n_kept
+FROM per_status s LEFT JOIN pruned p USING (target)""")
+def prune_report_events(spark, sf_dir):
+    listing = events_listing(spark, sf_dir)
+    cands = prune(listing, _policies_df(spark), PRUNE_NOW)
+    return prune_report(listing, cands)
