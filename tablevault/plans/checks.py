@@ -6,13 +6,28 @@ text restates the same result independently; ``__spark_entry__`` wires both into
 
 from __future__ import annotations
 
+import base64
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablevault.functions.literals import row_tuple
-from tablevault.functions.names import backup_name
+from tablevault.functions.literals import EXACT, row_tuple
+from tablevault.operators.audit import (check_begin, dump_report, first_run, missed_runs,
+                                        verify_snapshot)
+from tablevault.operators.restore import (load_inserts, mapping_frame, read_scripts,
+                                          remap_databases)
+from tablevault.plans.script import DumpOptions, dump
+from tablevault.session import ensure_checkpoint_dir
+from tablevault.sinks.writers import decrypt_column, encrypt_column, write_dump
+from tablevault.functions.names import (backup_name, extension, safe_name, selection_mode,
+                                       target_identity)
+from tablevault.operators.selection import (database_set, ignore_rules_frame, ignore_tables,
+                                            kept_columns, project_columns, select_databases,
+                                            server_variant)
+from tablevault.plans.script import union_all
+from tablevault.sources.tableset import TESTDATA_LAYOUT, columns, databases, parquet_tableset, scan
 from tablevault.operators.retention import (UNIT_HOURS, classify_names, prune, prune_by_age,
                                             prune_by_count, prune_report)
 from tablevault.operators.statements import insert_extended, insert_single
@@ -222,3 +237,310 @@ def prune_report_events(spark, sf_dir):
     listing = events_listing(spark, sf_dir)
     cands = prune(listing, _policies_df(spark), PRUNE_NOW)
     return prune_report(listing, cands)
+
+
+# --- S1-S4, F1-F3: the table set of the driver data -----------------------------------------------
+
+def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(db, table, n_rows) for every table of the test table set (Parquet counts)."""
+    ts = parquet_tableset(spark, sf_dir)
+    rows = [ts.read(db, t).select(F.lit(db).alias("db"), F.lit(t).alias("table"))
+            for (db, t) in ts.readers]
+    return union_all(rows).groupBy("db", "table").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def _duck_inventory() -> str:
+    parts = [f"SELECT '{db}' AS db, '{t}' AS \"table\", count(*) AS n_rows FROM {t}"
+             for db, names in TESTDATA_LAYOUT.items() for t in names]
+    return "inventory AS (" + " UNION ALL ".join(parts) + ")"
+
+
+EXCLUDE_DBS = ["corpus", "nosuchdb"]
+IGNORE_RULES = ["labels", "web.pages", "sales.events", "orders"]
+
+
+@plan("select_databases", f"WITH {_duck_inventory()} SELECT db, \"table\", n_rows FROM inventory "
+      f"WHERE db NOT IN ('corpus')")
+def select_databases_q(spark, sf_dir):
+    inv = inventory(spark, sf_dir)
+    dbs = select_databases(spark, databases(parquet_tableset(spark, sf_dir)), exclude=EXCLUDE_DBS)
+    return inv.join(F.broadcast(dbs.select("db")), "db", "left_semi").select("db", "table", "n_rows")
+
+
+@plan("ignore_tables", f"WITH {_duck_inventory()} SELECT db, \"table\", n_rows FROM inventory "
+      f"WHERE \"table\" NOT IN ('labels', 'orders') AND NOT (db = 'web' AND \"table\" = 'pages')")
+def ignore_tables_q(spark, sf_dir):
+    return ignore_tables(inventory(spark, sf_dir), ignore_rules_frame(spark, IGNORE_RULES))
+
+
+LINEITEM_EXTRAS = {"l_tax": "STORED GENERATED", "l_discount": "VIRTUAL GENERATED",
+                   "l_shipdate": "DEFAULT_GENERATED", "l_linenumber": "auto_increment"}
+
+
+@plan("project_columns", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, "
+      "l_extendedprice, l_returnflag, l_linestatus, l_shipdate FROM lineitem")
+def project_columns_q(spark, sf_dir):
+    ts = parquet_tableset(spark, sf_dir)
+    for col, extra in LINEITEM_EXTRAS.items():
+        ts.mark_column("sales", "lineitem", col, extra)
+    meta = [(r["pos"], r["name"], r["extra"]) for r in
+            kept_columns(columns(ts).where(F.col("table") == "lineitem")).collect()]
+    return project_columns(scan(ts, "sales", "lineitem"), meta)
+
+
+# --- N1-N3, N5, N6, F5, N9 -------------------------------------------------------------------------
+
+@plan("backup_names", """
+SELECT event_id,
+  'db_backup_' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '.tgz' AS name_default,
+  'db_backup_' || strftime(ts, '%Y-%m-%dT%H-%M-%SZ') || '.tbz2' AS name_safe,
+  event_type || '/' || strftime(ts, '%Y/%m/%d/%H%M%S') || '.tar' AS name_custom,
+  'x-<no value>-' || strftime(ts, '%Y') AS name_unknown_key,
+  replace('db_backup_' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '.tgz', ':', '-') AS name_smb
+FROM events""")
+def backup_names(spark, sf_dir):
+    ev = read(spark, sf_dir, "events")
+    return ev.select(
+        "event_id",
+        backup_name("ts", extension(F.lit("gzip"))).alias("name_default"),
+        backup_name("ts", extension(F.lit("bzip2")), safe=True).alias("name_safe"),
+        F.concat(F.col("event_type"), F.lit("/"),
+                 backup_name("ts", "tar", pattern="{{ .year }}/{{ .month }}/{{ .day }}/{{ .hour }}"
+                             "{{ .minute }}{{ .second }}.{{ .compression }}")).alias("name_custom"),
+        backup_name("ts", "tgz", pattern="x-{{ .Sequence }}-{{ .year }}").alias("name_unknown_key"),
+        safe_name(backup_name("ts", "tgz")).alias("name_smb"),
+    )
+
+
+@plan("target_identity", """
+WITH per_user AS (
+  SELECT user_id, list_sort(list(DISTINCT event_type)) AS dbs FROM events GROUP BY user_id
+)
+SELECT user_id, to_json(dbs)::VARCHAR AS databases, CAST(len(dbs) AS INTEGER) AS database_count,
+  CASE WHEN len(dbs) < 5 THEN 'include' ELSE 'all' END AS mode,
+  CASE WHEN len(dbs) < 5 THEN 'mysql:include:server-' || user_id || ':' || array_to_string(dbs, ':')
+       ELSE 'mysql:all:server-' || user_id END AS identity
+FROM per_user""")
+def target_identity_q(spark, sf_dir):
+    ev = read(spark, sf_dir, "events")
+    sets = database_set(ev, "user_id", db="event_type")
+    dbs = F.from_json("databases", "array<string>")
+    include = F.when(F.col("database_count") < 5, dbs).otherwise(F.array().cast("array<string>"))
+    exclude = F.array().cast("array<string>")
+    mode = selection_mode(include, exclude)
+    native = F.concat(F.lit("server-"), F.col("user_id").cast("string"))
+    return sets.select("user_id", "databases", "database_count", mode.alias("mode"),
+                       target_identity(mode, native, include).alias("identity"))
+
+
+# A fleet inventory derived from the corpus: every document is a server whose version and comment
+# come from its language and source; the labels give it the Aria engine (quality) or a Percona
+# plugin (toxic).
+@plan("server_variant", """
+WITH servers AS (
+  SELECT doc_id AS server,
+    CASE WHEN lang = 'de' THEN '10.11.6-MariaDB' ELSE '8.0.' || length(source) END AS version,
+    CASE WHEN lang = 'fr' THEN 'Percona Server (GPL)' WHEN lang = 'es' THEN 'MySQL Community Server'
+         ELSE 'source ' || source END AS comment
+  FROM documents
+), engines AS (SELECT doc_id AS server FROM labels WHERE quality = 1),
+plugins AS (SELECT doc_id AS server FROM labels WHERE toxic = 1)
+SELECT s.server, s.version, s.comment,
+  CASE WHEN lower(s.version) LIKE '%mariadb%' OR lower(s.comment) LIKE '%mariadb%' THEN 'mariadb'
+       WHEN lower(s.comment) LIKE '%percona%' THEN 'percona'
+       WHEN lower(s.comment) LIKE '%mysql%' THEN 'mysql'
+       WHEN s.server IN (SELECT server FROM engines) THEN 'mariadb'
+       WHEN s.server IN (SELECT server FROM plugins) THEN 'percona'
+       ELSE 'mysql' END AS variant
+FROM servers s""")
+def server_variant_q(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    labels = read(spark, sf_dir, "labels")
+    servers = docs.select(
+        F.col("doc_id").alias("server"),
+        F.when(F.col("lang") == "de", F.lit("10.11.6-MariaDB"))
+        .otherwise(F.concat(F.lit("8.0."), F.length("source").cast("string"))).alias("version"),
+        F.when(F.col("lang") == "fr", F.lit("Percona Server (GPL)"))
+        .when(F.col("lang") == "es", F.lit("MySQL Community Server"))
+        .otherwise(F.concat(F.lit("source "), F.col("source"))).alias("comment"))
+    engines = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("server"),
+                                                         F.lit("Aria").alias("engine"))
+    plugins = labels.where(F.col("toxic") == 1).select(F.col("doc_id").alias("server"),
+                                                       F.lit("percona_audit").alias("plugin_name"))
+    return server_variant(servers, engines, plugins)
+
+
+# --- R1-R4, N7, W1, S6: restore ---------------------------------------------------------------------
+
+REMAP = "web:web_restored,corpus:corpus_copy"
+WEB_TABLES = ["events", "pages", "conversations"]
+
+
+def _create_use(db: str) -> list[str]:
+    return [f"CREATE DATABASE /*!32312 IF NOT EXISTS*/ `{db}` /*!40100 DEFAULT CHARACTER SET utf8mb4 "
+            f"COLLATE utf8mb4_0900_ai_ci */ /*!80016 DEFAULT ENCRYPTION='N' */;", f"USE `{db}`;"]
+
+
+def _duck_remap() -> str:
+    consts = " UNION ALL ".join(f"SELECT '{x.replace(chr(39), chr(39) * 2)}' AS stmt"
+                                for x in _create_use("web_restored"))
+    inserts = " UNION ALL ".join(f"SELECT {duck_insert(t, TABLE_COLUMNS[t])} AS stmt FROM {t}"
+                                 for t in WEB_TABLES)
+    return f"{consts} UNION ALL {inserts}"
+
+
+@plan("restore_remap", _duck_remap())
+def restore_remap(spark, sf_dir):
+    head = spark.createDataFrame([(x,) for x in _create_use("web")], "stmt string")
+    body = union_all([insert_single(read(spark, sf_dir, t), t) for t in WEB_TABLES])
+    return remap_databases(head.unionByName(body), mapping_frame(spark, REMAP)).select("stmt")
+
+
+def _roundtrip(spark, sf_dir, table, key, max_packet, rows_per_chunk):
+    df = read(spark, sf_dir, table)
+    stmts = insert_extended(df, table, key=key, max_packet=max_packet, rows_per_chunk=rows_per_chunk,
+                            mode=EXACT)
+    return load_inserts(stmts, table, df.schema)
+
+
+@plan("roundtrip_documents", "SELECT * FROM documents")
+def roundtrip_documents(spark, sf_dir):
+    return _roundtrip(spark, sf_dir, "documents", ["doc_id"], 65536, 200)
+
+
+@plan("roundtrip_orders", "SELECT * FROM orders")
+def roundtrip_orders(spark, sf_dir):
+    """Dump ``orders`` to gzip files in the shared folder, read the files back, load the rows."""
+    ts = parquet_tableset(spark, sf_dir, layout={"sales": ["orders"]})
+    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/roundtrip-{uuid.uuid4().hex}"
+    opts = DumpOptions(max_allowed_packet=65536, rows_per_chunk=5000, mode=EXACT)
+    write_dump(dump(ts, ["sales"], opts), out, compression="gzip")
+    stmts = read_scripts(spark, out).where(F.col("stmt").startswith("INSERT INTO"))
+    return load_inserts(stmts, "orders", read(spark, sf_dir, "orders").schema)
+
+
+# --- A1-A4 -----------------------------------------------------------------------------------------
+
+SALES = TESTDATA_LAYOUT["sales"]
+
+
+def _duck_dump_report() -> str:
+    parts = []
+    for t in SALES:
+        ins = duck_insert(t, TABLE_COLUMNS[t])
+        parts.append(f"SELECT 'sales' AS db, '{t}' AS \"table\", count(*) AS n_statements, "
+                     f"CAST(sum(strlen({ins}) + 1) AS BIGINT) AS n_bytes, max(strlen({ins})) AS max_statement_bytes FROM {t}")
+    return " UNION ALL ".join(parts)
+
+
+@plan("dump_report_sales", _duck_dump_report())
+def dump_report_sales(spark, sf_dir):
+    ts = parquet_tableset(spark, sf_dir)
+    script = dump(ts, ["sales"], DumpOptions(skip_extended_insert=True))
+    return dump_report(script)
+
+
+@plan("verify_snapshot", f"""
+WITH a AS (SELECT {duck_insert('orders', TABLE_COLUMNS['orders'])} AS value FROM orders),
+b AS (SELECT {duck_insert('orders', TABLE_COLUMNS['orders'])} AS value FROM orders
+      WHERE o_orderstatus <> 'P')
+SELECT 'a' AS side, value FROM (SELECT value FROM a EXCEPT ALL SELECT value FROM b)
+UNION ALL
+SELECT 'b' AS side, value FROM (SELECT value FROM b EXCEPT ALL SELECT value FROM a)""")
+def verify_snapshot_q(spark, sf_dir):
+    """Yesterday's dump of orders against today's, where the 'P' orders are gone and the
+    volatile lines (banner, completion time) differ."""
+    orders = read(spark, sf_dir, "orders")
+    a = insert_single(orders, "orders").select(F.col("stmt").alias("value"))
+    b = insert_single(orders.where(F.col("o_orderstatus") != "P"), "orders").select(F.col("stmt").alias("value"))
+    va = spark.createDataFrame([("-- tablevault SQL dump 0.1.0",), ("-- Dump completed on 2024-01-01 00:00:00",),
+                                ("",)], "value string")
+    vb = spark.createDataFrame([("-- tablevault SQL dump 0.1.0",), ("-- Dump completed on 2024-01-02 00:00:00",)],
+                               "value string")
+    return verify_snapshot(a.unionByName(va), b.unionByName(vb))
+
+
+SCHEDULE_BEGIN = "2024-01-01 00:00:00"
+SCHEDULE_END = "2024-01-31 00:00:00"
+SCHEDULE_MINUTES = {"view": 60, "click": 60, "purchase": 45, "signup": 90, "error": 120}
+
+
+def _schedules(spark):
+    return spark.createDataFrame(
+        [(t, f) for t, f in SCHEDULE_MINUTES.items()], "target string, frequency int").select(
+        "target", F.lit(SCHEDULE_BEGIN).cast("timestamp_ntz").alias("begin"),
+        F.lit(SCHEDULE_END).cast("timestamp_ntz").alias("end"), "frequency")
+
+
+def _duck_missed() -> str:
+    rows = ", ".join(f"('{t}', {f})" for t, f in SCHEDULE_MINUTES.items())
+    return f"""
+WITH s AS (SELECT * FROM (VALUES {rows}) v(target, frequency)),
+ticks AS (
+  SELECT s.target, s.frequency, t.tick_no FROM s,
+  LATERAL (SELECT generate_series AS tick_no FROM generate_series(0,
+     CAST(ceil(date_diff('minute', TIMESTAMP '{SCHEDULE_BEGIN}', TIMESTAMP '{SCHEDULE_END}') / s.frequency) AS BIGINT) - 1)) t
+), hit AS (
+  SELECT DISTINCT e.event_type AS target,
+    CAST(floor(epoch_us(e.ts - TIMESTAMP '{SCHEDULE_BEGIN}') / (s.frequency * 60000000.0)) AS BIGINT) AS tick_no
+  FROM events e JOIN s ON s.target = e.event_type
+  WHERE e.ts >= TIMESTAMP '{SCHEDULE_BEGIN}' AND e.ts < TIMESTAMP '{SCHEDULE_END}'
+)
+SELECT target, CAST(tick_no AS BIGINT) AS tick_no,
+  TIMESTAMP '{SCHEDULE_BEGIN}' + tick_no * frequency * INTERVAL 1 MINUTE AS tick
+FROM ticks t WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.target = t.target AND h.tick_no = t.tick_no)"""
+
+
+@plan("missed_runs", _duck_missed())
+def missed_runs_q(spark, sf_dir):
+    runs = read(spark, sf_dir, "events").select(F.col("event_type").alias("target"), "ts")
+    return missed_runs(_schedules(spark), runs)
+
+
+BEGIN_OPTIONS = {"view": "+15", "click": "1023", "purchase": "2359", "signup": "0959", "error": "2401"}
+
+
+def _duck_first_run() -> str:
+    rows = ", ".join(f"('{t}', '{b}')" for t, b in BEGIN_OPTIONS.items())
+    return f"""
+WITH o AS (SELECT * FROM (VALUES {rows}) v(event_type, begin_opt)),
+j AS (
+  SELECT e.event_id, e.ts, o.begin_opt,
+    date_trunc('day', e.ts) + to_minutes(CAST(substr(o.begin_opt, 1, 2) AS BIGINT) * 60
+      + CAST(substr(o.begin_opt, 3, 2) AS BIGINT)) + (e.ts - date_trunc('minute', e.ts)) AS today
+  FROM events e JOIN o USING (event_type)
+)
+SELECT event_id, begin_opt,
+  CASE WHEN begin_opt LIKE '+%' THEN ts + to_minutes(CAST(substr(begin_opt, 2) AS BIGINT))
+       WHEN today > ts THEN today ELSE today + INTERVAL 1 DAY END AS first_run
+FROM j"""
+
+
+@plan("first_run", _duck_first_run())
+def first_run_q(spark, sf_dir):
+    opts = spark.createDataFrame(list(BEGIN_OPTIONS.items()), "event_type string, begin_opt string")
+    ev = read(spark, sf_dir, "events").join(F.broadcast(opts), "event_type")
+    return ev.select("event_id", check_begin("begin_opt").alias("begin_opt"),
+                     first_run("begin_opt", "ts").alias("first_run"))
+
+
+# --- W4 -------------------------------------------------------------------------------------------
+
+# A fixed test key (32 bytes, base64); real keys come from the caller.
+TEST_KEY = base64.b64encode(bytes(range(32))).decode()
+
+
+@plan("encrypt_roundtrip", f"SELECT doc_id, {duck_insert('documents', TABLE_COLUMNS['documents'])} AS stmt FROM documents")
+def encrypt_roundtrip(spark, sf_dir):
+    enc = insert_single(read(spark, sf_dir, "documents"), "documents", keep=["doc_id"]).select(
+        "doc_id", encrypt_column("stmt", TEST_KEY).alias("cipher"))
+    return enc.select("doc_id", decrypt_column("cipher", TEST_KEY).alias("stmt"))
+
+
+# --- D4-D12: whole scripts (rows-only check) -------------------------------------------------------
+
+@plan("script_sales")
+def script_sales(spark, sf_dir):
+    ts = parquet_tableset(spark, sf_dir)
+    opts = DumpOptions(max_allowed_packet=1048576, completed_at="2024-01-01 00:00:00")
+    return dump(ts, ["sales"], opts)
