@@ -167,7 +167,8 @@ def lit_sql(c, dtype: T.DataType, mode: str = COMPAT) -> Column:
         return F.lit(NULL_TEXT)
     else:
         raise TypeError(f"no SQL literal for type {dtype.simpleString()}")
-    return F.coalesce(out, F.lit(NULL_TEXT))
+    # test the input, not the text: format_string('%f', null) gives the word 'null'
+    return F.when(x.isNull(), F.lit(NULL_TEXT)).otherwise(F.coalesce(out, F.lit(NULL_TEXT)))
 
 
 def row_tuple(df: DataFrame, columns: list[str] | None = None, mode: str = COMPAT) -> Column:

@@ -21,6 +21,7 @@ from tablevault.operators.restore import (load_inserts, mapping_frame, read_scri
 from tablevault.plans.script import DumpOptions, dump
 from tablevault.session import ensure_checkpoint_dir
 from tablevault.sinks.writers import decrypt_column, encrypt_column, write_dump
+from tablevault.streaming.continuous import dump_stream, file_stream
 from tablevault.functions.names import (backup_name, extension, safe_name, selection_mode,
                                        target_identity)
 from tablevault.operators.selection import (database_set, ignore_rules_frame, ignore_tables,
@@ -544,3 +545,18 @@ def script_sales(spark, sf_dir):
     ts = parquet_tableset(spark, sf_dir)
     opts = DumpOptions(max_allowed_packet=1048576, completed_at="2024-01-01 00:00:00")
     return dump(ts, ["sales"], opts)
+
+
+# --- A5: streaming dump ------------------------------------------------------------------------------
+
+@plan("stream_dump_events", f"SELECT {duck_insert('events', TABLE_COLUMNS['events'])} AS stmt FROM events")
+def stream_dump_events(spark, sf_dir):
+    """Run the continuous dump once over the events file, then read what the batches wrote."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    schema = read(spark, sf_dir, "events").schema
+    src = file_stream(spark, sf_dir, schema, file_glob="events.parquet")
+    q = dump_stream(src, "events", f"{base}/out", f"{base}/state", once=True)
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return spark.read.text(f"{base}/out").select(F.col("value").alias("stmt"))
