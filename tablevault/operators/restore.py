@@ -127,7 +127,8 @@ def mapping_frame(spark, spec: str) -> DataFrame:
 
 def _strip_comment_lines(c: Column) -> Column:
     # statements of full-mode scripts carry their '--' comment lines; drop them before matching
-    return F.trim(F.regexp_replace(c, r"(?m)^--[^\n]*(\n|$)", ""))
+    # (F.trim only strips spaces; statements also start and end with newlines)
+    return F.regexp_replace(F.regexp_replace(c, r"(?m)^--[^\n]*(\n|$)", ""), r"^\s+|\s+$", "")
 
 
 def remap_databases(stmts: DataFrame, mapping: DataFrame, stmt: str = "stmt",

@@ -1,14 +1,18 @@
 """List the backup files of many targets as one DataFrame.
 
-Each target is a directory URL Hadoop can read (``file:``, ``s3a:``, ``abfss:``, ``hdfs:``...).
-The ``binaryFile`` source lists the files; only ``path``, ``length`` and ``modificationTime`` are
-selected, so file contents are never read.
+Default names contain ``:`` (``db_backup_2024-01-01T00:00:00Z.tgz``), which Hadoop paths cannot
+hold, so the default lister runs the pyarrow filesystem layer inside Spark tasks: targets are
+spread over tasks (one target per task), each task lists its directory and returns only names,
+sizes and times. File contents are never read. ``method="hadoop"`` uses the ``binaryFile`` source
+instead (Hadoop-only schemes such as ``abfss:``; names must not contain ``:``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +26,34 @@ def normalize_url(url: str) -> str:
     return "file://" + url if url.startswith("/") else url
 
 
-def list_backups(spark: SparkSession, targets: list[str]) -> DataFrame:
+def _list_arrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs
+
+    for pdf in batches:
+        for target in pdf["target"]:
+            filesystem, root = fs.FileSystem.from_uri(normalize_url(target))
+            infos = filesystem.get_file_info(fs.FileSelector(root, recursive=False))
+            files = [i for i in infos if i.type == fs.FileType.File]
+            yield pd.DataFrame({
+                "target": [target] * len(files),
+                "filename": [i.base_name for i in files],
+                "length": [int(i.size) for i in files],
+                "modified": pd.to_datetime([i.mtime for i in files], utc=True),
+            })
+
+
+def list_backups(spark: SparkSession, targets: list[str] | DataFrame, method: str = "arrow") -> DataFrame:
     """``(target, filename, length, modified)`` for every file directly inside each target."""
+    if method == "hadoop":
+        names = targets if isinstance(targets, list) else [r.target for r in targets.collect()]
+        return _list_hadoop(spark, names)
+    tdf = (spark.createDataFrame([(t,) for t in targets], "target string")
+           if isinstance(targets, list) else targets.select("target"))
+    n = max(1, tdf.count())
+    return tdf.repartition(n, "target").mapInPandas(_list_arrow, LISTING_SCHEMA)
+
+
+def _list_hadoop(spark: SparkSession, targets: list[str]) -> DataFrame:
     frames = []
     for t in targets:
         df = (spark.read.format("binaryFile").option("recursiveFileLookup", "false")
