@@ -66,18 +66,20 @@ def escape_sql(c) -> Column:
 
 
 def unescape_sql(c) -> Column:
-    """L3: inverse of :func:`escape_sql` (also reads ``\\t``).
+    """L3: inverse of :func:`escape_sql` (also reads ``\\t``), as codegen-friendly regex passes.
 
-    The text is split on escaped backslashes first, so a ``\\\\`` followed by ``n`` is never read as
-    a newline; each piece is unescaped on its own and the pieces are joined with one backslash.
+    An escape ``\\X`` counts only after an even run of backslashes (pairs are escaped
+    backslashes), so ``\\\\n`` stays a backslash and an ``n``; the pairs become single
+    backslashes in a last pass. Values without a backslash skip all of it.
     """
-
-    def piece(x: Column) -> Column:
-        for letter, raw in SQL_UNESCAPES:
-            x = F.replace(x, F.lit("\\" + letter), F.lit(raw))
-        return x
-
-    return F.array_join(F.transform(F.split(_col(c), r"\\\\", -1), piece), "\\")
+    x = _col(c)
+    out = x
+    for letter, raw in SQL_UNESCAPES:
+        pattern = r"(?<!\\)((?:\\\\)*+)\\" + ("\\" + letter if letter in "'\"" else letter)
+        repl = "$1" + raw.replace("\\", "\\\\").replace("$", "\\$")
+        out = F.regexp_replace(out, pattern, repl)
+    out = F.replace(out, F.lit("\\\\"), F.lit("\\"))
+    return F.when(x.contains("\\"), out).otherwise(x)
 
 
 def quote_ident(name: str) -> str:

@@ -101,8 +101,8 @@ def read_scripts(spark, path: str, path_glob: str | None = None) -> DataFrame:
 
 def statements_in_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """INSERT statements of text lines; a compact line may hold several (no Python involved)."""
-    return (lines.withColumn("stmt", F.explode(F.regexp_extract_all(F.col(value), F.lit(STATEMENT_RE), 0)))
-            .drop(value))
+    others = [F.col(c) for c in lines.columns if c != value]
+    return lines.select(*others, F.explode(F.regexp_extract_all(F.col(value), F.lit(STATEMENT_RE), 0)).alias("stmt"))
 
 
 # --- R2, N7: database names -----------------------------------------------------------------------
@@ -200,8 +200,11 @@ def load_inserts(stmts: DataFrame, table: str, schema: T.StructType, stmt: str =
     cols = F.transform(F.split(F.regexp_extract(F.col(stmt), COLUMNS_RE, 1), ", "),
                        lambda c: F.replace(F.regexp_replace(c, r"^`|`$", ""), F.lit("``"), F.lit("`")))
     body = F.substring_index(F.col(stmt), " VALUES ", -1)
-    tuples = mine.select(*keep, cols.alias("_cols"),
-                         F.explode(F.regexp_extract_all(body, F.lit(TUPLE_RE), 0)).alias("_tuple"))
+    # column list and VALUES body first: the explode below then carries only the small ``_cols``
+    # array next to each tuple, never the whole (up to max_packet bytes) statement
+    parts = mine.select(*keep, cols.alias("_cols"), body.alias("_body"))
+    tuples = parts.select(*keep, "_cols",
+                          F.explode(F.regexp_extract_all(F.col("_body"), F.lit(TUPLE_RE), 0)).alias("_tuple"))
     inner = F.col("_tuple").substr(F.lit(2), F.length("_tuple") - 2)
     vals = tuples.select(*keep, "_cols", F.regexp_extract_all(inner, F.lit(VALUE_RE), 0).alias("_vals"))
     out = []

@@ -28,6 +28,19 @@ DEFAULT_ROWS_PER_CHUNK = 10000
 PACKED_SCHEMA = "chunk long, seq int, stmt string, n_rows long, n_bytes long"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over the cluster when the source has fewer splits than cores.
+
+    A big table read from many files is already spread, and this is a no-op; a table stored as a
+    few large row groups would otherwise be rendered by a few tasks only.
+    """
+    spark = df.sparkSession
+    want = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
 def insert_prefix(table: str, columns: list[str]) -> str:
     """``INSERT INTO `t` (`a`, `b`) VALUES `` (the column list is always written)."""
     cols = ", ".join(quote_ident(c) for c in columns)
@@ -38,6 +51,7 @@ def insert_single(df: DataFrame, table: str, columns: list[str] | None = None, m
                   keep: list[str] | None = None) -> DataFrame:
     """One ``INSERT ... VALUES (...);`` per row, as column ``stmt`` (plus ``keep`` columns)."""
     cols = columns or df.columns
+    df = spread(df)
     stmt = F.concat(F.lit(insert_prefix(table, cols)), row_tuple(df, cols, mode), F.lit(";"))
     return df.select(*[F.col(quote_ident(k)) for k in (keep or [])], stmt.alias("stmt"))
 
@@ -140,14 +154,16 @@ def insert_extended(df: DataFrame, table: str, key: list[str] | None = None,
     cols = columns or df.columns
     key = key or cols
     prefix = insert_prefix(table, cols)
-    tup = row_tuple(df, cols, mode)
-    rows = df.select(*[F.col(quote_ident(k)) for k in key], tup.alias("_tuple"))
-    rows = rows.withColumn("_tb", F.octet_length("_tuple").cast("long"))
-    pos = with_positions(rows, key, num_partitions, keep=["_tuple", "_tb"])
+    # sort the typed rows (compact) and render text after the range exchange, where the work is
+    # spread over the range partitions whatever the number of input splits
+    needed = list(dict.fromkeys(list(key) + list(cols)))
+    pos = with_positions(df.select(*[F.col(quote_ident(c)) for c in needed]), key, num_partitions,
+                         keep=list(cols))
+    tup = row_tuple(pos, cols, mode)
     chunked = pos.select(
         (F.col("_pos") / F.lit(rows_per_chunk)).cast("long").alias("_chunk"),
-        "_pos", "_tuple", "_tb",
-    )
+        "_pos", tup.alias("_tuple"),
+    ).withColumn("_tb", F.octet_length("_tuple").cast("long"))
     fold = _pack_chunk(len(prefix.encode("utf-8")), max_packet, prefix)
     return chunked.groupBy("_chunk").applyInPandas(fold, PACKED_SCHEMA)
 
