@@ -15,8 +15,10 @@ number of partitions: the same table always gives the same statements.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablevault.functions.literals import COMPAT, quote_ident, row_tuple
@@ -24,6 +26,7 @@ from tablevault.session import ensure_checkpoint_dir
 
 DEFAULT_MAX_PACKET = 4194304
 DEFAULT_ROWS_PER_CHUNK = 10000
+DEFAULT_CHUNK_BYTES = 64 * 1024 * 1024
 
 PACKED_SCHEMA = "chunk long, seq int, stmt string, n_rows long, n_bytes long"
 
@@ -58,44 +61,60 @@ def insert_single(df: DataFrame, table: str, columns: list[str] | None = None, m
 
 def with_positions(df: DataFrame, key: list[str], num_partitions: int | None = None,
                    keep: list[str] | None = None) -> DataFrame:
-    """Add ``_pos`` (0-based, long): the row's rank in ``key`` order, computed without one task.
+    """Add ``_pos`` (0-based, long): the row's rank in ``key`` order (see :func:`positions`)."""
+    return positions(df, key, num_partitions, keep)[0]
+
+
+def positions(df: DataFrame, key: list[str], num_partitions: int | None = None,
+              keep: list[str] | None = None, measure: Callable[[DataFrame], Column] | None = None):
+    """Rank rows in ``key`` order without one task; returns ``(frame with _pos, stats)``.
 
     The input is range-partitioned and sorted on ``key``; each row's position is the number of
     rows in earlier partitions plus its index inside its own partition. The per-partition counts
-    are one row per partition, so broadcasting them is bounded by the partition count, not by the
-    data. ``key`` should be unique (or the whole row), so that ties are identical rows.
+    are one row per partition (bounded by the partition count, not by the data), so they are
+    brought to the driver and broadcast back as offsets. ``key`` must be unique or the whole row:
+    then rows with equal keys are identical, and a tie-break on input order lets a hot group of
+    identical rows spread over many range partitions without changing any output text.
 
     The range exchange samples its bounds with a seed tied to the plan, so two plans over the
     same input may cut partitions at different keys. The sorted rows are therefore checkpointed
     once (to ``spark.checkpoint.dir``): counts and rows then come from the same partitions, and a
     lost executor re-reads the checkpoint instead of re-sampling.
+
+    ``measure`` (optional) maps the checkpointed frame to a per-row size; its exact total comes
+    back in ``stats["measure"]`` from the same job as the counts.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(quote_ident(k)) for k in key]
+    tie = F.monotonically_increasing_id()
     ordered = (
-        df.repartitionByRange(n, *keys)
-        .sortWithinPartitions(*keys)
+        df.withColumn("_tie", tie)
+        .repartitionByRange(n, *keys, F.col("_tie"))
+        .sortWithinPartitions(*keys, F.col("_tie"))
         .select(*[F.col(quote_ident(c)) for c in (keep or df.columns)],
                 F.spark_partition_id().alias("_pid"),
                 F.monotonically_increasing_id().alias("_mid"))
         .checkpoint(eager=True)
     )
-    counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    offsets = counts.select(
-        "_pid",
-        (F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
-        .alias("_off"),
-    ).fillna(0, subset=["_off"])
+    aggs = [F.count(F.lit(1)).alias("_cnt")]
+    if measure is not None:
+        aggs.append(F.sum(measure(ordered).cast("long")).alias("_size"))
+    per_part = sorted(tuple(r) for r in ordered.groupBy("_pid").agg(*aggs).collect())
+    offsets, total, size = [], 0, 0
+    for row in per_part:
+        offsets.append((row[0], total))
+        total += row[1]
+        size += (row[2] or 0) if measure is not None else 0
+    off_df = spark.createDataFrame(offsets or [(0, 0)], "_pid int, _off long")
     # index inside the partition: monotonically_increasing_id puts the partition id in the upper
     # 31 bits and the record number in the lower 33 bits.
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return (
-        ordered.join(F.broadcast(offsets), "_pid")
-        .withColumn("_pos", (F.col("_off") + local).cast("long"))
-        .drop("_pid", "_mid", "_off")
-    )
+    out = (ordered.join(F.broadcast(off_df), "_pid")
+           .withColumn("_pos", (F.col("_off") + local).cast("long"))
+           .drop("_pid", "_mid", "_off"))
+    return out, {"rows": total, "measure": size if measure is not None else None}
 
 
 def _pack_chunk(prefix_bytes: int, max_packet: int, prefix: str):
@@ -142,9 +161,14 @@ def _pack_chunk(prefix_bytes: int, max_packet: int, prefix: str):
 def insert_extended(df: DataFrame, table: str, key: list[str] | None = None,
                     max_packet: int = DEFAULT_MAX_PACKET, rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK,
                     columns: list[str] | None = None, mode: str = COMPAT,
-                    num_partitions: int | None = None) -> DataFrame:
+                    num_partitions: int | None = None,
+                    chunk_bytes: int = DEFAULT_CHUNK_BYTES) -> DataFrame:
     """D3: extended INSERTs, consecutive tuples packed up to ``max_packet`` bytes.
 
+    A chunk (one pandas group) holds ``rows_per_chunk`` rows, lowered when the table's exact
+    average tuple size would put more than ``chunk_bytes`` of text in one group. The average is
+    a property of the data, so the chunking (and the output) stays the same from run to run.
+
     Returns ``(chunk, seq, stmt, n_rows, n_bytes)``; ``(chunk, seq)`` is the script order. A
     single tuple larger than the limit still gets a statement of its own. ``n_bytes`` counts the
     statement with its ``;``.
@@ -157,8 +181,12 @@ def insert_extended(df: DataFrame, table: str, key: list[str] | None = None,
     # sort the typed rows (compact) and render text after the range exchange, where the work is
     # spread over the range partitions whatever the number of input splits
     needed = list(dict.fromkeys(list(key) + list(cols)))
-    pos = with_positions(df.select(*[F.col(quote_ident(c)) for c in needed]), key, num_partitions,
-                         keep=list(cols))
+    pos, stats = positions(df.select(*[F.col(quote_ident(c)) for c in needed]), key, num_partitions,
+                           keep=list(cols),
+                           measure=lambda d: F.octet_length(row_tuple(d, cols, mode)) + F.lit(1))
+    if stats["rows"] and stats["measure"]:
+        avg = stats["measure"] / stats["rows"]
+        rows_per_chunk = max(1, min(rows_per_chunk, int(chunk_bytes // avg)))
     tup = row_tuple(pos, cols, mode)
     chunked = pos.select(
         (F.col("_pos") / F.lit(rows_per_chunk)).cast("long").alias("_chunk"),
