@@ -82,22 +82,17 @@ def backup_name(ts, ext, pattern: str | None = None, safe: bool | Column = False
 
 def base_name(path) -> Column:
     """Last element of a path (``a/b/c.tgz`` -> ``c.tgz``), trailing slashes ignored."""
-    return F.regexp_extract(_col(path), r"([^/]*)/*$", 1)
+    return F.substring_index(F.regexp_replace(_col(path), "/+$", ""), "/", -1)
 
 
-def name_time(filename, zone_aware: bool = False) -> Column:
-    """Time from a standard backup name, null when it does not match or is no real date.
-
-    The zone suffix is matched but, as in the reference, ignored: the time is read as UTC.
-    ``zone_aware=True`` applies the offset instead. Result type: TIMESTAMP_NTZ (UTC wall time).
-    """
-    b = base_name(filename)
-    g = [F.regexp_extract(b, BACKUP_NAME_RE, i) for i in range(1, 8)]
-    text = F.concat(g[0], F.lit("-"), g[1], F.lit("-"), g[2], F.lit(" "), g[3], F.lit(":"), g[4],
-                    F.lit(":"), g[5])
+def name_time_of_base(b: Column, zone_aware: bool = False) -> Column:
+    """N4 on a base name already extracted (see :func:`name_time`)."""
+    # once the pattern matches, every field sits at a fixed offset:
+    # db_backup_YYYY-MM-DDTHH?MM?SS<zone>.<ext>   (? is ':' or '-')
+    text = F.concat(F.substring(b, 11, 10), F.lit(" "), F.translate(F.substring(b, 22, 8), "-", ":"))
     parsed = F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
     if zone_aware:
-        zone = g[6]
+        zone = F.regexp_extract(b, BACKUP_NAME_RE, 7)
         sign = F.when(F.substring(zone, 1, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
         mins = (F.substring(zone, 2, 2).cast("int") * 60 + F.substring(zone, 5, 2).cast("int"))
         offset = F.when(zone == "Z", F.lit(0)).otherwise(sign * mins)
@@ -105,6 +100,15 @@ def name_time(filename, zone_aware: bool = False) -> Column:
     return F.when(b.rlike(BACKUP_NAME_RE), parsed)
 
 
+def name_time(filename, zone_aware: bool = False) -> Column:
+    """Time from a standard backup name, null when it does not match or is no real date.
+
+    The zone suffix is matched but, as in the reference, ignored: the time is read as UTC.
+    ``zone_aware=True`` applies the offset instead. Result type: TIMESTAMP_NTZ (UTC wall time).
+    """
+    return name_time_of_base(base_name(filename), zone_aware)
+
+
 def target_identity(mode, native_id, dbs) -> Column:
     """``mysql:{mode}:{native_id}[:sorted dbs]``; names only in include / exclude mode."""
     m = _col(mode)

@@ -176,12 +176,14 @@ def _typed(text: Column, raw: Column, dtype: T.DataType) -> Column:
         return text
     if isinstance(dtype, T.BooleanType):
         return text.cast("int").cast("boolean")
+    # dates and times are the casts' own text forms ('YYYY-MM-DD[ HH:MM:SS[.ffffff]]');
+    # TIMESTAMP text is read in the session zone, which the script header pins to UTC
     if isinstance(dtype, T.DateType):
-        return F.to_date(text, "yyyy-MM-dd")
+        return text.cast("date")
     if isinstance(dtype, T.TimestampNTZType):
-        return F.to_timestamp_ntz(text, F.lit("yyyy-MM-dd HH:mm:ss[.SSSSSS]"))
+        return text.cast("timestamp_ntz")
     if isinstance(dtype, T.TimestampType):
-        return F.to_timestamp(text, "yyyy-MM-dd HH:mm:ss[.SSSSSS]")
+        return text.cast("timestamp")
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
         return F.from_json(text, dtype)
     return text.cast(dtype)
@@ -192,25 +194,31 @@ def load_inserts(stmts: DataFrame, table: str, schema: T.StructType, stmt: str =
     """Rows of ``table`` from INSERT statements, typed by ``schema``.
 
     Values are matched to columns by the statement's own column list, so a dump with another
-    column order still loads. Columns missing from the statement come back null.
+    column order still loads. Columns missing from the statement come back null. Each column's
+    index in the list is found once per statement, before the tuples are exploded.
     """
+    from tablevault.operators.statements import spread
+
     keep = keep or []
     name = F.replace(F.regexp_extract(F.col(stmt), TABLE_RE, 1), F.lit("``"), F.lit("`"))
-    mine = stmts.where(name == F.lit(table))
+    mine = spread(stmts.where(name == F.lit(table)))
     cols = F.transform(F.split(F.regexp_extract(F.col(stmt), COLUMNS_RE, 1), ", "),
                        lambda c: F.replace(F.regexp_replace(c, r"^`|`$", ""), F.lit("``"), F.lit("`")))
     body = F.substring_index(F.col(stmt), " VALUES ", -1)
-    # column list and VALUES body first: the explode below then carries only the small ``_cols``
-    # array next to each tuple, never the whole (up to max_packet bytes) statement
+    idx_names = [f"_i{i}" for i in range(len(schema.fields))]
+    # column list, per-column indexes and VALUES body first: the explode below then carries only
+    # a few ints next to each tuple, never the whole (up to max_packet bytes) statement
     parts = mine.select(*keep, cols.alias("_cols"), body.alias("_body"))
-    tuples = parts.select(*keep, "_cols",
+    parts = parts.select(*keep, "_body", *[
+        F.array_position(F.col("_cols"), F.lit(f.name)).cast("int").alias(n)
+        for f, n in zip(schema.fields, idx_names)])
+    tuples = parts.select(*keep, *idx_names,
                           F.explode(F.regexp_extract_all(F.col("_body"), F.lit(TUPLE_RE), 0)).alias("_tuple"))
     inner = F.col("_tuple").substr(F.lit(2), F.length("_tuple") - 2)
-    vals = tuples.select(*keep, "_cols", F.regexp_extract_all(inner, F.lit(VALUE_RE), 0).alias("_vals"))
+    vals = tuples.select(*keep, *idx_names, F.regexp_extract_all(inner, F.lit(VALUE_RE), 0).alias("_vals"))
     out = []
-    for f in schema.fields:
-        idx = F.array_position(F.col("_cols"), F.lit(f.name)).cast("int")
-        raw = F.trim(F.when(idx > 0, F.element_at(F.col("_vals"), idx)))
+    for f, n in zip(schema.fields, idx_names):
+        raw = F.trim(F.when(F.col(n) > 0, F.element_at(F.col("_vals"), F.col(n))))
         text = (F.when(raw == "NULL", F.lit(None).cast("string"))
                 .when(raw.startswith("'"), unescape_sql(raw.substr(F.lit(2), F.length(raw) - 2)))
                 .otherwise(raw))

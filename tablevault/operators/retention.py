@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablevault.functions.names import BACKUP_NAME_RE, base_name, name_time
+from tablevault.functions.names import BACKUP_NAME_RE, base_name, name_time_of_base
 from tablevault.operators.common import broadcast_if_small
 
 MATCHED = "matched"
@@ -62,12 +62,14 @@ def validate_policy(policies: DataFrame, retention: str = "retention") -> DataFr
 
 def classify_names(listing: DataFrame, filename: str = "filename", zone_aware: bool = False) -> DataFrame:
     """F4 + N4: add ``filetime`` and ``status`` (matched / ignored / invalid_date)."""
-    b = base_name(filename)
-    t = name_time(filename, zone_aware)
-    return (listing.withColumn("filetime", t)
-            .withColumn("status", F.when(~b.rlike(BACKUP_NAME_RE), F.lit(IGNORED))
+    with_base = listing.withColumn("_base", base_name(filename)).withColumn(
+        "_match", F.col("_base").rlike(BACKUP_NAME_RE))
+    t = F.when(F.col("_match"), name_time_of_base(F.col("_base"), zone_aware))
+    return (with_base.withColumn("filetime", t)
+            .withColumn("status", F.when(~F.col("_match"), F.lit(IGNORED))
                         .when(F.col("filetime").isNull(), F.lit(INVALID_DATE))
-                        .otherwise(F.lit(MATCHED))))
+                        .otherwise(F.lit(MATCHED)))
+            .drop("_base", "_match"))
 
 
 def _age_micros(filetime: Column, now) -> Column:
