@@ -37,15 +37,14 @@ SPLIT_SCHEMA = "file string, pos long, stmt string"
 
 # --- R1 / S6: statements of whole scripts -------------------------------------------------------
 
-def split_script_text(text: str) -> list[str]:
-    """R1 on one script: blank lines dropped, CR/LF trimmed, a statement ends at a line ending in
-    the current delimiter, ``DELIMITER x`` ... ``DELIMITER ;`` kept as one statement, and an
-    unterminated tail is still returned."""
-    out: list[str] = []
+def iter_statements(lines) -> Iterator[str]:
+    """R1 over an iterator of lines: blank lines dropped, CR/LF trimmed, a statement ends at a
+    line ending in the current delimiter, ``DELIMITER x`` ... ``DELIMITER ;`` kept as one
+    statement, and an unterminated tail is still returned. Memory holds one statement at a time."""
     default = ";"
     delim = default
-    current = ""
-    for raw in text.split("\n"):
+    current: list[str] = []
+    for raw in lines:
         line = raw.rstrip("\r\n")
         if line == "":
             continue
@@ -54,49 +53,164 @@ def split_script_text(text: str) -> list[str]:
             if len(parts) >= 2:
                 new = parts[1].strip()
                 if new == default and delim != default:
-                    cur = current.strip()
+                    cur = "".join(current).strip()
                     if cur.endswith(delim):
                         cur = cur[: -len(delim)]
-                    current = cur + "\n"
+                    current = [cur + "\n"]
                 delim = new
         else:
-            current += line + "\n"
+            current.append(line + "\n")
             if delim != default or not line.endswith(delim):
                 continue
-        current = current.strip()
-        if current:
-            out.append(current)
-        current = ""
-    if current.strip():
-        out.append(current.strip())
-    return out
+        stmt = "".join(current).strip()
+        current = []
+        if stmt:
+            yield stmt
+    tail = "".join(current).strip()
+    if tail:
+        yield tail
+
+
+def split_script_text(text: str) -> list[str]:
+    """R1 on one script held as a string (see :func:`iter_statements`)."""
+    return list(iter_statements(text.split("\n")))
+
+
+def _open_lines(filesystem, path: str):
+    """Text lines of a (possibly gzip / bzip2 compressed) file, streamed."""
+    import bz2
+    import gzip
+    import io
+
+    # pyarrow would guess the codec from .gz / .bz2 only; open raw and pick it here
+    raw = filesystem.open_input_stream(path, compression=None)
+    if path.endswith((".gz", ".tgz")):
+        raw = gzip.GzipFile(fileobj=raw)
+    elif path.endswith((".bz2", ".tbz2")):
+        raw = bz2.BZ2File(raw)
+    return io.TextIOWrapper(raw, encoding="utf-8", newline="\n")
+
+
+BATCH_ROWS = 2048
+
+
+def _iter_lines(fh, block: int = 1 << 20) -> Iterator[str]:
+    """Lines of a non-seekable binary stream (tar members in stream mode), UTF-8 decoded."""
+    import codecs
+
+    decoder = codecs.getincrementaldecoder("utf-8")()
+    carry = ""
+    while True:
+        data = fh.read(block)
+        text = carry + decoder.decode(data or b"", final=not data)
+        if not data:
+            if text:
+                yield text
+            return
+        *full, carry = text.split("\n")
+        for line in full:
+            yield line + "\n"
+
+
+def _batched(rows, columns):
+    buf = []
+    for r in rows:
+        buf.append(r)
+        if len(buf) >= BATCH_ROWS:
+            yield pd.DataFrame(buf, columns=columns)
+            buf = []
+    if buf:
+        yield pd.DataFrame(buf, columns=columns)
+
+
+def _list_files(spark, path: str, suffixes: tuple[str, ...] | None = None) -> DataFrame:
+    """Every file under ``path`` (recursive), listed in one task through pyarrow filesystems."""
+    from tablevault.sources.listing import normalize_url
+
+    def lister(batches):
+        from pyarrow import fs
+
+        for pdf in batches:
+            for root in pdf["root"]:
+                filesystem, base = fs.FileSystem.from_uri(normalize_url(root))
+                infos = filesystem.get_file_info(fs.FileSelector(base, recursive=True))
+                names = sorted(i.path for i in infos if i.type == fs.FileType.File
+                               and not i.base_name.startswith(("_", "."))
+                               and (suffixes is None or i.path.endswith(suffixes)))
+                yield pd.DataFrame({"root": [root] * len(names), "path": names})
+
+    roots = spark.createDataFrame([(path,)], "root string")
+    return roots.mapInPandas(lister, "root string, path string")
+
+
+def glob_regex(glob: str) -> str:
+    """A file glob (``*``, ``?``) as an anchored Java regular expression."""
+    out = []
+    for ch in glob:
+        out.append(".*" if ch == "*" else "." if ch == "?" else re.escape(ch))
+    return "^" + "".join(out) + "$"
 
 
 def read_scripts(spark, path: str, path_glob: str | None = None) -> DataFrame:
     """``(file, pos, stmt)`` for every script file under ``path`` (one task per file).
 
-    Files may be gzip or bzip2 compressed (by extension). Only statement text leaves the task.
+    Files are opened through pyarrow filesystems inside the tasks and streamed (gzip / bzip2 by
+    extension): a task holds one statement at a time, never a whole file, and names with ``:``
+    work. Files whose names start with ``_`` or ``.`` (commit markers) are skipped.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = _list_files(spark, path)
     if path_glob:
-        reader = reader.option("pathGlobFilter", path_glob)
-    files = reader.load(path).select("path", "content")
+        files = files.where(F.element_at(F.split("path", "/"), -1).rlike(glob_regex(path_glob)))
+    n = max(1, files.count())
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import bz2
-        import gzip
+        from pyarrow import fs
+
+        from tablevault.sources.listing import normalize_url
+
+        for pdf in batches:
+            for root, p in zip(pdf["root"], pdf["path"]):
+                filesystem, _ = fs.FileSystem.from_uri(normalize_url(root))
+                with _open_lines(filesystem, p) as lines:
+                    rows = ((p, i, st) for i, st in enumerate(iter_statements(lines)))
+                    yield from _batched(rows, ["file", "pos", "stmt"])
+
+    return files.repartition(n, "path").mapInPandas(split, SPLIT_SCHEMA)
+
+
+ARCHIVE_SCHEMA = "archive string, member string, pos long, stmt string"
+
+
+def read_archives(spark, path: str) -> DataFrame:
+    """Statements of every ``.sql`` member of every tar archive under ``path``.
+
+    Archives (tar, tgz, tbz2) are streamed member by member inside one task per archive: a tar
+    is not splittable, but the task holds one statement at a time, never the archive or a member.
+    Directory members are skipped and member paths are never written anywhere.
+    """
+    files = _list_files(spark, path, suffixes=(".tar", ".tgz", ".tbz2", ".gz", ".bz2"))
+    n = max(1, files.count())
+
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import tarfile
+
+        from pyarrow import fs
+
+        from tablevault.sources.listing import normalize_url
 
         for pdf in batches:
-            for p, content in zip(pdf["path"], pdf["content"]):
-                data = bytes(content)
-                if p.endswith(".gz"):
-                    data = gzip.decompress(data)
-                elif p.endswith(".bz2"):
-                    data = bz2.decompress(data)
-                stmts = split_script_text(data.decode("utf-8"))
-                yield pd.DataFrame({"file": [p] * len(stmts), "pos": range(len(stmts)), "stmt": stmts})
-
-    return files.mapInPandas(split, SPLIT_SCHEMA)
+            for root, p in zip(pdf["root"], pdf["path"]):
+                filesystem, _ = fs.FileSystem.from_uri(normalize_url(root))
+                with filesystem.open_input_stream(p, compression=None) as raw, \
+                        tarfile.open(fileobj=raw, mode="r|*") as tar:
+                    for m in tar:
+                        if not m.isfile():
+                            continue
+                        lines = _iter_lines(tar.extractfile(m))
+                        rows = ((p, m.name, i, st) for i, st in enumerate(iter_statements(lines)))
+                        yield from _batched(rows, ["archive", "member", "pos", "stmt"])
+
+    return files.repartition(n, "path").mapInPandas(members, ARCHIVE_SCHEMA)
 
 
 def statements_in_lines(lines: DataFrame, value: str = "value") -> DataFrame:

@@ -117,7 +117,11 @@ def delete_backups(candidates: DataFrame, dry_run: bool = True) -> DataFrame:
                     if base not in cache:
                         cache[base] = fs.FileSystem.from_uri(base)
                     filesystem, root = cache[base]
-                    filesystem.delete_file(root.rstrip("/") + "/" + name)
+                    full = root.rstrip("/") + "/" + name
+                    if filesystem.get_file_info(full).type == fs.FileType.Directory:
+                        filesystem.delete_dir(full)
+                    else:
+                        filesystem.delete_file(full)
                     deleted.append(True)
                     errors.append(None)
                 except Exception as exc:  # reported per file, the job goes on

@@ -26,31 +26,37 @@ def normalize_url(url: str) -> str:
     return "file://" + url if url.startswith("/") else url
 
 
-def _list_arrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _list_arrow(batches: Iterator[pd.DataFrame], include_dirs: bool = False) -> Iterator[pd.DataFrame]:
     from pyarrow import fs
 
+    kinds = (fs.FileType.File, fs.FileType.Directory) if include_dirs else (fs.FileType.File,)
     for pdf in batches:
         for target in pdf["target"]:
             filesystem, root = fs.FileSystem.from_uri(normalize_url(target))
             infos = filesystem.get_file_info(fs.FileSelector(root, recursive=False))
-            files = [i for i in infos if i.type == fs.FileType.File]
+            files = [i for i in infos if i.type in kinds]
             yield pd.DataFrame({
                 "target": [target] * len(files),
                 "filename": [i.base_name for i in files],
-                "length": [int(i.size) for i in files],
+                "length": [int(i.size or 0) for i in files],
                 "modified": pd.to_datetime([i.mtime for i in files], utc=True),
             })
 
 
-def list_backups(spark: SparkSession, targets: list[str] | DataFrame, method: str = "arrow") -> DataFrame:
-    """``(target, filename, length, modified)`` for every file directly inside each target."""
+def list_backups(spark: SparkSession, targets: list[str] | DataFrame, method: str = "arrow",
+                 include_dirs: bool = False) -> DataFrame:
+    """``(target, filename, length, modified)`` for every file directly inside each target.
+
+    ``include_dirs=True`` also lists folders (a backup written by ``run_backup`` is a folder of
+    part files); their length is 0.
+    """
     if method == "hadoop":
         names = targets if isinstance(targets, list) else [r.target for r in targets.collect()]
         return _list_hadoop(spark, names)
     tdf = (spark.createDataFrame([(t,) for t in targets], "target string")
            if isinstance(targets, list) else targets.select("target"))
     n = max(1, tdf.count())
-    return tdf.repartition(n, "target").mapInPandas(_list_arrow, LISTING_SCHEMA)
+    return tdf.repartition(n, "target").mapInPandas(lambda it: _list_arrow(it, include_dirs), LISTING_SCHEMA)
 
 
 def _list_hadoop(spark: SparkSession, targets: list[str]) -> DataFrame:

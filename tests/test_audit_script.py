@@ -181,3 +181,28 @@ def test_restore_tables_publishes(spark, tmp_out):
     assert got == ["a", "b"]
     assert spark.read.parquet(f"{tmp_out}/dest/a").count() == 1
     assert not [p for p in os.listdir(f"{tmp_out}/dest") if p.startswith("_staging")]
+
+
+def test_run_backup_report_and_prune(spark, tmp_out):
+    from tablevault.operators.retention import classify_names, prune_by_count
+    from tablevault.plans.backup import run_backup, run_name
+
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, s string")
+    ts = TableSet(spark).add_table("d", "t", df, key=["id"])
+    hook = lambda db, t, frame: frame.where(F.col("id") > 1)
+    targets = [f"{tmp_out}/a", f"{tmp_out}/b"]
+    runs = []
+    for day in (1, 2, 3):
+        now = dt.datetime(2024, 1, day, 0, 0, 0)
+        runs.append(run_backup(ts, ["d"], targets, DumpOptions(skip_extended_insert=True), table_hook=hook, now=now))
+    assert run_name(dt.datetime(2024, 1, 1), "gzip") == "db_backup_2024-01-01T00-00-00Z.tgz"
+    rep = run_report(runs[0]).first()
+    assert rep.n_uploads == 2 and rep.total_seconds > 0
+    text = _script_text(f"{tmp_out}/a/db_backup_2024-01-03T00-00-00Z.tgz", "d")
+    assert "(2,'b')" in text and "(1,'a')" not in text
+    listing = list_backups(spark, targets, include_dirs=True)
+    assert listing.count() == 6
+    cands = prune_by_count(classify_names(listing), 2)
+    res = delete_backups(cands, dry_run=False).collect()
+    assert len(res) == 2 and all(r.deleted for r in res)
+    assert sorted(os.listdir(f"{tmp_out}/a")) == ["db_backup_2024-01-02T00-00-00Z.tgz", "db_backup_2024-01-03T00-00-00Z.tgz"]

@@ -90,3 +90,33 @@ def test_single_insert_roundtrip(spark):
     st = insert_single(df, "conversations", mode="exact")
     back = load_inserts(st, "conversations", df.schema)
     assert back.exceptAll(df).count() == 0 and df.exceptAll(back).count() == 0
+
+
+def test_read_archives_streams_members(spark, tmp_out):
+    import io
+    import tarfile
+
+    from tablevault.operators.restore import read_archives
+
+    os.makedirs(f"{tmp_out}/bk")
+    name = f"{tmp_out}/bk/db_backup_2024-01-01T00:00:00Z.tgz"
+    with tarfile.open(name, "w:gz") as tar:
+        d = tarfile.TarInfo("dir")
+        d.type = tarfile.DIRTYPE
+        tar.addfile(d)
+        for member, text in [("a_2024.sql", "USE `a`;\nINSERT INTO `t` (`x`) VALUES (1);\n"),
+                             ("b_2024.sql", "DELIMITER ;;\nCREATE TRIGGER x BEGIN SELECT 1; END ;;\nDELIMITER ;\n")]:
+            data = text.encode()
+            info = tarfile.TarInfo(member)
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
+    got = sorted((r.member, r.pos, r.stmt) for r in read_archives(spark, f"{tmp_out}/bk").collect())
+    assert got == [("a_2024.sql", 0, "USE `a`;"), ("a_2024.sql", 1, "INSERT INTO `t` (`x`) VALUES (1);"),
+                   ("b_2024.sql", 0, "CREATE TRIGGER x BEGIN SELECT 1; END")]
+
+
+def test_read_scripts_glob(spark, tmp_out):
+    os.makedirs(f"{tmp_out}/s")
+    open(f"{tmp_out}/s/x.sql", "w").write("SELECT 1;\n")
+    open(f"{tmp_out}/s/y.txt", "w").write("SELECT 2;\n")
+    assert [r.stmt for r in read_scripts(spark, f"{tmp_out}/s", path_glob="*.sql").collect()] == ["SELECT 1;"]
