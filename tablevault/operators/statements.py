@@ -1,7 +1,7 @@
 """INSERT statement generation: D1 prefix, D2 one row per statement, D3 packed statements.
 
 D2 is a pure projection (no shuffle). D3 is an ordered greedy fold, which no built-in aggregate
-expresses, so it runs as ``applyInPandas`` over *bounded* chunks of consecutive rows:
+expresses, so it runs as ``applyInArrow`` over *bounded* chunks of consecutive rows:
 
 1. rows are range-partitioned and sorted on the caller's key (distributed sort, no single task),
 2. each row gets its global position from per-partition counts (a tiny frame with one row per
@@ -17,7 +17,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,42 +118,56 @@ def positions(df: DataFrame, key: list[str], num_partitions: int | None = None,
     return out, {"rows": total, "measure": size if measure is not None else None}
 
 
+def _greedy_starts(sizes: list[int], prefix_bytes: int, max_packet: int) -> tuple[list[int], list[int]]:
+    """Statement starts and byte sizes for one chunk (the reference's greedy rule).
+
+    Before adding a tuple to a non-empty buffer, close the buffer when buffer + tuple would pass
+    ``max_packet - 1`` bytes (the joining comma and the closing ``;`` are not counted).
+    """
+    starts: list[int] = []
+    nbytes: list[int] = []
+    cur = 0
+    for i, size in enumerate(sizes):
+        if starts and cur + size > max_packet - 1:
+            nbytes.append(cur + 1)
+            starts.append(i)
+            cur = prefix_bytes + size
+        elif not starts:
+            starts.append(i)
+            cur = prefix_bytes + size
+        else:
+            cur += 1 + size
+    if starts:
+        nbytes.append(cur + 1)
+    return starts, nbytes
+
+
 def _pack_chunk(prefix_bytes: int, max_packet: int, prefix: str):
-    """Greedy fold of one chunk of (pos, tuple, nbytes) into statements; returns a pandas frame."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_pos", kind="stable")
-        tuples = pdf["_tuple"].tolist()
-        sizes = pdf["_tb"].tolist()
-        chunk = int(pdf["_chunk"].iloc[0])
-        out_seq, out_stmt, out_rows, out_bytes = [], [], [], []
-        start = 0
-        cur = 0
-        seq = 0
-
-        def close(end: int, nbytes: int) -> None:
-            out_seq.append(seq)
-            out_stmt.append(prefix + ",".join(tuples[start:end]) + ";")
-            out_rows.append(end - start)
-            out_bytes.append(nbytes + 1)
-
-        for i, size in enumerate(sizes):
-            # the reference's rule: before adding a tuple to a non-empty buffer, close the buffer
-            # when buffer + tuple would pass max_packet - 1 bytes (comma and ';' are not counted)
-            if i > start and cur + size > max_packet - 1:
-                close(i, cur)
-                seq += 1
-                start = i
-                cur = 0
-            cur = prefix_bytes + size if i == start else cur + 1 + size
-        if sizes:
-            close(len(sizes), cur)
-        return pd.DataFrame({
-            "chunk": [chunk] * len(out_seq),
-            "seq": out_seq,
-            "stmt": out_stmt,
-            "n_rows": out_rows,
-            "n_bytes": out_bytes,
+    """Greedy fold of one chunk of (pos, tuple, nbytes) into statements, in Arrow.
+
+    Python only walks the integer sizes; the statements are built by joining list slices of the
+    tuple array with Arrow compute, so no per-tuple Python string is ever made.
+    """
+
+    def fold(table: pa.Table) -> pa.Table:
+        t = table.sort_by("_pos")
+        chunk = t.column("_chunk")[0].as_py() if t.num_rows else 0
+        starts, nbytes = _greedy_starts(t.column("_tb").to_pylist(), prefix_bytes, max_packet)
+        # 64-bit offsets throughout: a chunk's text may pass 2 GiB only in theory, but cheaply
+        tuples = t.column("_tuple").combine_chunks().cast(pa.large_string())
+        offsets = pa.array(starts + [t.num_rows], pa.int64())
+        lists = pa.LargeListArray.from_arrays(offsets, tuples)
+        joined = pc.binary_join(lists, pa.scalar(",", pa.large_string()))
+        lt = pa.large_string()
+        stmts = pc.binary_join_element_wise(pa.scalar(prefix, lt), joined, pa.scalar(";", lt),
+                                            pa.scalar("", lt))
+        counts = [e - s for s, e in zip(starts, starts[1:] + [t.num_rows])]
+        return pa.table({
+            "chunk": pa.array([chunk] * len(starts), pa.int64()),
+            "seq": pa.array(range(len(starts)), pa.int32()),
+            "stmt": stmts.cast(pa.string()),
+            "n_rows": pa.array(counts, pa.int64()),
+            "n_bytes": pa.array(nbytes, pa.int64()),
         })
 
     return fold
@@ -182,8 +197,7 @@ def insert_extended(df: DataFrame, table: str, key: list[str] | None = None,
     # spread over the range partitions whatever the number of input splits
     needed = list(dict.fromkeys(list(key) + list(cols)))
     pos, stats = positions(df.select(*[F.col(quote_ident(c)) for c in needed]), key, num_partitions,
-                           keep=list(cols),
-                           measure=lambda d: F.octet_length(row_tuple(d, cols, mode)) + F.lit(1))
+                           keep=list(cols), measure=lambda d: approx_tuple_bytes(d, cols))
     if stats["rows"] and stats["measure"]:
         avg = stats["measure"] / stats["rows"]
         rows_per_chunk = max(1, min(rows_per_chunk, int(chunk_bytes // avg)))
@@ -193,7 +207,33 @@ def insert_extended(df: DataFrame, table: str, key: list[str] | None = None,
         "_pos", tup.alias("_tuple"),
     ).withColumn("_tb", F.octet_length("_tuple").cast("long"))
     fold = _pack_chunk(len(prefix.encode("utf-8")), max_packet, prefix)
-    return chunked.groupBy("_chunk").applyInPandas(fold, PACKED_SCHEMA)
+    return chunked.groupBy("_chunk").applyInArrow(fold, PACKED_SCHEMA)
+
+
+def approx_tuple_bytes(df: DataFrame, cols: list[str]) -> Column:
+    """A cheap, deterministic estimate of a row's tuple text size (no formatting).
+
+    Text and binary count their bytes (binary twice, as hex), nested values their JSON length,
+    every other value a fixed 32 bytes. Only used to size chunks, so an estimate is enough.
+    """
+    from pyspark.sql import types as T
+
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    parts = []
+    for c in cols:
+        t, x = fields[c], F.col(quote_ident(c))
+        if isinstance(t, (T.StringType, T.VarcharType, T.CharType)):
+            parts.append(F.coalesce(F.octet_length(x), F.lit(4)) + F.lit(3))
+        elif isinstance(t, T.BinaryType):
+            parts.append(F.coalesce(F.octet_length(x) * 2, F.lit(4)) + F.lit(4))
+        elif isinstance(t, (T.ArrayType, T.MapType, T.StructType)):
+            parts.append(F.coalesce(F.octet_length(F.to_json(x)), F.lit(4)) + F.lit(3))
+        else:
+            parts.append(F.lit(32))
+    out = F.lit(2)
+    for p in parts:
+        out = out + p
+    return out
 
 
 def statement_bytes(c: Column | str) -> Column:
