@@ -18,7 +18,7 @@ from tablevault.operators.audit import (check_begin, dump_report, first_run, mis
                                         verify_snapshot)
 from tablevault.operators.restore import (load_inserts, mapping_frame, read_scripts,
                                           remap_databases)
-from tablevault.plans.script import DumpOptions, dump
+from tablevault.plans.script import FOOTER_SETTINGS, HEADER_SETTINGS, DumpOptions, dump
 from tablevault.session import ensure_checkpoint_dir
 from tablevault.sinks.writers import decrypt_column, encrypt_column, write_dump
 from tablevault.streaming.continuous import dump_stream, file_stream
@@ -28,11 +28,13 @@ from tablevault.operators.selection import (database_set, ignore_rules_frame, ig
                                             kept_columns, project_columns, select_databases,
                                             server_variant)
 from tablevault.plans.script import union_all
-from tablevault.sources.tableset import TESTDATA_LAYOUT, columns, databases, parquet_tableset, scan
+from tablevault.sources.tableset import (TESTDATA_KEYS, TESTDATA_LAYOUT, columns, databases, parquet_tableset,
+                                        scan)
 from tablevault.operators.retention import (UNIT_HOURS, classify_names, prune, prune_by_age,
                                             prune_by_count, prune_report)
 from tablevault.operators.statements import insert_extended, insert_single
-from tablevault.plans.duck_sql import TABLE_COLUMNS, duck_insert, duck_prefix, duck_tuple
+from tablevault.plans.duck_sql import (TABLE_COLUMNS, _sq, duck_insert, duck_packed_whole, duck_prefix,
+                                       duck_table_pre, duck_tuple)
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -540,10 +542,37 @@ def encrypt_roundtrip(spark, sf_dir):
 
 # --- D4-D12: whole scripts (rows-only check) -------------------------------------------------------
 
-@plan("script_sales")
+SCRIPT_PACKET = 1048576
+SCRIPT_DONE = "2024-01-01 00:00:00"
+
+
+def _duck_script_sales() -> str:
+    """The whole full-mode script of ``sales``: header, per table DDL / packed rows / unlock, footer.
+
+    Every table is well under one chunk at the checked scale, so its rows are one greedy pass.
+    """
+    head = ("-- tablevault SQL dump 0.1.0\n--\n-- Host: spark    Database: sales\n"
+            "-- ------------------------------------------------------\n-- Server version\ttablevault 0.1.0\n\n"
+            + HEADER_SETTINGS.format(charset="utf8mb4")
+            + "\n\n--\n-- Current Database: `sales`\n--\n\nCREATE DATABASE /*!32312 IF NOT EXISTS*/ `sales` "
+            "/*!40100 DEFAULT CHARACTER SET utf8mb4 COLLATE utf8mb4_0900_ai_ci */ "
+            "/*!80016 DEFAULT ENCRYPTION='N' */;\n\nUSE `sales`;")
+    foot = FOOTER_SETTINGS + f"\n\n-- Dump completed on {SCRIPT_DONE}"
+    out = ["SELECT 'sales' AS db, 0 AS section, '' AS table_key, 0 AS part, CAST(0 AS BIGINT) AS chunk, "
+           f"CAST(0 AS BIGINT) AS seq, {_sq(head)} AS value",
+           f"SELECT 'sales', 5, '', 0, 0, 0, {_sq(foot)}"]
+    for t in SALES:
+        out.append(f"SELECT 'sales', 1, '{t}', 0, 0, 0, {duck_table_pre(t)}")
+        out.append(f"SELECT 'sales', 1, '{t}', 1, 0, seq, stmt FROM ({duck_packed_whole(t, TESTDATA_KEYS[t], SCRIPT_PACKET)})")
+        out.append(f"SELECT 'sales', 1, '{t}', 2, 0, 0, "
+                   f"{_sq(f'/*!40000 ALTER TABLE `{t}` ENABLE KEYS */;' + chr(10) + 'UNLOCK TABLES;')}")
+    return "\nUNION ALL\n".join(out)
+
+
+@plan("script_sales", _duck_script_sales())
 def script_sales(spark, sf_dir):
     ts = parquet_tableset(spark, sf_dir)
-    opts = DumpOptions(max_allowed_packet=1048576, completed_at="2024-01-01 00:00:00")
+    opts = DumpOptions(max_allowed_packet=SCRIPT_PACKET, completed_at=SCRIPT_DONE)
     return dump(ts, ["sales"], opts)
 
 

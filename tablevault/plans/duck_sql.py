@@ -95,3 +95,76 @@ TABLE_COLUMNS: dict[str, list[tuple[str, str]]] = {
     "benchmark": [("item_id", "bigint"), ("text", "string")],
     "embeddings": [("vec_id", "bigint"), ("embedding", "json"), ("label", "int")],
 }
+
+
+def duck_order(key: list[str]) -> str:
+    """Spark's ascending order (nulls first) in DuckDB."""
+    return ", ".join(f'"{k}" ASC NULLS FIRST' for k in key)
+
+
+def duck_packed_whole(table: str, key: list[str], max_packet: int) -> str:
+    """``(seq, stmt)``: one greedy packing pass over the whole table, without a per-row recursion.
+
+    With ``g`` the running sum of ``tuple bytes + 1``, a statement starting at tuple ``s`` takes
+    tuple ``i > s`` while ``g(i + 1) <= g(s) + max_packet - prefix + 1``. ``g`` only grows, so the
+    next start after ``s`` is the number of tuples whose ``g(i + 1)`` is within that bound: one
+    window over the sizes and bounds sorted together. The recursion then walks one step per
+    statement, not per row.
+    """
+    cols = TABLE_COLUMNS[table]
+    prefix = duck_prefix(table, cols)
+    limit = max_packet - len(prefix.encode("utf-8")) + 1
+    return f"""
+WITH RECURSIVE src AS (
+  SELECT row_number() OVER (ORDER BY {duck_order(key)}) - 1 AS idx, {duck_tuple(cols)} AS tup
+  FROM {table}
+), c AS (
+  SELECT idx, tup, count(*) OVER () AS n,
+         sum(strlen(tup) + 1) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g1
+  FROM src
+), marks AS (
+  SELECT g1 AS v, 0 AS kind, idx, n FROM c
+  UNION ALL
+  SELECT g1 - strlen(tup) - 1 + {limit}, 1, idx, n FROM c
+), within AS (
+  SELECT kind, idx, n,
+         sum(1 - kind) OVER (ORDER BY v, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cnt
+  FROM marks
+), nxt AS (
+  SELECT idx, CASE WHEN greatest(cnt, idx + 1) >= n THEN NULL ELSE greatest(cnt, idx + 1) END AS nb
+  FROM within WHERE kind = 1
+), chain(seq, s) AS (
+  SELECT 0, 0
+  UNION ALL
+  SELECT chain.seq + 1, nxt.nb FROM chain JOIN nxt ON nxt.idx = chain.s WHERE nxt.nb IS NOT NULL
+), member AS (
+  SELECT c.idx, c.tup,
+         sum(CASE WHEN chain.s IS NULL THEN 0 ELSE 1 END) OVER (ORDER BY c.idx ROWS BETWEEN UNBOUNDED PRECEDING
+                                                                AND CURRENT ROW) - 1 AS seq
+  FROM c LEFT JOIN chain ON chain.s = c.idx
+)
+SELECT seq, {_sq(prefix)} || string_agg(tup, ',' ORDER BY idx) || ';' AS stmt FROM member GROUP BY seq
+"""
+
+
+# DuckDB column types -> the MySQL types the dump declares for the matching Spark types.
+_DUCK_DDL_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "SMALLINT": "smallint", "TINYINT": "tinyint",
+                   "DOUBLE": "double", "FLOAT": "float", "BOOLEAN": "tinyint(1)", "VARCHAR": "longtext",
+                   "BLOB": "longblob", "DATE": "date", "TIMESTAMP": "datetime",
+                   "TIMESTAMP WITH TIME ZONE": "timestamp NULL"}
+
+
+def duck_table_pre(table: str, charset: str = "utf8mb4", collation: str = "utf8mb4_0900_ai_ci") -> str:
+    """Full-mode text before a table's rows (comments, DROP, CREATE from information_schema, LOCK)."""
+    t = f"`{table}`"
+    head = (f"\n--\n-- Table structure for table {t}\n--\n\nDROP TABLE IF EXISTS {t};\n"
+            "/*!40101 SET @saved_cs_client     = @@character_set_client */;\n"
+            f"/*!50503 SET character_set_client = {charset} */;\nCREATE TABLE {t} (\n")
+    tail = (f"\n) ENGINE=InnoDB DEFAULT CHARSET={charset} COLLATE={collation};\n"
+            "/*!40101 SET character_set_client = @saved_cs_client */;\n\n"
+            f"--\n-- Dumping data for table {t}\n--\n\nLOCK TABLES {t} WRITE;\n"
+            f"/*!40000 ALTER TABLE {t} DISABLE KEYS */;")
+    types = " ".join(f"WHEN {_sq(k)} THEN {_sq(v)}" for k, v in _DUCK_DDL_TYPES.items())
+    return (f"(SELECT {_sq(head)} || string_agg('  `' || column_name || '` ' || CASE data_type {types} END, "
+            f"',' || chr(10) ORDER BY ordinal_position) || {_sq(tail)} "
+            f"FROM information_schema.columns WHERE table_name = {_sq(table)})")
