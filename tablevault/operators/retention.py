@@ -81,33 +81,48 @@ def prune_by_age(classified: DataFrame, hours, now) -> DataFrame:
     """Matched files at least ``hours`` old at ``now`` (the exact boundary is pruned)."""
     h = hours if isinstance(hours, Column) else F.lit(hours)
     limit = h.cast("long") * F.lit(3600 * 1000000)
-    return classified.where((F.col("status") == MATCHED)
-                            & (_age_micros(F.col("filetime"), now) >= limit))
+    # filetime is non-null exactly for matched names, and a null age fails the test; filtering
+    # on filetime alone (not on status) keeps the predicate Catalyst pushes to the scan small
+    return classified.where(_age_micros(F.col("filetime"), now) >= limit)
 
 
-def keep_newest(classified: DataFrame, n, target: str = "target", salts: int = DEFAULT_SALTS) -> DataFrame:
-    """The ``n`` newest matched files per target (newest first by time, then by name).
+def _ranked(classified: DataFrame, n, target: str, salts: int) -> tuple[DataFrame, DataFrame]:
+    """Two-stage ranking of matched files, newest first (by time, then by name).
 
-    Two-stage top-N: the first window runs over (target, salt) slices, so a hot target is spread
-    over ``salts`` tasks; the second sees at most ``salts * n`` rows per target.
+    Returns ``(stage1, stage2)``: stage 1 ranks every file inside its (target, salt) slice, so a
+    hot target is spread over ``salts`` tasks; stage 2 ranks the stage-1 survivors (at most
+    ``salts * n`` rows per target) over the whole target. The global ``n`` newest are exactly the
+    stage-2 rows ranked ``<= n``: each of them is within the ``n`` newest of its own slice.
     """
     keep_n = n if isinstance(n, Column) else F.lit(n)
     order = [F.col("filetime").desc(), F.col("filename").desc()]
-    m = classified.where(F.col("status") == MATCHED).withColumn("_keep_n", keep_n)
+    # matched <=> filetime is not null (see prune_by_age)
+    m = classified.where(F.col("filetime").isNotNull()).withColumn("_keep_n", keep_n)
     salt = F.abs(F.xxhash64("filename")) % F.lit(salts)
     stage1 = (m.withColumn("_salt", salt)
-              .withColumn("_r1", F.row_number().over(Window.partitionBy(target, "_salt").orderBy(*order)))
-              .where(F.col("_r1") <= F.col("_keep_n")))
-    stage2 = (stage1.withColumn("_r2", F.row_number().over(Window.partitionBy(target).orderBy(*order)))
-              .where(F.col("_r2") <= F.col("_keep_n")))
-    return stage2.drop("_salt", "_r1", "_r2", "_keep_n")
+              .withColumn("_r1", F.row_number().over(Window.partitionBy(target, "_salt").orderBy(*order))))
+    stage2 = (stage1.where(F.col("_r1") <= F.col("_keep_n"))
+              .withColumn("_r2", F.row_number().over(Window.partitionBy(target).orderBy(*order))))
+    return stage1, stage2
+
+
+def keep_newest(classified: DataFrame, n, target: str = "target", salts: int = DEFAULT_SALTS) -> DataFrame:
+    """The ``n`` newest matched files per target (newest first by time, then by name)."""
+    _, stage2 = _ranked(classified, n, target, salts)
+    return stage2.where(F.col("_r2") <= F.col("_keep_n")).drop("_salt", "_r1", "_r2", "_keep_n")
 
 
 def prune_by_count(classified: DataFrame, n, target: str = "target", salts: int = DEFAULT_SALTS) -> DataFrame:
-    """P5: every matched file of a target except its ``n`` newest."""
-    kept = keep_newest(classified, n, target, salts).select(target, "filename")
-    matched = classified.where(F.col("status") == MATCHED)
-    return matched.join(kept, [target, "filename"], "left_anti")
+    """P5: every matched file of a target except its ``n`` newest.
+
+    A file with ``n`` newer files in its own salt slice is a candidate after stage 1; the
+    survivors are decided by stage 2. No join back to the listing is needed.
+    """
+    stage1, stage2 = _ranked(classified, n, target, salts)
+    cols = classified.columns
+    beaten_in_slice = stage1.where(F.col("_r1") > F.col("_keep_n")).select(*cols)
+    beaten_overall = stage2.where(F.col("_r2") > F.col("_keep_n")).select(*cols)
+    return beaten_in_slice.unionByName(beaten_overall)
 
 
 def prune(listing: DataFrame, policies: DataFrame, now, target: str = "target",
