@@ -65,20 +65,23 @@ def escape_sql(c) -> Column:
     return out
 
 
+# an escape (backslash + any char), a run without backslashes, or a lone trailing backslash
+_UNESCAPE_TOKEN_RE = r"(?s)\\.|[^\\]++|\\"
+
+
 def unescape_sql(c) -> Column:
-    """L3: inverse of :func:`escape_sql` (also reads ``\\t``), as codegen-friendly regex passes.
+    """L3: inverse of :func:`escape_sql` (also reads ``\\t``), in one regex pass.
 
-    An escape ``\\X`` counts only after an even run of backslashes (pairs are escaped
-    backslashes), so ``\\\\n`` stays a backslash and an ``n``; the pairs become single
-    backslashes in a last pass. Values without a backslash skip all of it.
+    The value is cut into tokens (``\\X`` escapes and runs without a backslash) left to right,
+    so an escaped backslash can never start another escape. Known escapes become their character,
+    ``\\\\`` a single backslash; an unknown escape is kept as written. Values without a backslash
+    skip all of it.
     """
     x = _col(c)
-    out = x
-    for letter, raw in SQL_UNESCAPES:
-        pattern = r"(?<!\\)((?:\\\\)*+)\\" + ("\\" + letter if letter in "'\"" else letter)
-        repl = "$1" + raw.replace("\\", "\\\\").replace("$", "\\$")
-        out = F.regexp_replace(out, pattern, repl)
-    out = F.replace(out, F.lit("\\\\"), F.lit("\\"))
+    pairs = [("\\" + letter, raw) for letter, raw in SQL_UNESCAPES] + [("\\\\", "\\")]
+    table = F.create_map(*[F.lit(v) for pair in pairs for v in pair])
+    tokens = F.regexp_extract_all(x, F.lit(_UNESCAPE_TOKEN_RE), 0)
+    out = F.array_join(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(table, t), t)), "")
     return F.when(x.contains("\\"), out).otherwise(x)
 
 
