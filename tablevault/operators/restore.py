@@ -342,6 +342,14 @@ def load_inserts(stmts: DataFrame, table: str, schema: T.StructType, stmt: str =
 
 def load_script_lines(lines: DataFrame, tables: dict[str, T.StructType], value: str = "value",
                       keep: list[str] | None = None) -> dict[str, DataFrame]:
-    """R4 over text lines of dump files: one typed DataFrame per table named in ``tables``."""
-    stmts = statements_in_lines(lines, value)
-    return {t: load_inserts(stmts, t, s, keep=keep) for t, s in tables.items()}
+    """R4 over text lines of dump files: one typed DataFrame per table named in ``tables``.
+
+    Each table's frame first keeps the lines holding its ``INSERT INTO `t``` text (a plain
+    substring test), so the statement regex never runs over other tables' lines.
+    """
+    from tablevault.functions.literals import quote_ident
+
+    def mine(t: str) -> DataFrame:
+        return statements_in_lines(lines.where(F.col(value).contains(f"INSERT INTO {quote_ident(t)}")), value)
+
+    return {t: load_inserts(mine(t), t, s, keep=keep) for t, s in tables.items()}
