@@ -18,3 +18,8 @@ def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Dat
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def broadcast_known(df: DataFrame, n_rows: int, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a frame built from a driver-side list of ``n_rows`` items when that is small."""
+    return F.broadcast(df) if n_rows <= max_rows else df

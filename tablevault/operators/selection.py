@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablevault.functions.literals import quote_ident
-from tablevault.operators.common import broadcast_if_small
+from tablevault.operators.common import broadcast_if_small, broadcast_known
 
 RULES_SCHEMA = "rule_db string, rule_table string"
 
@@ -30,7 +30,7 @@ def select_databases(spark: SparkSession, available: DataFrame | None, include:
         base = available.select("db").withColumn("ord", w.cast("int"))
     if exclude:
         ex = spark.createDataFrame([(d,) for d in exclude], "db string")
-        base = base.join(F.broadcast(ex), "db", "left_anti")
+        base = base.join(broadcast_known(ex, len(exclude)), "db", "left_anti")
     return base
 
 

@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablevault.operators.common import broadcast_known
 from tablevault.functions.literals import COMPAT, quote_ident, row_tuple
 from tablevault.session import ensure_checkpoint_dir
 
@@ -116,7 +117,7 @@ def positions(df: DataFrame, key: list[str], num_partitions: int | None = None,
     # index inside the partition: monotonically_increasing_id puts the partition id in the upper
     # 31 bits and the record number in the lower 33 bits.
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    out = (ordered.join(F.broadcast(off_df), "_pid")
+    out = (ordered.join(broadcast_known(off_df, len(offsets)), "_pid")
            .withColumn("_pos", (F.col("_off") + local).cast("long"))
            .drop("_pid", "_mid", "_off"))
     return out, {"rows": total, "measure": size if measure is not None else None}

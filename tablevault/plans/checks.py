@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablevault.operators.common import broadcast_if_small, broadcast_known
 from tablevault.functions.literals import EXACT, row_tuple
 from tablevault.operators.audit import (check_begin, dump_report, first_run, missed_runs,
                                         verify_snapshot)
@@ -267,7 +268,7 @@ IGNORE_RULES = ["labels", "web.pages", "sales.events", "orders"]
 def select_databases_q(spark, sf_dir):
     inv = inventory(spark, sf_dir)
     dbs = select_databases(spark, databases(parquet_tableset(spark, sf_dir)), exclude=EXCLUDE_DBS)
-    return inv.join(F.broadcast(dbs.select("db")), "db", "left_semi").select("db", "table", "n_rows")
+    return inv.join(broadcast_if_small(dbs.select("db")), "db", "left_semi").select("db", "table", "n_rows")
 
 
 @plan("ignore_tables", f"WITH {_duck_inventory()} SELECT db, \"table\", n_rows FROM inventory "
@@ -522,7 +523,7 @@ FROM j"""
 @plan("first_run", _duck_first_run())
 def first_run_q(spark, sf_dir):
     opts = spark.createDataFrame(list(BEGIN_OPTIONS.items()), "event_type string, begin_opt string")
-    ev = read(spark, sf_dir, "events").join(F.broadcast(opts), "event_type")
+    ev = read(spark, sf_dir, "events").join(broadcast_known(opts, len(BEGIN_OPTIONS)), "event_type")
     return ev.select("event_id", check_begin("begin_opt").alias("begin_opt"),
                      first_run("begin_opt", "ts").alias("first_run"))
 
