@@ -150,7 +150,8 @@ SELECT seq, {_sq(prefix)} || string_agg(tup, ',' ORDER BY idx) || ';' AS stmt FR
 # DuckDB column types -> the MySQL types the dump declares for the matching Spark types.
 _DUCK_DDL_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "SMALLINT": "smallint", "TINYINT": "tinyint",
                    "DOUBLE": "double", "FLOAT": "float", "BOOLEAN": "tinyint(1)", "VARCHAR": "longtext",
-                   "BLOB": "longblob", "DATE": "date", "TIMESTAMP": "datetime",
+                   "BLOB": "longblob", "DATE": "date", "TIMESTAMP": "datetime", "TIMESTAMP_NS": "datetime",
+                   "TIMESTAMP_MS": "datetime", "TIMESTAMP_S": "datetime",
                    "TIMESTAMP WITH TIME ZONE": "timestamp NULL"}
 
 
@@ -167,4 +168,5 @@ def duck_table_pre(table: str, charset: str = "utf8mb4", collation: str = "utf8m
     types = " ".join(f"WHEN {_sq(k)} THEN {_sq(v)}" for k, v in _DUCK_DDL_TYPES.items())
     return (f"(SELECT {_sq(head)} || string_agg('  `' || column_name || '` ' || CASE data_type {types} END, "
             f"',' || chr(10) ORDER BY ordinal_position) || {_sq(tail)} "
-            f"FROM information_schema.columns WHERE table_name = {_sq(table)})")
+            f"FROM information_schema.columns WHERE table_name = {_sq(table)} AND table_schema = "
+            f"(SELECT min(table_schema) FROM information_schema.columns WHERE table_name = {_sq(table)}))")
