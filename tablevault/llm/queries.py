@@ -7,10 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablevault.llm import decontamination, fertility, licenses, line_chunks, sentencepieces, sharding, urls
+from tablevault.llm import (
+    decontamination,
+    fertility,
+    html_trees,
+    licenses,
+    line_chunks,
+    probminhash,
+    sentencepieces,
+    sharding,
+    suffix_buckets,
+    urls,
+)
 from tablevault.llm.common import table
 
 
+def op1_html_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_trees.extract(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op2_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -27,6 +43,11 @@ def op5_license_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = probminhash.classify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "class_size", "links", "is_first")
+
+
 def op7_sentencepiece_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = sentencepieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return coded.select("doc_id", F.col("pieces.n_tokens").alias("n_tokens"),
@@ -38,13 +59,19 @@ def op8_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op9_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = suffix_buckets.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rest.select("doc_id", "_rest.n_bytes", "_rest.n_removed", "_rest.n_spans", "_rest.kept_sha256")
+
+
 def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = line_chunks.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rest.select("doc_id", "text", "_lines.*")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_label_propagation_shards, op3_tokeniser_fertility, op4_benchmark_alignment,
-                            op5_license_set_join, op7_sentencepiece_tokenizers, op8_url_trees, op10_line_chunks)}
+    f.__name__: f for f in (op1_html_trees, op2_label_propagation_shards, op3_tokeniser_fertility,
+                            op4_benchmark_alignment, op5_license_set_join, op6_probminhash,
+                            op7_sentencepiece_tokenizers, op8_url_trees, op9_suffix_buckets, op10_line_chunks)}
 
 ORACLES: dict[str, str] = {}
