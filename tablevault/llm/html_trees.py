@@ -34,8 +34,8 @@ from pyspark.sql.pandas.functions import pandas_udf
 from tablevault.llm import boosting
 from tablevault.llm.common import cut
 
-SAMPLE, DRAWN = 200, 400
-TREES, DEPTH = 15, 4
+SAMPLE, DRAWN = 200, 900
+TREES, DEPTH = 25, 5
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
@@ -276,7 +276,7 @@ def _drawn_page(seed: int) -> tuple[str, list[int]]:
     def block(group: int, tag: str | None = None) -> None:
         """Something that is not article."""
         named = {1: "nav", 2: "header", 3: "footer", 4: "aside"}.get(group)
-        kind = tag or (named if named and r.random() < 0.6 else r.choice(["div", "section", "div", "aside"][:3]))
+        kind = tag or (named if named and r.random() < 0.6 else r.choice(["div", "div", "section", "aside"]))
         marks = one_of(group) if kind in ("div", "section", "p") or r.random() < 0.4 else ""
 
         def inside() -> None:
@@ -300,17 +300,17 @@ def _drawn_page(seed: int) -> tuple[str, list[int]]:
             element("h1", 1, words(2, 12))
         for _ in range(r.randint(1, 12)):
             kind = r.random()
-            if kind < 0.7:
+            if kind < 0.6:
                 element("p", 1, lambda: (out.append(words(1, 120)), r.random() < 0.3 and element(
                     r.choice(["b", "i", "em", "a", "span"]), 1, words(1, 4)), out.append(words(0, 30))))
-            elif kind < 0.78:
+            elif kind < 0.68:
                 element(r.choice(["h2", "h3"]), 1, words(1, 8))
-            elif kind < 0.85:
+            elif kind < 0.75:
                 links(1) if r.random() < 0.2 else element("ul", 1, lambda: [element("li", 1, words(3, 30)) for _ in range(3)])
-            elif kind < 0.9:
+            elif kind < 0.8:
                 element(r.choice(["blockquote", "pre", "div"]), 1, words(5, 60))
             else:
-                block(r.choice([5, 7, 8, 9, 10, 6, 4]))
+                block(r.choice([5, 7, 8, 9, 10, 6, 4, 4]))
 
     def wrapped() -> None:
         kind = r.random()
