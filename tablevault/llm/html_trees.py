@@ -66,6 +66,9 @@ TOKENS = ("content article post entry story body main text page", "nav menu brea
           "cookie cookies consent notice alert gdpr popup modal overlay warning message",
           "share social follow sharing", "related recommended recommendations popular more trending teaser",
           "form search newsletter subscribe login signup subscription")
+#: Which groups speak against an article, and which for it.
+AGAINST = [9, 10, 11, 12, 13, *range(len(TAGS) + 1, len(TAGS) + len(TOKENS))]
+FOR = [0, len(TAGS)]
 TAG_OF = {t: i for i, g in enumerate(TAGS) for t in g.split()}
 TOKEN_OF = {t: i for i, g in enumerate(TOKENS) for t in g.split()}
 
@@ -152,8 +155,8 @@ class Page:
             done += size
         total = max(1.0, float(done))
         depth, in_link = np.zeros(n), [False] * n
-        group, tokens, above = [], [], []
-        children = np.zeros(n)
+        group, above = [], []
+        children, nearest = np.zeros(n), np.zeros(n)
         for e in range(n):
             p = self.parent[e]
             mine = np.zeros(len(TAGS) + len(TOKENS))
@@ -163,6 +166,8 @@ class Page:
                 if m in TOKEN_OF:
                     mine[len(TAGS) + TOKEN_OF[m]] = 1
             group.append(mine)
+            # the nearest mark of the path decides more than any other
+            nearest[e] = -1 if mine[AGAINST].any() else 1 if mine[FOR].any() else nearest[p] if p >= 0 else 0
             if p >= 0:
                 depth[e] = depth[p] + 1
                 in_link[e] = in_link[p] or self.tag[e] == "a"
@@ -195,7 +200,7 @@ class Page:
         up = text[np.maximum(parent, 0)]
         plain = np.stack([depth, np.log1p(text), text / total, link / np.maximum(1, text), nodes / np.maximum(1, text / 50),
                           np.log1p(own), index, index / np.maximum(1, of_parent), of_parent, same, children,
-                          stop / np.maximum(1, text) * 100, par, before / total, text / np.maximum(1, up)], axis=1)
+                          stop / np.maximum(1, text) * 100, par, nearest, nearest[np.maximum(parent, 0)], before / total, text / np.maximum(1, up)], axis=1)
         return np.concatenate([plain, np.array(group), np.array(above)], axis=1)
 
     def decode(self, scores: np.ndarray) -> np.ndarray:
