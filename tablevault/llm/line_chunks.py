@@ -73,17 +73,18 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, mean_lines: int = MEAN
              min_lines: int = MIN_LINES) -> DataFrame:
     """Places (key, start, end, digest) of every chunk that stands elsewhere too, but for its first place."""
     found = cut(chunks(docs, id_col, text_col, mean_lines, min_lines))
-    classes = (found.groupBy("digest")
-               .agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "start")).alias("first"))
-               .filter("n > 1"))
+    # sums are cut before joins: with plain exchanges on both sides Spark splits a hot class or document
+    classes = cut(found.groupBy("digest")
+                  .agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "start")).alias("first"))
+                  .filter("n > 1"))
     places = cut(found.join(classes, "digest"))
     texts = docs.select(row_key(id_col, text_col).alias("key"),
                         F.split(F.col(text_col).cast("string"), "\n", -1).alias("lines"))
     part = F.slice("lines", F.col("p.start") + 1, F.col("p.end") - F.col("p.start") + 1)
-    copies = (texts.join(_by_document(places), "key").select("lines", F.explode("places").alias("p"))
+    copies = (texts.join(cut(_by_document(places)), "key").select("lines", F.explode("places").alias("p"))
               .select("p.digest", F.array_join(part, "\n").alias("bytes")))
-    same = (copies.groupBy("digest").agg(F.min("bytes").alias("low"), F.max("bytes").alias("high"))
-            .filter(F.col("low") == F.col("high")).select("digest"))
+    same = cut(copies.groupBy("digest").agg(F.min("bytes").alias("low"), F.max("bytes").alias("high"))
+               .filter(F.col("low") == F.col("high")).select("digest"))
     later = places.filter(~(F.struct("id", "key", "start").eqNullSafe(F.col("first"))))
     return later.join(same, "digest", "left_semi").select("key", "start", "end", "digest")
 
@@ -91,7 +92,7 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, mean_lines: int = MEAN
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     mean_lines: int = MEAN_LINES, min_lines: int = MIN_LINES) -> DataFrame:
     """``docs`` with the rest of each text, and a struct ``_lines`` (n_lines, n_removed, n_chunks)."""
-    gone = _by_document(repeated(docs, id_col, text_col, mean_lines, min_lines))
+    gone = cut(_by_document(repeated(docs, id_col, text_col, mean_lines, min_lines)))
     df = docs.withColumn("_key", row_key(id_col, text_col))
     df = df.join(gone.withColumnsRenamed({"key": "_key", "places": "_places"}), "_key", "left")
     lines = F.split(F.col(text_col).cast("string"), "\n", -1)

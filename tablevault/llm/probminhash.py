@@ -188,8 +188,9 @@ def _agreement(a: str, b: str) -> Column:
 def link_texts(distinct: DataFrame, texts_of) -> tuple[DataFrame, DataFrame]:
     """Classes (tid, class) and verified links (a, b) of distinct texts that share a bucket with another."""
     rows = distinct.select("tid", F.posexplode("bands").alias("band", "hash"))
-    shared = rows.groupBy("band", "hash").agg(F.min("tid").alias("lead"), F.max("tid").alias("_last")).filter(
-        F.col("lead") != F.col("_last")).drop("_last")
+    # sums are cut before joins: with plain exchanges on both sides Spark splits a hot bucket
+    shared = cut(rows.groupBy("band", "hash").agg(F.min("tid").alias("lead"), F.max("tid").alias("_last")).filter(
+        F.col("lead") != F.col("_last")).drop("_last"))
     members = cut(rows.join(shared, ["band", "hash"]))
     nodes = cut(members.select("tid").distinct())
     texts = cut(texts_of(nodes))
@@ -200,7 +201,7 @@ def link_texts(distinct: DataFrame, texts_of) -> tuple[DataFrame, DataFrame]:
             pairs = members.filter(F.col("tid") != F.col("lead")).select(F.col("tid").alias("a"), F.col("lead").alias("b"))
         else:
             classed = members.drop("lead").join(classes, "tid")
-            split = (classed.groupBy("band", "hash").agg(
+            split = cut(classed.groupBy("band", "hash").agg(
                 F.min("class").alias("_low"), F.max("class").alias("_high"),
                 F.min_by(F.struct("tid", "class"), F.xxhash64("tid", F.lit(turn))).alias("lead"))
                 .filter(F.col("_low") != F.col("_high")))
@@ -212,7 +213,7 @@ def link_texts(distinct: DataFrame, texts_of) -> tuple[DataFrame, DataFrame]:
         classes = components(nodes, every)
     # what leaders did not settle: texts of different classes in one bucket, each pair on its own
     classed = members.drop("lead").join(classes, "tid")
-    split = (classed.groupBy("band", "hash").agg(F.min("class").alias("_low"), F.max("class").alias("_high"))
+    split = cut(classed.groupBy("band", "hash").agg(F.min("class").alias("_low"), F.max("class").alias("_high"))
              .filter(F.col("_low") != F.col("_high")).select("band", "hash"))
     rest = cut(classed.join(split, ["band", "hash"]).join(parts, "tid"))
     one = rest.select("band", "hash", F.col("tid").alias("a"), F.col("class").alias("_ca"), F.col("parts").alias("_pa"))
@@ -251,11 +252,11 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     classes, links = link_texts(distinct, texts_of)
     ends = links.select(F.col("a").alias("tid")).unionByName(links.select(F.col("b").alias("tid")))
     counts = ends.groupBy("tid").agg(F.count("*").alias("links"))
-    named = classes.join(counts, "tid", "left")
+    named = cut(classes.join(counts, "tid", "left"))
     small = rows.select("key", "doc_id", "tid").join(named, "tid", "left")
     small = cut(small.withColumn("class", F.coalesce("class", "tid")))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("tid"))
-    heads = small.groupBy("class").agg(F.min(order).alias("_first"), F.count("*").alias("class_size"))
+    heads = cut(small.groupBy("class").agg(F.min(order).alias("_first"), F.count("*").alias("class_size")))
     out = small.join(heads, "class")
     return out.select("key", "doc_id", "tid", F.col("_first.doc_id").alias("class_id"), "class_size",
                       F.coalesce("links", F.lit(0)).cast("long").alias("links"),

@@ -66,7 +66,8 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     rows = rows.withColumn("part", F.shiftright("rid", 33))
     total = rows.count()
     capacity = [total // shards + (s < total % shards) for s in range(shards)]
-    groups = rows.groupBy("group").agg(F.count("*").alias("members")).filter("members > 1").select("group")
+    # cut, so that both sides of the join are plain exchanges and a hot group's side can be split
+    groups = cut(rows.groupBy("group").agg(F.count("*").alias("members")).filter("members > 1").select("group"))
     linked = cut(rows.select("group", "rid", "part").join(groups, "group"))
     state = (numbered(linked, [], "rank", "part").withColumn("s", F.pmod("rank", F.lit(shards)))
              .groupBy("group").agg(F.array(*[F.sum((F.col("s") == i).cast("long")) for i in range(shards)]).alias("n")))

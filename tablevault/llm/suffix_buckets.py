@@ -169,16 +169,17 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, together: int =
     runs = texts.filter(F.octet_length("data") >= LENGTH).mapInPandas(
         _runs, "key binary, gram long, first long, last long, lo int, more int")
     runs = cut(runs)
-    shared = runs.groupBy("gram").agg(F.count("*").alias("members")).filter("members > 1").select("gram")
+    # sums are cut before joins: with plain exchanges on both sides Spark splits a hot bucket
+    shared = cut(runs.groupBy("gram").agg(F.count("*").alias("members")).filter("members > 1").select("gram"))
     runs = cut(runs.join(shared, "gram", "left_semi"))
     names = cut(runs.groupBy("gram", "first", "last", "more").agg(
         F.count("*").alias("n"), F.min(F.struct("key", "lo")).alias("one")))
     end = F.col("lo") + F.col("more") + LENGTH
     whole = (runs.join(names.filter("n > 1").select("gram", "first", "last", "more"), ["gram", "first", "last", "more"],
                        "left_semi").select("key", F.col("lo").alias("start"), end.alias("end")))
-    mixed = names.groupBy("gram").agg(F.count("*").alias("different")).filter("different > 1")
+    mixed = cut(names.groupBy("gram").agg(F.count("*").alias("different")).filter("different > 1"))
     asked = names.join(mixed, "gram").select("gram", "different", "n", "one.key", "one.lo", "more")
-    lists = asked.groupBy("key").agg(F.collect_set(F.struct("gram", "different", "n", "lo", "more")).alias("asked"))
+    lists = cut(asked.groupBy("key").agg(F.collect_set(F.struct("gram", "different", "n", "lo", "more")).alias("asked")))
     one = (texts.join(lists, "key").select("key", "data", F.explode("asked").alias("a"))
            .select("a.gram", "a.different", "key", "a.lo", F.col("a.n").cast("int").alias("n"),
                    F.substring("data", F.col("a.lo") + 1, F.col("a.more") + LENGTH).alias("run")))
@@ -216,8 +217,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``docs`` with a struct ``_rest`` of ``FIELDS``; its ``kept`` are the remaining bytes."""
     spans = repeated_spans(docs, id_col, text_col, together)
     # overlaps merge here: equal rows and shared windows give the same span more than once
-    lists = (spans.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
-             .withColumnRenamed("key", "_key"))
+    lists = cut(spans.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
+                .withColumnRenamed("key", "_key"))
 
     @F.pandas_udf(FIELDS)
     def rest(data: pd.Series, spans: pd.Series) -> pd.DataFrame:
