@@ -30,6 +30,14 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.unhex(F.md5(parts.cast("binary")))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """``docs`` as one struct column ``row``, so that columns of any name can stand beside it.
+
+    ``select("row.*")`` gives back the columns as they were.
+    """
+    return docs.select(F.struct("*").alias("row"))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared checkpoint folder: lineage ends there, lost executors cost nothing.
 

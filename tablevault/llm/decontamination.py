@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-A first pass counts in how many documents each three-word gram of the test items occurs. Each item's
-rarer half of grams are its seeds (rank, not a fixed count: an item that a third of all documents quote
-keeps its seeds). A second pass finds seeds in every whole text and aligns the item locally with the words
+A first pass counts in how many documents each three-word gram of the test items occurs. An item's
+seeds are its grams that are not far more frequent than its median gram (relative, not a fixed count: an
+item that a third of all documents quote keeps its seeds, and so do the grams that edited copies share). A second pass finds seeds in every whole text and aligns the item locally with the words
 around them, so copies with replaced, added or dropped words score nearly as exact ones.
 
 The items travel to the tasks in blocks of bounded size, one after the other; documents are never
@@ -29,6 +29,8 @@ WORD = re.compile(r"[^\W_]+")
 GRAM = 3
 #: Share of the best possible alignment score from which a passage counts as a copy.
 LEAST_SCORE = 0.6
+#: A gram is rare in so many documents at most: a multiple of its item's median gram, and some more.
+RARE_TIMES, RARE_MORE = 4, 16
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 16 << 20
 
@@ -74,12 +76,14 @@ class Items:
         self.short: set[int] = {len(g) for g in self.grams}
 
     def choose_seeds(self, documents: dict[tuple, int]) -> None:
-        """The rarer half of each item's grams by the number of documents that hold them."""
+        """Each item's rare grams, by the number of documents that hold them."""
         seeds = defaultdict(list)
         for i, ws in self.words.items():
-            ranked = sorted(set(grams_of(ws)), key=lambda g: (documents.get(g, 0), g))
-            for g in ranked[:(len(ranked) + 1) // 2]:
-                seeds[g].append(i)
+            own = set(grams_of(ws))
+            middle = sorted(documents.get(g, 0) for g in own)[(len(own) - 1) // 2] if own else 0
+            for g in own:
+                if documents.get(g, 0) <= RARE_TIMES * middle + RARE_MORE:
+                    seeds[g].append(i)
         self.seeds = dict(seeds)
 
     def found(self, words: list[str], among) -> set[tuple]:

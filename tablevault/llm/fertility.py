@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from tablevault.llm.common import cut
+from tablevault.llm.common import cut, packed
 
 FOLDER = "/opt/tokenizers"
 #: Files of public vocabularies in the folder, and the pattern that splits text before the merges of the first.
@@ -148,10 +148,10 @@ def group_of(lang: Column, script: Column) -> Column:
     return F.when(known.isin(*LANGUAGES), known).otherwise(F.concat(F.lit("script:"), script))
 
 
-def with_measures(docs: DataFrame, text_col: str, lang_col: str, folder: str) -> DataFrame:
+def with_measures(docs: DataFrame, text: str, lang: str, folder: str) -> DataFrame:
     """The rows with a struct column ``_m`` of measures, ``_group`` and ``_base``."""
-    df = docs.withColumn("_m", measures(folder)(F.col(text_col).cast("string")))
-    df = df.withColumn("_group", group_of(F.col(lang_col), F.col("_m.script")))
+    df = docs.withColumn("_m", measures(folder)(F.col(text).cast("string")))
+    df = df.withColumn("_group", group_of(F.col(lang), F.col("_m.script")))
     base = (F.col("_m.n_words") < MIN_WORDS) | (100 * F.col("_m.n_repeat_words") > 50 * F.col("_m.n_words"))
     return df.withColumn("_base", base)
 
@@ -210,5 +210,5 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", f
     """
     rules = bands(with_measures(docs.select(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")),
                                 "_text", "_lang", folder).drop("_text"))
-    judged = with_measures(docs, text_col, lang_col, folder)
-    return judged.filter(~F.col("_base") & ~verdict(rules)).select(*[judged[f"`{c}`"] for c in docs.columns])
+    judged = with_measures(packed(docs), f"row.`{text_col}`", f"row.`{lang_col}`", folder)
+    return judged.filter(~F.col("_base") & ~verdict(rules)).select("row.*")

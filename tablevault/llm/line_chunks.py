@@ -89,26 +89,29 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, mean_lines: int = MEAN
     return later.join(same, "digest", "left_semi").select("key", "start", "end", "digest")
 
 
-def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    mean_lines: int = MEAN_LINES, min_lines: int = MIN_LINES) -> DataFrame:
-    """``docs`` with the rest of each text, and a struct ``_lines`` (n_lines, n_removed, n_chunks)."""
+STATS = ("n_lines", "n_removed", "n_chunks")
+
+
+def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean_lines: int = MEAN_LINES,
+                    min_lines: int = MIN_LINES, stats: bool = False) -> DataFrame:
+    """``docs`` with the rest of each text; with ``stats`` also the columns of ``STATS``."""
     gone = cut(_by_document(repeated(docs, id_col, text_col, mean_lines, min_lines)))
-    df = docs.withColumn("_key", row_key(id_col, text_col))
-    df = df.join(gone.withColumnsRenamed({"key": "_key", "places": "_places"}), "_key", "left")
-    lines = F.split(F.col(text_col).cast("string"), "\n", -1)
-    df = df.withColumn("_all", F.when(F.col("_places").isNotNull(), lines))
+    df = docs.select(F.struct("*").alias("row"), row_key(id_col, text_col).alias("key"))
+    df = df.join(gone, "key", "left")
+    text = F.col(f"row.`{text_col}`")
+    df = df.withColumn("lines", F.when(F.col("places").isNotNull(), F.split(text.cast("string"), "\n", -1)))
+
     # the stretches between removed chunks: from the end of one to the start of the next
-    kept = F.transform(F.sequence(F.lit(0), F.size("_places")), lambda i: F.slice(
-        F.col("_all"),
-        F.when(i > 0, F.col("_places")[F.greatest(i - 1, F.lit(0))]["end"] + 2).otherwise(1),
-        F.when(i < F.size("_places"), F.col("_places")[F.least(i, F.size("_places") - 1)]["start"])
-        .otherwise(F.size("_all"))
-        - F.when(i > 0, F.col("_places")[F.greatest(i - 1, F.lit(0))]["end"] + 1).otherwise(0)))
-    rest = F.when(F.col("_places").isNull(), F.col(text_col)).otherwise(F.array_join(F.flatten(kept), "\n"))
-    n_removed = F.aggregate("_places", F.lit(0), lambda s, p: s + p["end"] - p["start"] + 1)
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(
-        F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1)
-    stats = F.struct(n_lines.cast("long").alias("n_lines"),
-                     F.when(F.col("_places").isNull(), 0).otherwise(n_removed).cast("long").alias("n_removed"),
-                     F.when(F.col("_places").isNull(), 0).otherwise(F.size("_places")).cast("long").alias("n_chunks"))
-    return df.withColumn("_lines", stats).withColumn(text_col, rest).drop("_key", "_places", "_all")
+    def stretch(i: Column) -> Column:
+        begin = F.when(i > 0, F.col("places")[F.greatest(i - 1, F.lit(0))]["end"] + 1).otherwise(0)
+        stop = F.when(i < F.size("places"), F.col("places")[F.least(i, F.size("places") - 1)]["start"])
+        return F.slice("lines", begin + 1, stop.otherwise(F.size("lines")) - begin)
+
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("places")), stretch))
+    rest = F.when(F.col("places").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    n_removed = F.aggregate("places", F.lit(0), lambda s, p: s + p["end"] - p["start"] + 1)
+    n_lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
+    counts = [n_lines, F.coalesce(n_removed, F.lit(0)), F.when(F.col("places").isNull(), 0).otherwise(F.size("places"))]
+    out = df.select(F.col("row").withField(f"`{text_col}`", rest).alias("row"),
+                    *[c.cast("long").alias(n) for c, n in zip(counts, STATS, strict=True) if stats])
+    return out.select("row.*", *(STATS if stats else ()))

@@ -265,6 +265,6 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each class, columns unchanged; of equal rows one."""
-    firsts = classify(docs, id_col, text_col).filter("is_first").select(F.col("key").alias("_key")).distinct()
-    keyed = docs.withColumn("_key", row_key(id_col, text_col)).dropDuplicates(["_key"])
-    return keyed.join(firsts, "_key", "left_semi").drop("_key")
+    firsts = classify(docs, id_col, text_col).filter("is_first").select("key").distinct()
+    keyed = docs.select(F.struct("*").alias("row"), row_key(id_col, text_col).alias("key")).dropDuplicates(["key"])
+    return keyed.join(firsts, "key", "left_semi").select("row.*")

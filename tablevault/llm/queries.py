@@ -61,12 +61,11 @@ def op8_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = suffix_buckets.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rest.select("doc_id", "_rest.n_bytes", "_rest.n_removed", "_rest.n_spans", "_rest.kept_sha256")
+    return rest.select("row.doc_id", "rest.n_bytes", "rest.n_removed", "rest.n_spans", "rest.kept_sha256")
 
 
 def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rest = line_chunks.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rest.select("doc_id", "text", "_lines.*")
+    return line_chunks.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"), stats=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -10,7 +10,7 @@ texts, drawn by a hash of the text, is encoded by sentencepiece as well. Where o
 sentencepiece's own ids are returned and the row says so.
 
 Defined results: a null or empty text has no ids and decodes to the empty string; strings that look
-like control pieces are ordinary text; lone surrogates cannot occur in Spark strings; equal rows get
+like control pieces are ordinary text; a metaspace mark (U+2581) in a text decodes to a space, as in SentencePiece itself; lone surrogates cannot occur in Spark strings; equal rows get
 equal results; other columns do not matter.
 """
 

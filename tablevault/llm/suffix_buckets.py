@@ -214,11 +214,10 @@ FIELDS = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept b
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    together: int = TOGETHER) -> DataFrame:
-    """``docs`` with a struct ``_rest`` of ``FIELDS``; its ``kept`` are the remaining bytes."""
+    """Structs ``row`` (the columns of ``docs``) and ``rest`` (``FIELDS``; its ``kept`` are the remaining bytes)."""
     spans = repeated_spans(docs, id_col, text_col, together)
     # overlaps merge here: equal rows and shared windows give the same span more than once
-    lists = cut(spans.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
-                .withColumnRenamed("key", "_key"))
+    lists = cut(spans.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")))
 
     @F.pandas_udf(FIELDS)
     def rest(data: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -229,5 +228,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out.append((len(d), len(d) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept))
         return pd.DataFrame(out, columns=[f.split()[0] for f in FIELDS.split(", ")])
 
-    df = docs.withColumn("_key", row_key(id_col, text_col)).join(lists, "_key", "left")
-    return df.withColumn("_rest", rest(F.encode(text_of(text_col), "UTF-8"), "_spans")).drop("_key", "_spans")
+    df = docs.select(F.struct("*").alias("row"), row_key(id_col, text_col).alias("key")).join(lists, "key", "left")
+    data = F.encode(text_of(f"row.`{text_col}`"), "UTF-8")
+    return df.select("row", rest(data, "spans").alias("rest"))
