@@ -22,9 +22,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the line chunks that stand elsewhere already; those left without a word go."""
-    rest = line_chunks.remove_repeated(docs).drop("_lines")
+    rest = line_chunks.remove_repeated(docs)
     rest = rest.filter(F.coalesce(F.col("text"), F.lit("")).rlike(r"\S"))
-    return rest.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return rest.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
