@@ -65,8 +65,8 @@ def escape_sql(c) -> Column:
     return out
 
 
-# an escape (backslash + any char), a run without backslashes, or a lone trailing backslash
-_UNESCAPE_TOKEN_RE = r"(?s)\\.|[^\\]++|\\"
+# an escape (backslash + any char), a doubled quote, a run without either, or a lone quote or backslash
+_UNESCAPE_TOKEN_RE = r"(?s)\\.|''|[^\\']++|'|\\"
 
 
 def unescape_sql(c) -> Column:
@@ -78,11 +78,11 @@ def unescape_sql(c) -> Column:
     skip all of it.
     """
     x = _col(c)
-    pairs = [("\\" + letter, raw) for letter, raw in SQL_UNESCAPES] + [("\\\\", "\\")]
+    pairs = [("\\" + letter, raw) for letter, raw in SQL_UNESCAPES] + [("\\\\", "\\"), ("''", "'")]
     table = F.create_map(*[F.lit(v) for pair in pairs for v in pair])
     tokens = F.regexp_extract_all(x, F.lit(_UNESCAPE_TOKEN_RE), 0)
     out = F.array_join(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(table, t), t)), "")
-    return F.when(x.contains("\\"), out).otherwise(x)
+    return F.when(x.contains("\\") | x.contains("''"), out).otherwise(x)
 
 
 def quote_ident(name: str) -> str:
@@ -109,9 +109,31 @@ def lit_float(c, mode: str = COMPAT) -> Column:
     """``%f`` (six fixed decimals) in compat mode, shortest round-trip text in exact mode."""
     _check_mode(mode)
     x = _col(c).cast("double")
-    if mode == COMPAT:
-        return F.format_string("%f", x)
-    return x.cast("string")
+    return _six_decimals(x) if mode == COMPAT else x.cast("string")
+
+
+def _six_decimals(x: Column) -> Column:
+    """``%f`` of the exact binary value, halves to even.
+
+    Java's own ``%f`` rounds the shortest decimal text instead. The fraction times 10**6 is computed with its
+    rounding error (the fraction is split into 26-bit halves, so all partial products are exact). Beyond
+    2**53 a double has no fraction and Java's text is taken; not-a-numbers and infinities as well.
+    """
+    size = F.abs(x)
+    whole = F.floor(size)
+    part = size - whole
+    wide = part * F.lit(134217729.0)
+    high = wide - (wide - part)
+    product = part * F.lit(1e6)
+    error = (high * F.lit(1e6) - product) + (part - high) * F.lit(1e6)
+    down = F.floor(product)
+    over = product - down - F.lit(0.5)
+    up = (over > 0) & ~((over == 0) & (error < 0)) | (over == 0) & ((error > 0) | (error == 0) & (down % 2 == 1))
+    digits = down + F.when(up, 1).otherwise(0)
+    carried = whole + F.when(digits == 1000000, 1).otherwise(0)
+    text = F.concat(F.when(x.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit("")),
+                    carried.cast("string"), F.lit("."), F.lpad((digits % 1000000).cast("string"), 6, "0"))
+    return F.when(size < F.lit(float(2**53)), text).otherwise(F.format_string("%f", x))
 
 
 def lit_bool(c) -> Column:

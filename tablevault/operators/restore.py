@@ -2,9 +2,9 @@
 
 R4 is the core of restore on Spark. Statements are found, cut into tuples and values with Java
 regular expressions (possessive quantifiers: linear, no deep backtracking), exploded, unescaped
-and cast to the target schema - all JVM expressions, no Python per row. R1 (whole-script split,
-honouring ``DELIMITER`` blocks) is inherently sequential inside one file, so it runs once per file
-in ``mapInPandas``; the dump writer never lets a statement cross a file.
+and cast to the target schema - all JVM expressions, no Python per row. R1 (whole-script split by the
+script grammar) is inherently sequential inside one file, so it runs once per file in ``mapInPandas``;
+the dump writer never lets a statement cross a file.
 """
 
 from __future__ import annotations
@@ -21,106 +21,158 @@ from tablevault.functions.literals import unescape_sql
 from tablevault.operators.common import broadcast_if_small
 
 # Java regular expressions for the dump grammar (section 7.5 of the survey).
-QUOTED = r"'(?:[^'\\]++|\\.)*+'"
-STATEMENT_RE = r"INSERT INTO (?:[^';]++|" + QUOTED + r")*+;"
-TUPLE_RE = r"\((?:[^'()]++|" + QUOTED + r")*+\)"
-VALUE_RE = r"_binary\s*+" + QUOTED + r"|[Xx]'[0-9A-Fa-f]*+'|" + QUOTED + r"|[^,']++"
-TABLE_RE = r"^INSERT INTO `((?:[^`]|``)+)`"
-COLUMNS_RE = r"^INSERT INTO `(?:[^`]|``)+` \(([^)]*)\) VALUES "
-
-# The two statements whose database name restore rewrites (reference patterns).
-USE_RE = r"(?i)^(USE\s*`)([^\s]+)(`\s*;)$"
-CREATE_DB_RE = r"(?i)^(CREATE\s+DATABASE\s*(/\*.*\*/\s*)?`)([^\s]+)(`\s*(\s*/\*.*\*/\s*)?\s*;$)"
+QUOTED = r"'(?:[^'\\]++|\\.|'')*+'"
+NAME = r"`(?:[^`]++|``)++`"
+STATEMENT_RE = r"(?s)INSERT INTO (?:[^';]++|" + QUOTED + r")*+;"
+TUPLE_RE = r"(?s)\((?:[^'()]++|" + QUOTED + r")*+\)"
+VALUE_RE = r"(?s)_binary\s*+" + QUOTED + r"|[Xx]'[0-9A-Fa-f]*+'|" + QUOTED + r"|[^,']++"
+TABLE_RE = r"^INSERT INTO (" + NAME + r")"
+# everything before the first tuple, anchored: data cannot be mistaken for it
+HEAD_RE = r"^INSERT INTO " + NAME + r" ?\(((?:" + NAME + r",? ?)++)\) VALUES ?"
 
 SPLIT_SCHEMA = "file string, pos long, stmt string"
 
 
 # --- R1 / S6: statements of whole scripts -------------------------------------------------------
-
-def iter_statements(lines) -> Iterator[str]:
-    """R1 over an iterator of lines: blank lines dropped, CR/LF trimmed, a statement ends at a
-    line ending in the current delimiter, ``DELIMITER x`` ... ``DELIMITER ;`` kept as one
-    statement, and an unterminated tail is still returned. Memory holds one statement at a time."""
-    default = ";"
-    delim = default
-    current: list[str] = []
-    for raw in lines:
-        line = raw.rstrip("\r\n")
-        if line == "":
-            continue
-        if line.strip().upper().startswith("DELIMITER"):
-            parts = line.split()
-            if len(parts) >= 2:
-                new = parts[1].strip()
-                if new == default and delim != default:
-                    cur = "".join(current).strip()
-                    if cur.endswith(delim):
-                        cur = cur[: -len(delim)]
-                    current = [cur + "\n"]
-                delim = new
-        else:
-            current.append(line + "\n")
-            if delim != default or not line.endswith(delim):
-                continue
-        stmt = "".join(current).strip()
-        current = []
-        if stmt:
-            yield stmt
-    tail = "".join(current).strip()
-    if tail:
-        yield tail
+#
+# The grammar of a script: statements end at the delimiter (";" until a DELIMITER line names another), but not
+# inside quotes or comments. A quoted string or name ends at its quote; a doubled quote stays inside, and so
+# does a quote after a backslash (not in names). Comments run to the line's end after "-- " or "#", or from
+# "/*" to "*/"; those that begin with "/*!" hold code and are scanned as such.
+
+_TOKEN = re.compile(
+    rb"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|`(?:[^`]|``)*`|/\*(?!!).*?\*/|(?:--(?=\s)|#)[^\n]*|/\*!|\*/", re.S)
+_OPENERS = re.compile(rb"['\"`#]|--(?=\s)|/\*")
+_PLAIN = re.compile(rb"(?:[^'\"`#/;\n-]++|'(?:[^'\\]++|\\.)*+'|`[^`]*+`)*+", re.S)
+_DELIMITER_LINE = re.compile(rb"[ \t]*DELIMITER[ \t]+(\S+)[ \t]*\r?\n?", re.I)
+_BINARY = re.compile(rb"_binary\s*'((?:[^'\\]|\\.|'')*)'", re.S)
+_ESCAPED = re.compile(rb"\\(.)|''", re.S)
+# MySQL escapes, letter and byte.
+_BYTES = {b"0": b"\x00", b"b": b"\b", b"n": b"\n", b"r": b"\r", b"t": b"\t", b"Z": b"\x1a"}
+
+
+def _as_text(statement: bytes) -> str:
+    """A statement as text. Raw bytes in ``_binary`` literals become hex literals of the same value."""
+    try:
+        return statement.decode("utf-8")
+    except UnicodeDecodeError:
+        pass
+
+    def hexed(m: re.Match) -> bytes:
+        raw = _ESCAPED.sub(lambda e: b"'" if e[1] is None else _BYTES.get(e[1], e[1]), m[1])
+        return b"X'" + raw.hex().upper().encode() + b"'"
+
+    return _BINARY.sub(hexed, statement).decode("utf-8")
+
+
+class Splitter:
+    """Finds statements in a stream of byte blocks; holds the open statement and nothing before it."""
+
+    def __init__(self):
+        self.data, self.scanned, self.delimiter = bytearray(), 0, b";"
+
+    def feed(self, block: bytes, final: bool = False) -> Iterator[bytes]:
+        self.data += block
+        while self.scanned < len(self.data):
+            data, at = self.data, self.scanned
+            if at == 0 or data[at - 1] == 10:  # only a line's beginning can change the delimiter
+                word = bytes(data[at:at + 256]).lstrip(b" \t")[:10].upper()
+                if len(word) < 10 and not final:
+                    return
+                if word.startswith((b"DELIMITER ", b"DELIMITER\t")):
+                    end = data.find(b"\n", at)
+                    if end < 0 and not final:
+                        return
+                    line = _DELIMITER_LINE.match(data, at)
+                    if line:
+                        size, delimiter = line.end() - line.start(), bytes(line[1])
+                        del line  # it refers to the buffer
+                        yield from self._cut(at, 0)
+                        del self.data[:size]
+                        self.delimiter = delimiter
+                        continue
+            if self.delimiter == b";":  # values and names in one step
+                run = _PLAIN.match(data, at).end()
+                if run > at:
+                    self.scanned = run
+                    continue
+            end = data.find(b"\n", at)
+            # a delimiter or the start of a comment may be cut by the end of the block
+            stop = end + 1 if end >= 0 else len(data) if final else len(data) - 16
+            if stop <= at:
+                return
+            opener = _OPENERS.search(data, at)
+            first = min(stop, opener.start()) if opener else stop
+            ends = data.find(self.delimiter, at, first)
+            if ends >= 0:
+                yield from self._cut(ends + len(self.delimiter), 0 if self.delimiter == b";" else len(self.delimiter))
+            elif opener and opener.start() < stop:
+                token = _TOKEN.match(data, opener.start())
+                if token is None and not final or token and token.end() == len(data) and not final:
+                    return  # the quote or comment may go on in the next block
+                self.scanned = token.end() if token else len(data)
+            else:
+                self.scanned = stop
+        if final:
+            yield from self._cut(len(self.data), 0)
+
+    def _cut(self, at: int, drop: int) -> Iterator[bytes]:
+        statement = bytes(self.data[:at - drop]).strip()
+        del self.data[:at]
+        self.scanned = 0
+        if statement:
+            yield statement
+
+
+def statements_of(blocks) -> Iterator[str]:
+    """R1 over an iterator of byte blocks."""
+    splitter = Splitter()
+    for block in blocks:
+        for statement in splitter.feed(block):
+            yield _as_text(statement)
+    for statement in splitter.feed(b"", final=True):
+        yield _as_text(statement)
 
 
 def split_script_text(text: str) -> list[str]:
-    """R1 on one script held as a string (see :func:`iter_statements`)."""
-    return list(iter_statements(text.split("\n")))
+    """R1 on one script held as a string."""
+    return list(statements_of([text.encode("utf-8")]))
+
+
+READ_BYTES = 1 << 20
+BATCH_BYTES = 8 << 20
+
 
+def _blocks(handle) -> Iterator[bytes]:
+    while block := handle.read(READ_BYTES):
+        yield block
 
-def _open_lines(filesystem, path: str):
-    """Text lines of a (possibly gzip / bzip2 compressed) file, streamed."""
+
+def _open_bytes(filesystem, path: str):
+    """A (possibly gzip / bzip2 compressed) file as a byte stream."""
     import bz2
     import gzip
-    import io
 
     # pyarrow would guess the codec from .gz / .bz2 only; open raw and pick it here
     raw = filesystem.open_input_stream(path, compression=None)
     if path.endswith((".gz", ".tgz")):
-        raw = gzip.GzipFile(fileobj=raw)
-    elif path.endswith((".bz2", ".tbz2")):
-        raw = bz2.BZ2File(raw)
-    return io.TextIOWrapper(raw, encoding="utf-8", newline="\n")
-
-
-BATCH_ROWS = 2048
-
-
-def _iter_lines(fh, block: int = 1 << 20) -> Iterator[str]:
-    """Lines of a non-seekable binary stream (tar members in stream mode), UTF-8 decoded."""
-    import codecs
-
-    decoder = codecs.getincrementaldecoder("utf-8")()
-    carry = ""
-    while True:
-        data = fh.read(block)
-        text = carry + decoder.decode(data or b"", final=not data)
-        if not data:
-            if text:
-                yield text
-            return
-        *full, carry = text.split("\n")
-        for line in full:
-            yield line + "\n"
+        return gzip.GzipFile(fileobj=raw)
+    if path.endswith((".bz2", ".tbz2")):
+        return bz2.BZ2File(raw)
+    return raw
 
 
 def _batched(rows, columns):
-    buf = []
+    """Frames of about ``BATCH_BYTES`` of statement text (the last column), one statement at least."""
+    held, size = [], 0
     for r in rows:
-        buf.append(r)
-        if len(buf) >= BATCH_ROWS:
-            yield pd.DataFrame(buf, columns=columns)
-            buf = []
-    if buf:
-        yield pd.DataFrame(buf, columns=columns)
+        held.append(r)
+        size += len(r[-1])
+        if size >= BATCH_BYTES:
+            yield pd.DataFrame(held, columns=columns)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns)
 
 
 def _list_files(spark, path: str, suffixes: tuple[str, ...] | None = None) -> DataFrame:
@@ -171,8 +223,8 @@ def read_scripts(spark, path: str, path_glob: str | None = None) -> DataFrame:
         for pdf in batches:
             for root, p in zip(pdf["root"], pdf["path"]):
                 filesystem, _ = fs.FileSystem.from_uri(normalize_url(root))
-                with _open_lines(filesystem, p) as lines:
-                    rows = ((p, i, st) for i, st in enumerate(iter_statements(lines)))
+                with _open_bytes(filesystem, p) as handle:
+                    rows = ((p, i, st) for i, st in enumerate(statements_of(_blocks(handle))))
                     yield from _batched(rows, ["file", "pos", "stmt"])
 
     return files.repartition(n, "path").mapInPandas(split, SPLIT_SCHEMA)
@@ -206,8 +258,8 @@ def read_archives(spark, path: str) -> DataFrame:
                     for m in tar:
                         if not m.isfile():
                             continue
-                        lines = _iter_lines(tar.extractfile(m))
-                        rows = ((p, m.name, i, st) for i, st in enumerate(iter_statements(lines)))
+                        blocks = _blocks(tar.extractfile(m))
+                        rows = ((p, m.name, i, st) for i, st in enumerate(statements_of(blocks)))
                         yield from _batched(rows, ["archive", "member", "pos", "stmt"])
 
     return files.repartition(n, "path").mapInPandas(members, ARCHIVE_SCHEMA)
@@ -239,36 +291,28 @@ def mapping_frame(spark, spec: str) -> DataFrame:
     return spark.createDataFrame(rows, "from_db string, to_db string")
 
 
-def _strip_comment_lines(c: Column) -> Column:
-    # statements of full-mode scripts carry their '--' comment lines; drop them before matching
-    # (F.trim only strips spaces; statements also start and end with newlines)
-    return F.regexp_replace(F.regexp_replace(c, r"(?m)^--[^\n]*(\n|$)", ""), r"^\s+|\s+$", "")
+#: A statement that names the current database: comment lines, then USE or CREATE DATABASE with versioned
+#: comments around the name. Groups: all between the comment lines and the name, the name, all after it.
+DATABASE_RE = (r"(?is)^(?:\s*--[^\n]*\n|\s*\n)*\s*((?:USE|CREATE\s+DATABASE(?:\s*/\*.*?\*/)?)\s*`)"
+               r"((?:[^`]|``)+)(`(?:\s*/\*.*?\*/)*\s*;?\s*)$")
 
 
-def remap_databases(stmts: DataFrame, mapping: DataFrame, stmt: str = "stmt",
-                    strip_comments: bool = True) -> DataFrame:
+def remap_databases(stmts: DataFrame, mapping: DataFrame, stmt: str = "stmt") -> DataFrame:
     """R2: rename the database in ``CREATE DATABASE `x``` and ``USE `x`;`` by a mapping frame.
 
-    The name lookup is exact (as the reference's map lookup); names without a mapping are kept.
+    The name lookup is exact; names without a mapping are kept. INSERT statements, nearly all of a dump's
+    bytes, are passed by a test of their first letters.
     """
-    s = _strip_comment_lines(F.col(stmt)) if strip_comments else F.col(stmt)
-    name = F.coalesce(F.nullif(F.regexp_extract(s, CREATE_DB_RE, 3), F.lit("")),
-                      F.nullif(F.regexp_extract(s, USE_RE, 2), F.lit("")))
+    text = F.col(stmt)
+    candidate = ~F.startswith(text, F.lit("INSERT INTO")) & text.rlike(DATABASE_RE)
+    name = F.when(candidate, F.replace(F.regexp_extract(text, DATABASE_RE, 2), F.lit("``"), F.lit("`")))
     m = broadcast_if_small(mapping.select(F.col("from_db").alias("_from"), F.col("to_db").alias("_to")))
-    joined = stmts.withColumn("_s", s).withColumn("_name", name).join(
-        m, F.col("_name") == F.col("_from"), "left")
-    is_create = F.col("_s").rlike(CREATE_DB_RE)
-    is_use = F.col("_s").rlike(USE_RE)
+    joined = stmts.withColumn("_name", name).join(m, F.col("_name") == F.col("_from"), "left")
     # the replacement is built by concatenation, so '$' or '\' in a new name is taken literally
-    renamed_create = F.concat(F.regexp_extract("_s", CREATE_DB_RE, 1), F.col("_to"),
-                              F.regexp_extract("_s", CREATE_DB_RE, 4))
-    renamed_use = F.concat(F.regexp_extract("_s", USE_RE, 1), F.col("_to"),
-                           F.regexp_extract("_s", USE_RE, 3))
-    new = (F.when(F.col("_to").isNull(), F.col(stmt))
-           .when(is_create, renamed_create)
-           .when(is_use, renamed_use)
-           .otherwise(F.col(stmt)))
-    return joined.withColumn(stmt, new).drop("_s", "_name", "_from", "_to")
+    renamed = F.concat(F.regexp_extract(text, DATABASE_RE, 1), F.replace(F.col("_to"), F.lit("`"), F.lit("``")),
+                       F.regexp_extract(text, DATABASE_RE, 3))
+    new = F.when(F.col("_to").isNotNull(), renamed).otherwise(text)
+    return joined.withColumn(stmt, new).drop("_name", "_from", "_to")
 
 
 def filter_databases(stmts: DataFrame, include: DataFrame, db: str = "db") -> DataFrame:
@@ -311,14 +355,17 @@ def load_inserts(stmts: DataFrame, table: str, schema: T.StructType, stmt: str =
     column order still loads. Columns missing from the statement come back null. Each column's
     index in the list is found once per statement, before the tuples are exploded.
     """
-    from tablevault.operators.statements import spread
+    from tablevault.functions.literals import quote_ident
 
     keep = keep or []
-    name = F.replace(F.regexp_extract(F.col(stmt), TABLE_RE, 1), F.lit("``"), F.lit("`"))
-    mine = spread(stmts.where(name == F.lit(table)))
-    cols = F.transform(F.split(F.regexp_extract(F.col(stmt), COLUMNS_RE, 1), ", "),
-                       lambda c: F.replace(F.regexp_replace(c, r"^`|`$", ""), F.lit("``"), F.lit("`")))
-    body = F.substring_index(F.col(stmt), " VALUES ", -1)
+    mine = stmts.where(F.regexp_extract(F.col(stmt), TABLE_RE, 1) == F.lit(quote_ident(table)))
+    head = F.regexp_extract(F.col(stmt), HEAD_RE, 0)
+    cols = F.transform(F.regexp_extract_all(F.regexp_extract(F.col(stmt), HEAD_RE, 1), F.lit(NAME), 0),
+                       lambda c: F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit("``"), F.lit("`")))
+    known = F.array(*[F.lit(f.name) for f in schema.fields]).cast("array<string>")
+    cols = F.when(F.arrays_overlap(cols, known), cols).otherwise(F.raise_error(
+        F.concat(F.lit("no known column in: "), F.substring(F.col(stmt), 1, 200))).cast("array<string>"))
+    body = F.col(stmt).substr(F.length(head) + 1, F.length(stmt))
     idx_names = [f"_i{i}" for i in range(len(schema.fields))]
     # column list, per-column indexes and VALUES body first: the explode below then carries only
     # a few ints next to each tuple, never the whole (up to max_packet bytes) statement
@@ -340,16 +387,23 @@ def load_inserts(stmts: DataFrame, table: str, schema: T.StructType, stmt: str =
     return vals.select(*keep, *out)
 
 
-def load_script_lines(lines: DataFrame, tables: dict[str, T.StructType], value: str = "value",
-                      keep: list[str] | None = None) -> dict[str, DataFrame]:
-    """R4 over text lines of dump files: one typed DataFrame per table named in ``tables``.
+def load_scripts(stmts: DataFrame, tables: dict[str, T.StructType], stmt: str = "stmt",
+                 keep: list[str] | None = None) -> dict[str, DataFrame]:
+    """R4 over whole statements (:func:`read_scripts`): one typed DataFrame per table named in ``tables``.
 
-    Each table's frame first keeps the lines holding its ``INSERT INTO `t``` text (a plain
-    substring test), so the statement regex never runs over other tables' lines.
+    The body of a stored program is one statement that begins with CREATE, so INSERTs in it are not data.
     """
-    from tablevault.functions.literals import quote_ident
+    data = stmts.where(F.startswith(F.col(stmt), F.lit("INSERT INTO")))
+    return {t: load_inserts(data, t, s, stmt, keep) for t, s in tables.items()}
 
-    def mine(t: str) -> DataFrame:
-        return statements_in_lines(lines.where(F.col(value).contains(f"INSERT INTO {quote_ident(t)}")), value)
 
-    return {t: load_inserts(mine(t), t, s, keep=keep) for t, s in tables.items()}
+def load_script_lines(lines: DataFrame, tables: dict[str, T.StructType], value: str = "value",
+                      keep: list[str] | None = None) -> dict[str, DataFrame]:
+    """R4 over the data lines of dump files without stored programs: one typed DataFrame per table.
+
+    A line is known by its beginning, so a program's lines would be taken for data; scripts that may hold
+    programs are read with :func:`read_scripts` and :func:`load_scripts`. A compact line may hold several
+    statements.
+    """
+    data = statements_in_lines(lines.where(F.startswith(F.col(value), F.lit("INSERT INTO"))), value)
+    return {t: load_inserts(data, t, s, keep=keep) for t, s in tables.items()}

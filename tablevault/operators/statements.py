@@ -1,53 +1,34 @@
 """INSERT statement generation: D1 prefix, D2 one row per statement, D3 packed statements.
 
-D2 is a pure projection (no shuffle). D3 is an ordered greedy fold, which no built-in aggregate
-expresses, so it runs as ``applyInArrow`` over *bounded* chunks of consecutive rows:
-
-1. rows are range-partitioned and sorted on the caller's key (distributed sort, no single task),
-2. each row gets its global position from per-partition counts (a tiny frame with one row per
-   partition, broadcast back) plus its index inside the partition,
-3. ``chunk = position div rows_per_chunk`` bounds every group, whatever the key skew; by default
-   the rows per chunk come from the table's average tuple size, so a chunk holds about
-   ``max(64 MiB, 16 * max_packet)`` of text,
-4. the fold packs tuples of a chunk into statements of at most ``max_packet`` bytes.
-
-Packing restarts at chunk boundaries, so the output does not depend on the cluster size or on the
-number of partitions: the same table always gives the same statements. A table whose text fits in
-one chunk is packed exactly as one greedy pass over the whole table; a larger table gets at most
-one extra (shorter) statement per chunk, about one in sixteen.
+D2 is a pure projection (no shuffle). D3 packs the rows, in key order, as one greedy pass over the whole
+table would, whatever the number of partitions:
+
+1. rows are range-partitioned and sorted on the caller's key (distributed sort, no single task);
+2. where a statement starts depends on the bytes that the open statement holds when a partition begins. A
+   partition is therefore a function: bytes carried in -> first start, number of starts, bytes carried out.
+   With running sums of the tuple sizes it is a table over the first packet of the partition;
+3. these functions are composed in groups of ``FAN`` partitions, group by group up to one, and the carried
+   bytes walk back down, so no task and not the driver sees all partitions;
+4. statements that lie within a partition are joined there, streaming; the rows at partition ends, less
+   than a packet each, meet in a grouping by statement number.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
-import pyarrow as pa
-import pyarrow.compute as pc
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablevault.operators.common import broadcast_known
 from tablevault.functions.literals import COMPAT, quote_ident, row_tuple
+from tablevault.operators.common import broadcast_known
 from tablevault.session import ensure_checkpoint_dir
 
 DEFAULT_MAX_PACKET = 4194304
-DEFAULT_ROWS_PER_CHUNK = None  # no row cap: chunk_bytes decides
-DEFAULT_CHUNK_BYTES = 64 * 1024 * 1024
-
-PACKED_SCHEMA = "chunk long, seq int, stmt string, n_rows long, n_bytes long"
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the cluster when the source has fewer splits than cores.
-
-    A big table read from many files is already spread, and this is a no-op; a table stored as a
-    few large row groups would otherwise be rendered by a few tasks only.
-    """
-    spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+#: Partitions (or groups of them) composed in one task.
+FAN = 32
 
 
 def insert_prefix(table: str, columns: list[str]) -> str:
@@ -60,187 +41,252 @@ def insert_single(df: DataFrame, table: str, columns: list[str] | None = None, m
                   keep: list[str] | None = None) -> DataFrame:
     """One ``INSERT ... VALUES (...);`` per row, as column ``stmt`` (plus ``keep`` columns)."""
     cols = columns or df.columns
-    df = spread(df)
     stmt = F.concat(F.lit(insert_prefix(table, cols)), row_tuple(df, cols, mode), F.lit(";"))
     return df.select(*[F.col(quote_ident(k)) for k in (keep or [])], stmt.alias("stmt"))
 
 
-def with_positions(df: DataFrame, key: list[str], num_partitions: int | None = None,
-                   keep: list[str] | None = None) -> DataFrame:
-    """Add ``_pos`` (0-based, long): the row's rank in ``key`` order (see :func:`positions`)."""
-    return positions(df, key, num_partitions, keep)[0]
-
-
-def positions(df: DataFrame, key: list[str], num_partitions: int | None = None,
-              keep: list[str] | None = None, measure: Callable[[DataFrame], Column] | None = None):
-    """Rank rows in ``key`` order without one task; returns ``(frame with _pos, stats)``.
-
-    The input is range-partitioned and sorted on ``key``; each row's position is the number of
-    rows in earlier partitions plus its index inside its own partition. The per-partition counts
-    are one row per partition (bounded by the partition count, not by the data), so they are
-    brought to the driver and broadcast back as offsets. ``key`` must be unique or the whole row:
-    then rows with equal keys are identical, and a tie-break on input order lets a hot group of
-    identical rows spread over many range partitions without changing any output text.
+def sorted_rows(df: DataFrame, key: list[str] | None, num_partitions: int | None = None,
+                keep: list[str] | None = None) -> DataFrame:
+    """Rows in ``key`` order over range partitions, with ``_pid`` and ``_idx`` (index in the partition).
 
-    The range exchange samples its bounds with a seed tied to the plan, so two plans over the
-    same input may cut partitions at different keys. The sorted rows are therefore checkpointed
-    once (to ``spark.checkpoint.dir``): counts and rows then come from the same partitions, and a
-    lost executor re-reads the checkpoint instead of re-sampling.
+    ``key`` must be unique or the whole row: then rows with equal keys are identical, and a tie-break on input
+    order lets a hot group of identical rows spread over many partitions without changing any text. Without
+    a key the rows are ordered by a fixed-width hash of the row: the range exchange samples its keys to the
+    driver, and whole rows of long text would not be small.
 
-    ``measure`` (optional) maps the checkpointed frame to a per-row size; its exact total comes
-    back in ``stats["measure"]`` from the same job as the counts.
+    The exchange samples its bounds with a seed tied to the plan, so two plans over the same input may cut at
+    different keys. The sorted rows are therefore checkpointed once (to ``spark.checkpoint.dir``); a lost
+    executor re-reads the checkpoint instead of sampling again.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(quote_ident(k)) for k in key]
-    tie = F.monotonically_increasing_id()
-    ordered = (
-        df.withColumn("_tie", tie)
-        .repartitionByRange(n, *keys, F.col("_tie"))
-        .sortWithinPartitions(*keys, F.col("_tie"))
-        .select(*[F.col(quote_ident(c)) for c in (keep or df.columns)],
-                F.spark_partition_id().alias("_pid"),
-                F.monotonically_increasing_id().alias("_mid"))
-        .checkpoint(eager=True)
-    )
-    aggs = [F.count(F.lit(1)).alias("_cnt")]
-    if measure is not None:
-        aggs.append(F.sum(measure(ordered).cast("long")).alias("_size"))
-    per_part = sorted(tuple(r) for r in ordered.groupBy("_pid").agg(*aggs).collect())
-    offsets, total, size = [], 0, 0
-    for row in per_part:
-        offsets.append((row[0], total))
-        total += row[1]
-        size += (row[2] or 0) if measure is not None else 0
-    off_df = spark.createDataFrame(offsets or [(0, 0)], "_pid int, _off long")
-    # index inside the partition: monotonically_increasing_id puts the partition id in the upper
-    # 31 bits and the record number in the lower 33 bits.
-    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    out = (ordered.join(broadcast_known(off_df, len(offsets)), "_pid")
-           .withColumn("_pos", (F.col("_off") + local).cast("long"))
-           .drop("_pid", "_mid", "_off"))
-    return out, {"rows": total, "measure": size if measure is not None else None}
+    columns = [F.col(quote_ident(c)) for c in (keep or df.columns)]
+    bounds = [F.col(quote_ident(k)) for k in key] if key else [F.xxhash64(*_comparable(df))]
+    order = bounds if key else [*bounds, *_comparable(df)]
+    return (df.withColumn("_tie", F.monotonically_increasing_id())
+            .repartitionByRange(n, *bounds, F.col("_tie"))
+            .sortWithinPartitions(*order, F.col("_tie"))
+            .select(*columns, F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid"))
+            # that id holds the partition in its upper 31 bits and the record number in the lower 33
+            .withColumn("_idx", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)).drop("_mid")
+            .checkpoint(eager=True))
+
+
+def _comparable(df: DataFrame) -> list[Column]:
+    """The columns, maps as text (a map can be neither hashed nor ordered)."""
+    from pyspark.sql import types as T
 
+    return [F.to_json(F.col(quote_ident(f.name))) if isinstance(f.dataType, T.MapType) else F.col(quote_ident(f.name))
+            for f in df.schema.fields]
 
-def _greedy_starts(sizes: list[int], prefix_bytes: int, max_packet: int) -> tuple[list[int], list[int]]:
-    """Statement starts and byte sizes for one chunk (the reference's greedy rule).
 
-    Before adding a tuple to a non-empty buffer, close the buffer when buffer + tuple would pass
-    ``max_packet - 1`` bytes (the joining comma and the closing ``;`` are not counted).
-    """
-    starts: list[int] = []
-    nbytes: list[int] = []
-    cur = 0
-    for i, size in enumerate(sizes):
-        if starts and cur + size > max_packet - 1:
-            nbytes.append(cur + 1)
-            starts.append(i)
-            cur = prefix_bytes + size
-        elif not starts:
-            starts.append(i)
-            cur = prefix_bytes + size
-        else:
-            cur += 1 + size
-    if starts:
-        nbytes.append(cur + 1)
-    return starts, nbytes
-
-
-def _pack_chunk(prefix_bytes: int, max_packet: int, prefix: str):
-    """Greedy fold of one chunk of (pos, tuple, nbytes) into statements, in Arrow.
-
-    Python only walks the integer sizes; the statements are built by joining list slices of the
-    tuple array with Arrow compute, so no per-tuple Python string is ever made.
-    """
+def with_positions(df: DataFrame, key: list[str], num_partitions: int | None = None,
+                   keep: list[str] | None = None) -> DataFrame:
+    """Add ``_pos`` (0-based, long): the row's rank in ``key`` order.
 
-    def fold(table: pa.Table) -> pa.Table:
-        t = table.sort_by("_pos")
-        chunk = t.column("_chunk")[0].as_py() if t.num_rows else 0
-        starts, nbytes = _greedy_starts(t.column("_tb").to_pylist(), prefix_bytes, max_packet)
-        # 64-bit offsets throughout: a chunk's text may pass 2 GiB only in theory, but cheaply
-        tuples = t.column("_tuple").combine_chunks().cast(pa.large_string())
-        offsets = pa.array(starts + [t.num_rows], pa.int64())
-        lists = pa.LargeListArray.from_arrays(offsets, tuples)
-        joined = pc.binary_join(lists, pa.scalar(",", pa.large_string()))
-        lt = pa.large_string()
-        stmts = pc.binary_join_element_wise(pa.scalar(prefix, lt), joined, pa.scalar(";", lt),
-                                            pa.scalar("", lt))
-        counts = [e - s for s, e in zip(starts, starts[1:] + [t.num_rows])]
-        return pa.table({
-            "chunk": pa.array([chunk] * len(starts), pa.int64()),
-            "seq": pa.array(range(len(starts)), pa.int32()),
-            "stmt": stmts.cast(pa.string()),
-            "n_rows": pa.array(counts, pa.int64()),
-            "n_bytes": pa.array(nbytes, pa.int64()),
-        })
-
-    return fold
+    A row's position is the number of rows in earlier partitions plus its index in its own; the counts are one
+    row per partition, brought to the driver and back as offsets.
+    """
+    spark = df.sparkSession
+    ordered = sorted_rows(df, key, num_partitions, keep)
+    per_part = sorted((r[0], r[1]) for r in ordered.groupBy("_pid").agg(F.count(F.lit(1))).collect())
+    offsets, total = [], 0
+    for pid, n in per_part:
+        offsets.append((pid, total))
+        total += n
+    off_df = spark.createDataFrame(offsets or [(0, 0)], "_pid int, _off long")
+    return (ordered.join(broadcast_known(off_df, len(offsets)), "_pid")
+            .withColumn("_pos", F.col("_off") + F.col("_idx")).drop("_pid", "_idx", "_off"))
+
+
+# --- D3 -------------------------------------------------------------------------------------------
+#
+# With g(i) the running sum of (tuple bytes + 1) after tuple i of a partition, a statement into which c bytes
+# came from earlier partitions takes tuples while c + g(i) <= limit; the first tuple beyond starts the next.
+# A partition's function is the table (g, out, n, last) over the tuples that can be its first start: bytes
+# carried out, statements started, index of the last start. ``open`` says that it may hold no start at all.
+
+FUNCTION = "id long, g array<long>, out array<long>, n array<long>, last array<long>, total long, open boolean"
+NOTHING_OPEN = 1 << 60  # more than any limit: the first tuple starts a statement
+
+
+def _partition_function(sizes: np.ndarray, limit: int) -> tuple:
+    """The function of one partition from its tuple sizes."""
+    g = np.cumsum(sizes + 1)
+    n = len(g)
+    firsts = min(n, int(np.searchsorted(g, limit, side="right")) + 1)
+    before = g - (sizes + 1)
+    following = np.maximum(np.searchsorted(g, before + limit, side="right"), np.arange(n) + 1)
+    last, count = np.arange(firsts), np.ones(firsts, dtype=np.int64)
+    while True:  # all first starts step on together, a statement at a time
+        step = following[last] if firsts else last
+        on = step < n
+        if not on.any():
+            break
+        last = np.where(on, step, last)
+        count += on
+    total = int(g[-1]) if n else 0
+    out = total - before[last] if firsts else last
+    return g[:firsts], out, count, last, total, firsts == n and (not n or int(g[-1]) <= limit)
+
+
+def _evaluate(f, carry: int, limit: int) -> tuple[int, int, int]:
+    """(entry or -1 for no start, bytes carried out, statements started)."""
+    i = int(np.searchsorted(np.asarray(f.g), limit - carry, side="right"))
+    if i < len(f.g):
+        return i, int(f.out[i]), int(f.n[i])
+    return -1, min(carry + int(f.total), NOTHING_OPEN), 0
+
+
+def _composer(limit: int):
+    def compose(parent: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        g, out, n, total, is_open = [], [], [], 0, True
+        for f in rows.sort_values("id").itertuples(index=False):
+            after = [_evaluate(f, o, limit) for o in out]
+            out, n = [a[1] for a in after], [x + a[2] for x, a in zip(n, after, strict=True)]
+            if is_open:  # carried bytes may reach this member untouched but for what came before
+                g += [int(x) + total for x in f.g]
+                out += [int(x) for x in f.out]
+                n += [int(x) for x in f.n]
+            total += int(f.total)
+            is_open = is_open and bool(f.open)
+        return pd.DataFrame([(int(parent[0]), g, out, n, [], total, is_open)],
+                            columns=["id", "g", "out", "n", "last", "total", "open"])
+
+    return compose
+
+
+WALK = "id long, carry long, base long"
+BOUNDS = "_pid int, first long, last long, starts long, base long"
+
+
+def _walker(limit: int):
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        """Carried bytes and statements before each member of a group."""
+        rows = rows.sort_values("id")
+        carry, base, found = int(rows["carry"].iloc[0]), int(rows["base"].iloc[0]), []
+        for f in rows.itertuples(index=False):
+            found.append((int(f.id), carry, base))
+            _, carry, started = _evaluate(f, carry, limit)
+            base += started
+        return pd.DataFrame(found, columns=["id", "carry", "base"])
+
+    return walk
+
+
+def _starts(limit: int):
+    def bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for f in batch.itertuples(index=False):
+                i, _, n = _evaluate(f, int(f.carry), limit)
+                none = 1 << 60
+                found.append((int(f.id), none, none, 0, int(f.base)) if i < 0 else
+                             (int(f.id), i, int(f.last[i]), n, int(f.base)))
+            yield pd.DataFrame(found, columns=["_pid", "first", "last", "starts", "base"])
+
+    return bounds
+
+
+def statement_bounds(sizes: DataFrame, limit: int, fan: int = FAN) -> DataFrame:
+    """``BOUNDS`` per partition of ``sizes`` (_pid, size; one partition each, in row order)."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts, pid = [], None
+        for batch in batches:
+            if len(batch):
+                pid = int(batch["_pid"].iloc[0])
+                parts.append(batch["size"].to_numpy(dtype=np.int64))
+        if pid is not None:
+            g, out, n, last, total, is_open = _partition_function(np.concatenate(parts), limit)
+            yield pd.DataFrame([(pid, g, out, n, last, total, is_open)],
+                               columns=["id", "g", "out", "n", "last", "total", "open"])
+
+    levels = [sizes.mapInPandas(fold, FUNCTION).checkpoint()]
+    many = levels[0].count()
+    parent = (F.col("id") / fan).cast("long").alias("parent")
+    while many > fan:
+        levels.append(levels[-1].groupBy(parent).applyInPandas(_composer(limit), FUNCTION).checkpoint())
+        many = levels[-1].count()
+    zero = F.lit(0).cast("long")
+    walk = levels[-1].withColumns({"parent": zero, "carry": F.lit(NOTHING_OPEN), "base": zero})
+    walk = walk.groupBy("parent").applyInPandas(_walker(limit), WALK)
+    for level in reversed(levels[:-1]):
+        above = walk.withColumnRenamed("id", "parent")
+        walk = (level.withColumn("parent", (F.col("id") / fan).cast("long")).join(above, "parent")
+                .groupBy("parent").applyInPandas(_walker(limit), WALK))
+    return levels[0].join(walk, "id").mapInPandas(_starts(limit), BOUNDS)
+
+
+PACKED_SCHEMA = "chunk long, seq long, stmt string, n_rows long, n_bytes long"
+
+
+def _packer(prefix: str, limit: int):
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Whole statements of a partition's rows between its first and its last start; streaming."""
+        held: list[str] = []
+        used, seq = 0, None
+
+        def statement() -> tuple:
+            text = prefix + ",".join(held) + ";"
+            return 0, seq, text, len(held), len(text.encode())
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            tuples, g = batch["tuple"].tolist(), np.cumsum(batch["size"].to_numpy(dtype=np.int64) + 1)
+            if seq is None:
+                seq = int(batch["base"].iloc[0])
+            out, at = [], 0
+            while at < len(tuples):
+                before = int(g[at - 1]) if at else 0
+                end = int(np.searchsorted(g, limit - used + before, side="right"))
+                end = max(end, at + 1) if not held else end
+                held += tuples[at:end]
+                used += int(g[end - 1]) - before if end > at else 0
+                if end < len(tuples):
+                    out.append(statement())
+                    held, used, seq = [], 0, seq + 1
+                at = end
+            if out:
+                yield pd.DataFrame(out, columns=["chunk", "seq", "stmt", "n_rows", "n_bytes"])
+        if held:
+            yield pd.DataFrame([statement()], columns=["chunk", "seq", "stmt", "n_rows", "n_bytes"])
+
+    return pack
 
 
 def insert_extended(df: DataFrame, table: str, key: list[str] | None = None,
-                    max_packet: int = DEFAULT_MAX_PACKET, rows_per_chunk: int | None = DEFAULT_ROWS_PER_CHUNK,
-                    columns: list[str] | None = None, mode: str = COMPAT,
-                    num_partitions: int | None = None,
-                    chunk_bytes: int | None = None) -> DataFrame:
+                    max_packet: int = DEFAULT_MAX_PACKET, columns: list[str] | None = None, mode: str = COMPAT,
+                    num_partitions: int | None = None, fan: int = FAN) -> DataFrame:
     """D3: extended INSERTs, consecutive tuples packed up to ``max_packet`` bytes.
 
-    A chunk (one Arrow group) holds ``chunk_bytes`` of estimated tuple text (default
-    ``max(64 MiB, 16 * max_packet)``), further capped at ``rows_per_chunk`` rows when given. The
-    estimate is a property of the data, so the chunking (and the output) is the same every run.
-
-    Returns ``(chunk, seq, stmt, n_rows, n_bytes)``; ``(chunk, seq)`` is the script order. A
-    single tuple larger than the limit still gets a statement of its own. ``n_bytes`` counts the
-    statement with its ``;``.
+    Before adding a tuple to an open statement, the statement is closed if both would pass
+    ``max_packet - 1`` bytes (the joining comma and the closing ``;`` are not counted). A single tuple larger
+    than the limit gets a statement of its own. Returns ``(chunk, seq, stmt, n_rows, n_bytes)``: ``seq`` numbers
+    the statements of the table, ``chunk`` is 0, ``n_bytes`` counts the statement with its ``;``.
     """
     if max_packet < 2:
         raise ValueError("max_packet must be at least 2 bytes")
     cols = columns or df.columns
-    key = key or cols
     prefix = insert_prefix(table, cols)
-    # sort the typed rows (compact) and render text after the range exchange, where the work is
-    # spread over the range partitions whatever the number of input splits
-    needed = list(dict.fromkeys(list(key) + list(cols)))
-    pos, stats = positions(df.select(*[F.col(quote_ident(c)) for c in needed]), key, num_partitions,
-                           keep=list(cols), measure=lambda d: approx_tuple_bytes(d, cols))
-    chunk_bytes = chunk_bytes or max(DEFAULT_CHUNK_BYTES, 16 * max_packet)
-    by_size = max(1, int(chunk_bytes * stats["rows"] // stats["measure"])) if stats["measure"] else 1
-    rows_per_chunk = max(1, min(rows_per_chunk or by_size, by_size))
-    tup = row_tuple(pos, cols, mode)
-    chunked = pos.select(
-        F.expr(f"_pos div {rows_per_chunk}").alias("_chunk"),
-        "_pos", tup.alias("_tuple"),
-    ).withColumn("_tb", F.octet_length("_tuple").cast("long"))
-    fold = _pack_chunk(len(prefix.encode("utf-8")), max_packet, prefix)
-    return chunked.groupBy("_chunk").applyInArrow(fold, PACKED_SCHEMA)
-
-
-def approx_tuple_bytes(df: DataFrame, cols: list[str]) -> Column:
-    """A cheap, deterministic estimate of a row's tuple text size (no formatting).
-
-    Text and binary count their bytes (binary twice, as hex), nested values their JSON length,
-    every other value a fixed 32 bytes. Only used to size chunks, so an estimate is enough.
-    """
-    from pyspark.sql import types as T
-
-    fields = {f.name: f.dataType for f in df.schema.fields}
-    parts = []
-    for c in cols:
-        t, x = fields[c], F.col(quote_ident(c))
-        if isinstance(t, (T.StringType, T.VarcharType, T.CharType)):
-            parts.append(F.coalesce(F.octet_length(x), F.lit(4)) + F.lit(3))
-        elif isinstance(t, T.BinaryType):
-            parts.append(F.coalesce(F.octet_length(x) * 2, F.lit(4)) + F.lit(4))
-        elif isinstance(t, (T.ArrayType, T.MapType, T.StructType)):
-            parts.append(F.coalesce(F.octet_length(F.to_json(x)), F.lit(4)) + F.lit(3))
-        else:
-            parts.append(F.lit(32))
-    out = F.lit(2)
-    for p in parts:
-        out = out + p
-    return out
-
-
-def statement_bytes(c: Column | str) -> Column:
-    """Bytes of a statement as written (UTF-8)."""
-    return F.octet_length(F.col(c) if isinstance(c, str) else c)
+    limit = max_packet - len(prefix.encode("utf-8")) + 1
+    needed = list(dict.fromkeys([*(key or []), *cols]))
+    rows = sorted_rows(df.select(*[F.col(quote_ident(c)) for c in needed]), key, num_partitions, keep=list(cols))
+    text = rows.select("_pid", "_idx", row_tuple(rows, cols, mode).alias("tuple"))
+    text = text.withColumn("size", F.octet_length("tuple").cast("long"))
+    bounds = statement_bounds(text.select("_pid", "size"), limit, fan).checkpoint()
+    placed = text.join(broadcast_known(bounds, bounds.count()), "_pid")
+    inner = placed.filter((F.col("_idx") >= F.col("first")) & (F.col("_idx") < F.col("last")))
+    whole = inner.select("tuple", "size", "base").mapInPandas(_packer(prefix, limit), PACKED_SCHEMA)
+    # partition ends: what the open statement still takes, and what the last statement already holds
+    seq = F.when(F.col("_idx") < F.col("first"), F.col("base") - 1).otherwise(F.col("base") + F.col("starts") - 1)
+    ends = placed.filter((F.col("_idx") < F.col("first")) | (F.col("_idx") >= F.col("last")))
+    parts = F.array_sort(F.collect_list(F.struct("_pid", "_idx", "tuple")))
+    ends = ends.groupBy(seq.alias("seq")).agg(parts.alias("p"))
+    stmt = F.concat(F.lit(prefix), F.array_join(F.transform("p", lambda x: x["tuple"]), ","), F.lit(";"))
+    ends = ends.select(F.lit(0).cast("long").alias("chunk"), "seq", stmt.alias("stmt"),
+                       F.size("p").cast("long").alias("n_rows"))
+    ends = ends.withColumn("n_bytes", F.octet_length("stmt").cast("long"))
+    return whole.unionByName(ends)

@@ -82,36 +82,13 @@ def insert_single_documents(spark, sf_dir):
 # --- D3 ---------------------------------------------------------------------------------------
 
 EXT_MAX_PACKET = 16384
-EXT_ROWS_PER_CHUNK = 2000
 
 
-def _duck_extended(table: str, key: list[str], max_packet: int, rows_per_chunk: int) -> str:
-    cols = TABLE_COLUMNS[table]
-    prefix = duck_prefix(table, cols)
-    plen = len(prefix.encode("utf-8"))
-    order = ", ".join(key)
+def _duck_extended(table: str, key: list[str], max_packet: int) -> str:
     return f"""
-WITH RECURSIVE src AS (
-  SELECT row_number() OVER (ORDER BY {order}) - 1 AS pos, {duck_tuple(cols)} AS tup FROM {table}
-), c AS (
-  SELECT pos // {rows_per_chunk} AS chunk, pos % {rows_per_chunk} AS idx, tup, strlen(tup) AS tb
-  FROM src
-), r(chunk, idx, seq, cur) AS (
-  SELECT chunk, idx, 0, {plen} + tb FROM c WHERE idx = 0
-  UNION ALL
-  SELECT c.chunk, c.idx,
-         CASE WHEN r.cur + c.tb > {max_packet - 1} THEN r.seq + 1 ELSE r.seq END,
-         CASE WHEN r.cur + c.tb > {max_packet - 1} THEN {plen} + c.tb ELSE r.cur + 1 + c.tb END
-  FROM r JOIN c ON c.chunk = r.chunk AND c.idx = r.idx + 1
-), s AS (
-  SELECT r.chunk, r.seq, '{prefix}' || string_agg(c.tup, ',' ORDER BY c.idx) || ';' AS stmt,
-         count(*) AS n_rows
-  FROM r JOIN c ON c.chunk = r.chunk AND c.idx = r.idx
-  GROUP BY r.chunk, r.seq
-)
-SELECT CAST(chunk AS BIGINT) AS chunk, CAST(seq AS INTEGER) AS seq, stmt,
-       CAST(n_rows AS BIGINT) AS n_rows, CAST(strlen(stmt) AS BIGINT) AS n_bytes
-FROM s
+SELECT CAST(0 AS BIGINT) AS chunk, CAST(seq AS BIGINT) AS seq, stmt, CAST(n AS BIGINT) AS n_rows,
+       CAST(strlen(stmt) AS BIGINT) AS n_bytes
+FROM ({duck_packed_whole(table, key, max_packet)})
 """
 
 
@@ -120,10 +97,10 @@ LINEITEM_ORDER = [c for c, _ in TABLE_COLUMNS["lineitem"]]
 
 
 @plan("insert_extended_lineitem",
-      _duck_extended("lineitem", LINEITEM_ORDER, EXT_MAX_PACKET, EXT_ROWS_PER_CHUNK))
+      _duck_extended("lineitem", LINEITEM_ORDER, EXT_MAX_PACKET))
 def insert_extended_lineitem(spark, sf_dir):
     return insert_extended(read(spark, sf_dir, "lineitem"), "lineitem", key=LINEITEM_ORDER,
-                           max_packet=EXT_MAX_PACKET, rows_per_chunk=EXT_ROWS_PER_CHUNK)
+                           max_packet=EXT_MAX_PACKET)
 
 
 # --- F4, N1-N4, P1-P7: retention over a listing derived from events ----------------------------
@@ -400,16 +377,15 @@ def restore_remap(spark, sf_dir):
     return remap_databases(head.unionByName(body), mapping_frame(spark, REMAP)).select("stmt")
 
 
-def _roundtrip(spark, sf_dir, table, key, max_packet, rows_per_chunk):
+def _roundtrip(spark, sf_dir, table, key, max_packet):
     df = read(spark, sf_dir, table)
-    stmts = insert_extended(df, table, key=key, max_packet=max_packet, rows_per_chunk=rows_per_chunk,
-                            mode=EXACT)
+    stmts = insert_extended(df, table, key=key, max_packet=max_packet, mode=EXACT)
     return load_inserts(stmts, table, df.schema)
 
 
 @plan("roundtrip_documents", "SELECT * FROM documents")
 def roundtrip_documents(spark, sf_dir):
-    return _roundtrip(spark, sf_dir, "documents", ["doc_id"], 65536, 200)
+    return _roundtrip(spark, sf_dir, "documents", ["doc_id"], 65536)
 
 
 @plan("roundtrip_orders", "SELECT * FROM orders")
@@ -417,7 +393,7 @@ def roundtrip_orders(spark, sf_dir):
     """Dump ``orders`` to gzip files in the shared folder, read the files back, load the rows."""
     ts = parquet_tableset(spark, sf_dir, layout={"sales": ["orders"]})
     out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/roundtrip-{uuid.uuid4().hex}"
-    opts = DumpOptions(max_allowed_packet=65536, rows_per_chunk=5000, mode=EXACT)
+    opts = DumpOptions(max_allowed_packet=65536, mode=EXACT)
     write_dump(dump(ts, ["sales"], opts), out, compression="gzip")
     stmts = read_scripts(spark, out).where(F.col("stmt").startswith("INSERT INTO"))
     return load_inserts(stmts, "orders", read(spark, sf_dir, "orders").schema)

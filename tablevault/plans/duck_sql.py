@@ -143,7 +143,7 @@ WITH RECURSIVE src AS (
                                                                 AND CURRENT ROW) - 1 AS seq
   FROM c LEFT JOIN chain ON chain.s = c.idx
 )
-SELECT seq, {_sq(prefix)} || string_agg(tup, ',' ORDER BY idx) || ';' AS stmt FROM member GROUP BY seq
+SELECT seq, {_sq(prefix)} || string_agg(tup, ',' ORDER BY idx) || ';' AS stmt, count(*) AS n FROM member GROUP BY seq
 """
 
 

@@ -148,7 +148,7 @@ def test_ignored_table_has_no_trigger(spark):
 
 def test_big_table_dump_report(spark):
     ts = TableSet(spark).add_table("db01", "big1", big_table(spark, 300, 4096), key=["id"])
-    script = dump(ts, ["db01"], DumpOptions(max_allowed_packet=100000, rows_per_chunk=100))
+    script = dump(ts, ["db01"], DumpOptions(max_allowed_packet=100000))
     r = dump_report(script).first()
     assert r.n_statements >= 12 and r.max_statement_bytes <= 100001
 

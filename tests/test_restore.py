@@ -120,3 +120,49 @@ def test_read_scripts_glob(spark, tmp_out):
     open(f"{tmp_out}/s/x.sql", "w").write("SELECT 1;\n")
     open(f"{tmp_out}/s/y.txt", "w").write("SELECT 2;\n")
     assert [r.stmt for r in read_scripts(spark, f"{tmp_out}/s", path_glob="*.sql").collect()] == ["SELECT 1;"]
+
+
+def test_split_knows_quotes_comments_and_delimiters():
+    from tablevault.operators.restore import statements_of
+
+    text = ("-- it's; a comment\n# don't; either\n/* nor; this */ INSERT INTO `a;b` (`x`) VALUES ('1;\n-- 2','it''s',\"q;\\\"\");"
+            "INSERT INTO `t` (`x`) VALUES ('\\\\');\nDELIMITER $$\nCREATE TRIGGER x BEGIN\n  INSERT INTO `t` (`x`) VALUES (1);\nEND$$\n"
+            "delimiter ;\n/*!40101 SET @a='b;' */;\nSELECT 1")
+    want = ["-- it's; a comment\n# don't; either\n/* nor; this */ INSERT INTO `a;b` (`x`) VALUES ('1;\n-- 2','it''s',\"q;\\\"\");",
+            "INSERT INTO `t` (`x`) VALUES ('\\\\');", "CREATE TRIGGER x BEGIN\n  INSERT INTO `t` (`x`) VALUES (1);\nEND",
+            "/*!40101 SET @a='b;' */;", "SELECT 1"]
+    assert split_script_text(text) == want
+    for size in (1, 2, 3, 7, 50):  # wherever blocks end
+        data = text.encode()
+        assert list(statements_of(data[i:i + size] for i in range(0, len(data), size))) == want
+
+
+def test_data_is_never_taken_for_grammar(spark):
+    hostile = ["the VALUES of x", "a VALUES (1,2) b", "x` VALUES (1,'y');", "DELIMITER ;;\n", "\nDELIMITER ;;\n", "INSERT INTO `t` (`id`) VALUES (7);",
+               "');-- ", "/* no */ # no\n-- no", "\\'\\\\", "`(`, `)`", "a\0b\x1a\r\n", "", None, "NULL", "_binary 'x'", "X'41'"]
+    df = spark.createDataFrame([(i, t, bytes([0, 255, 39, 92, 10, i]), t) for i, t in enumerate(hostile)],
+                               "id int, `a, b` string, bin binary, `odd `` ) name` string")
+    for packet in (80, 100000):
+        st = insert_extended(df, "t", key=["id"], max_packet=packet, mode="exact")
+        back = load_inserts(st, "t", df.schema)
+        assert back.exceptAll(df).count() == 0 and df.exceptAll(back).count() == 0
+
+
+def test_scripts_with_programs_and_raw_bytes(spark, tmp_out):
+    import pytest
+
+    from tablevault.operators.restore import load_scripts
+
+    raw = b"\x00\xff\xfe'\\\n\x1a"
+    quoted = raw.replace(b"\\", b"\\\\").replace(b"\0", b"\\0").replace(b"'", b"\\'").replace(b"\n", b"\\n").replace(b"\x1a", b"\\Z")
+    os.makedirs(f"{tmp_out}/d")
+    with gzip.open(f"{tmp_out}/d/x.sql.gz", "wb") as f:
+        f.write(b"INSERT INTO `t` (`id`, `b`) VALUES (1,_binary '" + quoted + b"');INSERT INTO `t` (`id`, `b`) VALUES (2,NULL);"
+                b"INSERT INTO `t` (`id`, `b`) VALUES (3,_binary 'plain');\nDELIMITER ;;\nCREATE TRIGGER g AFTER INSERT ON t FOR EACH ROW\n"
+                b"INSERT INTO `t` (`id`, `b`) VALUES (99,'from trigger');;\nDELIMITER ;\n")
+    schema = spark.createDataFrame([], "id int, b binary").schema
+    got = {r.id: r.b and bytes(r.b) for r in load_scripts(read_scripts(spark, f"{tmp_out}/d"), {"t": schema})["t"].collect()}
+    assert got == {1: raw, 2: None, 3: b"plain"}
+    other = spark.createDataFrame([], "nope int").schema
+    with pytest.raises(Exception, match="no known column"):
+        load_scripts(read_scripts(spark, f"{tmp_out}/d"), {"t": other})["t"].collect()
