@@ -9,8 +9,9 @@ from tablevault.operators.common import broadcast_if_small
 
 # Script lines that change from run to run and are left out of a comparison
 # (dump banner, completion time) - blank lines are dropped as well.
-VOLATILE_LINE_RE = r"^(-- (tablevault SQL dump|Go SQL Dump|MySQL dump) .*|-- Dump completed on .*|\s*)$"
+VOLATILE_LINE_RE = r"(?i)^\s*(-- (tablevault SQL dump|Go SQL Dump|MySQL dump) .*|-- Dump completed on .*)?\s*$"
 
+# The grammar of the begin option.
 MINUTES_RE = r"^\+([0-9]+)$"
 CLOCK_RE = r"^([0-9][0-9])([0-9][0-9])$"
 
@@ -58,8 +59,13 @@ def run_report(runs: DataFrame) -> DataFrame:
 # --- A2 -------------------------------------------------------------------------------------------
 
 def stable_lines(script_lines: DataFrame, value: str = "value") -> DataFrame:
-    """Lines of a script without the volatile ones (banner, completion time, blank)."""
-    return script_lines.where(~F.col(value).rlike(VOLATILE_LINE_RE))
+    """Lines of a script without the volatile ones (banner, completion time, blank), whatever their case.
+
+    A value may hold several lines (headers, DDL); each is judged on its own.
+    """
+    others = [c for c in script_lines.columns if c != value]
+    lines = script_lines.select(*others, F.explode(F.split(F.col(value), "\r?\n")).alias(value))
+    return lines.where(~F.col(value).rlike(VOLATILE_LINE_RE))
 
 
 def verify_snapshot(a: DataFrame, b: DataFrame, value: str = "value") -> DataFrame:
@@ -68,10 +74,12 @@ def verify_snapshot(a: DataFrame, b: DataFrame, value: str = "value") -> DataFra
     Returns ``(side, value)``: side 'a' rows occur more often in ``a`` than in ``b``, and so on.
     Empty result = same snapshot.
     """
-    sa = stable_lines(a.select(value), value)
-    sb = stable_lines(b.select(value), value)
-    return (sa.exceptAll(sb).select(F.lit("a").alias("side"), value)
-            .unionByName(sb.exceptAll(sa).select(F.lit("b").alias("side"), value)))
+    both = (stable_lines(a.select(value), value).select(F.col(value).alias("_line"), F.lit(1).alias("_n"))
+            .unionByName(stable_lines(b.select(value), value).select(F.col(value).alias("_line"), F.lit(-1).alias("_n"))))
+    # one pass, one exchange: lines of a count that does not even out
+    odd = both.groupBy("_line").agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    side = F.when(F.col("_n") > 0, F.lit("a")).otherwise(F.lit("b"))
+    return odd.select(side.alias("side"), F.explode(F.array_repeat("_line", F.abs("_n").cast("int"))).alias(value))
 
 
 def verify_ordered(a: DataFrame, b: DataFrame, key: list[str], value: str = "value") -> DataFrame:
@@ -93,7 +101,7 @@ def missed_runs(schedules: DataFrame, runs: DataFrame, target: str = "target", t
     sch = broadcast_if_small(schedules.select(target, "begin", "end", "frequency"))
     step = F.col("frequency").cast("long") * F.lit(60 * 1000000)
     n_ticks = F.ceil(F.timestamp_diff("MICROSECOND", F.col("begin"), F.col("end")) / step).cast("long")
-    ticks = sch.select(target, "begin", "frequency",
+    ticks = sch.where(n_ticks > 0).select(target, "begin", "frequency",
                        F.explode(F.sequence(F.lit(0).cast("long"), n_ticks - 1)).alias("tick_no"))
     hit = (runs.select(target, ts).join(sch, target)
            .where((F.col(ts) >= F.col("begin")) & (F.col(ts) < F.col("end")))

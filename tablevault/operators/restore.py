@@ -407,3 +407,61 @@ def load_script_lines(lines: DataFrame, tables: dict[str, T.StructType], value:
     """
     data = statements_in_lines(lines.where(F.startswith(F.col(value), F.lit("INSERT INTO"))), value)
     return {t: load_inserts(data, t, s, keep=keep) for t, s in tables.items()}
+
+
+# --- a whole restore ------------------------------------------------------------------------------
+
+COLUMN_RE = re.compile(r"^\s*`((?:[^`]|``)+)`\s+(\w+(?:\([^)]*\))?(?:\s+unsigned)?)(.*?),?\s*$", re.I)
+CREATE_TABLE_RE = r"(?s)^(?:.*?;\s*|\s|--[^\n]*\n|/\*.*?\*/\s*;?)*CREATE TABLE (?:IF NOT EXISTS )?(`(?:[^`]|``)+`) \((.*)$"
+
+# MySQL column types and the Spark types they load into.
+SPARK_TYPES = {"tinyint": "tinyint", "smallint": "smallint", "mediumint": "int", "int": "int", "integer": "int", "bigint": "bigint",
+               "float": "float", "double": "double", "date": "date", "datetime": "timestamp_ntz", "timestamp": "timestamp",
+               "binary": "binary", "varbinary": "binary", "tinyblob": "binary", "blob": "binary", "mediumblob": "binary",
+               "longblob": "binary"}
+
+
+def spark_type(mysql: str) -> str:
+    """The Spark type of a MySQL column type; text for what has no closer one (JSON, TIME, ENUM, SET ...)."""
+    base, _, size = mysql.lower().replace(" unsigned", "").partition("(")
+    if mysql.lower().startswith("tinyint(1)"):
+        return "boolean"
+    if base in ("decimal", "numeric"):
+        return f"decimal({size.rstrip(')') or '10,0'})"
+    if mysql.lower().endswith("unsigned") and base == "bigint":
+        return "decimal(20,0)"
+    if mysql.lower().endswith("unsigned") and base in ("int", "integer"):
+        return "bigint"
+    return SPARK_TYPES.get(base, "string")
+
+
+def schema_of_ddl(body: str) -> T.StructType:
+    """The columns of a CREATE TABLE statement (``body`` starts after its opening parenthesis)."""
+    fields = [(m[1].replace("``", "`"), spark_type(m[2]))
+              for line in body.split("\n") if (m := COLUMN_RE.match(line))]
+    return T.StructType([T.StructField(n, T.DataType.fromDDL(t)) for n, t in fields])
+
+
+def run_restore(spark, path: str, dest: str, include: list[str] | None = None,
+                mapping: dict[str, str] | None = None) -> dict[str, list[str]]:
+    """Restore a dump from its files alone: read, choose (R3) and rename (R2) databases, load (R4), publish.
+
+    The files under ``path/db=<name>/`` are a database's script. Column types come from the script's own CREATE
+    TABLE statements, one row per table. Tables land in ``dest/<database>/<table>``; a database's tables
+    are published together or not at all. Returns the published tables of each database.
+    """
+    from tablevault.sinks.writers import restore_tables
+
+    stmts = read_scripts(spark, path).withColumn("db", F.url_decode(F.regexp_extract("file", r"/db=([^/]+)/", 1)))
+    if include is not None:
+        stmts = filter_databases(stmts, spark.createDataFrame([(d,) for d in include], "db string"))
+    ddl = stmts.where(F.col("stmt").contains("CREATE TABLE") & ~F.startswith(F.col("stmt"), F.lit("INSERT INTO")))
+    found = ddl.select("db", F.regexp_extract("stmt", CREATE_TABLE_RE, 1).alias("t"),
+                       F.regexp_extract("stmt", CREATE_TABLE_RE, 2).alias("body")).where("t <> ''").collect()
+    published = {}
+    for db in sorted({r["db"] for r in found}):
+        schemas = {r["t"][1:-1].replace("``", "`"): schema_of_ddl(r["body"]) for r in found if r["db"] == db}
+        tables = load_scripts(stmts.where(F.col("db") == db), schemas)
+        target = (mapping or {}).get(db, db)
+        published[target] = restore_tables(tables, f"{dest.rstrip('/')}/{target}")
+    return published

@@ -55,17 +55,17 @@ def sorted_rows(df: DataFrame, key: list[str] | None, num_partitions: int | None
     driver, and whole rows of long text would not be small.
 
     The exchange samples its bounds with a seed tied to the plan, so two plans over the same input may cut at
-    different keys. The sorted rows are therefore checkpointed once (to ``spark.checkpoint.dir``); a lost
+    different keys. Without a given number Spark merges small neighbouring partitions by their bytes.
+    The sorted rows are checkpointed once (to ``spark.checkpoint.dir``); a lost
     executor re-reads the checkpoint instead of sampling again.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     columns = [F.col(quote_ident(c)) for c in (keep or df.columns)]
     bounds = [F.col(quote_ident(k)) for k in key] if key else [F.xxhash64(*_comparable(df))]
     order = bounds if key else [*bounds, *_comparable(df)]
     return (df.withColumn("_tie", F.monotonically_increasing_id())
-            .repartitionByRange(n, *bounds, F.col("_tie"))
+            .repartitionByRange(*([num_partitions] if num_partitions else []), *bounds, F.col("_tie"))
             .sortWithinPartitions(*order, F.col("_tie"))
             .select(*columns, F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid"))
             # that id holds the partition in its upper 31 bits and the record number in the lower 33

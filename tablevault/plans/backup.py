@@ -39,7 +39,8 @@ def run_name(now: dt.datetime, compression: str, pattern: str | None = None, saf
 
 def apply_table_hook(ts: TableSet, hook: Callable[[str, str, DataFrame], DataFrame]) -> TableSet:
     """A table set whose tables pass through ``hook`` when read."""
-    out = TableSet(ts.spark, dict(ts.readers), dict(ts.views), dict(ts.extras), dict(ts.keys))
+    out = TableSet(ts.spark, dict(ts.readers), dict(ts.views), dict(ts.extras), dict(ts.keys),
+                   dict(ts.create_sql))
     for (db, table), reader in ts.readers.items():
         out.readers[(db, table)] = (lambda d=db, t=table, r=reader: hook(d, t, r()))
     return out

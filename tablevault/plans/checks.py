@@ -17,9 +17,9 @@ from tablevault.operators.common import broadcast_if_small, broadcast_known
 from tablevault.functions.literals import EXACT, row_tuple
 from tablevault.operators.audit import (check_begin, dump_report, first_run, missed_runs,
                                         verify_snapshot)
-from tablevault.operators.restore import (load_inserts, mapping_frame, read_scripts,
-                                          remap_databases)
-from tablevault.plans.script import FOOTER_SETTINGS, HEADER_SETTINGS, DumpOptions, dump
+from tablevault.operators.restore import (load_inserts, load_scripts, mapping_frame, read_scripts,
+                                          remap_databases, run_restore)
+from tablevault.plans.script import DumpOptions, Programs, dump
 from tablevault.session import ensure_checkpoint_dir
 from tablevault.sinks.writers import decrypt_column, encrypt_column, write_dump
 from tablevault.streaming.continuous import dump_stream, file_stream
@@ -29,9 +29,9 @@ from tablevault.operators.selection import (database_set, ignore_rules_frame, ig
                                             kept_columns, project_columns, select_databases,
                                             server_variant)
 from tablevault.plans.script import union_all
-from tablevault.sources.tableset import (TESTDATA_KEYS, TESTDATA_LAYOUT, columns, databases, parquet_tableset,
+from tablevault.sources.tableset import (TESTDATA_KEYS, TESTDATA_LAYOUT, TableSet, columns, databases, parquet_tableset,
                                         scan)
-from tablevault.operators.retention import (UNIT_HOURS, classify_names, prune, prune_by_age,
+from tablevault.operators.retention import (classify_names, prune, prune_by_age,
                                             prune_by_count, prune_report)
 from tablevault.operators.statements import insert_extended, insert_single
 from tablevault.plans.duck_sql import (TABLE_COLUMNS, _sq, duck_insert, duck_packed_whole, duck_prefix,
@@ -171,9 +171,13 @@ def prune_count(spark, sf_dir):
         "target", "filename", "filetime")
 
 
+# Fixed values, stated for the expected side on its own: hours in a retention unit.
+EXPECTED_HOURS = {"h": 1, "d": 24, "w": 168, "m": 720, "y": 8760}
+
+
 def _duck_policies() -> str:
     rows = ", ".join(f"('{t}', '{r}')" for t, r in POLICIES)
-    hours = " ".join(f"WHEN retention LIKE '%{u}' THEN {h}" for u, h in UNIT_HOURS.items())
+    hours = " ".join(f"WHEN retention LIKE '%{u}' THEN {h}" for u, h in EXPECTED_HOURS.items())
     return f"""policies AS (
   SELECT target, retention,
     CASE WHEN regexp_matches(retention, '^\\d+[hdwmy]$')
@@ -399,6 +403,81 @@ def roundtrip_orders(spark, sf_dir):
     return load_inserts(stmts, "orders", read(spark, sf_dir, "orders").schema)
 
 
+# Text that looks like the grammar of a script, by document; every sixth text is null, and a binary column holds
+# bytes that are no UTF-8.
+HOSTILE = [" VALUES (1,'x');", "'\"\\\r\n\0\x1a it''s", "\nDELIMITER ;;\n", "INSERT INTO `documents` (`doc_id`) VALUES (7);", None,
+           "`), (`/* -- # "]
+
+
+def _duck_text(text: str) -> str:
+    return " || ".join(f"chr({ord(c)})" for c in text)
+
+
+@plan("roundtrip_hostile", f"""
+SELECT doc_id, CASE doc_id % 6 {' '.join(f"WHEN {i} THEN {'NULL' if t is None else f'text || {_duck_text(t)}'}" for i, t in enumerate(HOSTILE))}
+  END AS text, upper(hex(doc_id::VARCHAR)) || 'FF00275C0A' AS bytes, form
+FROM documents, (VALUES ('full'), ('compact')) f(form)""")
+def roundtrip_hostile(spark, sf_dir):
+    """Documents with hostile text, dumped full and compact with a trigger that inserts into the table, written
+    as files, read back and loaded."""
+    docs = read(spark, sf_dir, "documents")
+    texts = F.array(*[F.lit(t) for t in HOSTILE])
+    hostile = docs.select("doc_id", F.concat("text", texts[F.pmod("doc_id", F.lit(6)).cast("int")]).alias("text"),
+                          F.concat(F.col("doc_id").cast("string").cast("binary"), F.unhex(F.lit("FF00275C0A"))).alias("bytes"))
+    triggers = spark.createDataFrame(
+        [("corpus", "documents", "t", "INSERT", "AFTER", "BEGIN\nINSERT INTO `documents` (`doc_id`) VALUES (-1);\nEND", "root@%")],
+        "db string, table string, name string, event string, timing string, statement string, definer string")
+    out = []
+    for form in ("full", "compact"):
+        ts = TableSet(spark).add_table("corpus", "documents", hostile, ["doc_id"])
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/hostile-{uuid.uuid4().hex}"
+        opts = DumpOptions(compact=form == "compact", max_allowed_packet=65536, mode=EXACT)
+        write_dump(dump(ts, ["corpus"], opts, programs=Programs(triggers=triggers)), path)
+        back = load_scripts(read_scripts(spark, path), {"documents": hostile.schema})["documents"]
+        out.append(back.select("doc_id", "text", F.hex("bytes").alias("bytes"), F.lit(form).alias("form")))
+    return union_all(out)
+
+
+@plan("restore_run_sales", """
+SELECT 'orders' AS "table", o_orderkey AS k, o_orderstatus || '|' || o_orderpriority || '|' || CAST(o_orderdate AS VARCHAR) AS v
+FROM orders
+UNION ALL SELECT 'nation', n_nationkey, n_name FROM nation""")
+def restore_run_sales(spark, sf_dir):
+    """Dump two databases, then restore one of them under another name from the files alone."""
+    ts = parquet_tableset(spark, sf_dir, layout={"sales": ["orders", "nation"], "web": ["events"]})
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/restore-{uuid.uuid4().hex}"
+    write_dump(dump(ts, ["sales", "web"], DumpOptions(mode=EXACT)), f"{base}/dump")
+    run_restore(spark, f"{base}/dump", f"{base}/out", include=["sales"], mapping={"sales": "sales_copy"})
+    orders, nation = (spark.read.parquet(f"{base}/out/sales_copy/{t}") for t in ("orders", "nation"))
+    day = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
+    return (orders.select(F.lit("orders").alias("table"), F.col("o_orderkey").alias("k"),
+                          F.concat_ws("|", "o_orderstatus", "o_orderpriority", day).alias("v"))
+            .unionByName(nation.select(F.lit("nation").alias("table"), F.col("n_nationkey").cast("long").alias("k"),
+                                       F.col("n_name").alias("v"))))
+
+
+@plan("row_tuples_typed", """
+SELECT o_orderkey, '(' || CASE WHEN o_orderkey % 7 = 0 THEN 'NULL' WHEN o_orderkey % 2 = 0 THEN '1' ELSE '0' END
+  || ',' || CASE WHEN o_orderkey % 7 = 1 THEN 'NULL' ELSE chr(39) || CAST(CAST(o_orderkey AS DECIMAL(20,2)) AS VARCHAR) || chr(39) END
+  || ',' || CASE WHEN o_orderkey % 7 = 2 THEN 'NULL' ELSE chr(39) || strftime(o_orderdate, '%Y-%m-%d') || chr(39) END
+  || ',' || CASE WHEN o_orderkey % 7 = 3 THEN 'NULL' ELSE 'X' || chr(39) || upper(hex(o_orderpriority)) || chr(39) END
+  || ',' || CASE WHEN o_orderkey % 7 = 4 THEN 'NULL' ELSE chr(39) || '[' || o_custkey || ',' || o_orderkey || ']' || chr(39) END
+  || ',' || CASE WHEN o_orderkey % 7 = 5 THEN 'NULL' ELSE chr(39) || 'a' || chr(92) || chr(39) || chr(92) || chr(34) || chr(92) || chr(92)
+            || chr(92) || 'n' || chr(92) || 'r' || chr(92) || '0' || chr(92) || 'Z' || chr(92) || 'b' || chr(39) END
+  || ',' || printf('%.6f', (o_orderkey % 4096 + 0.5) / 64) || ')' AS tuple
+FROM orders""")
+def row_tuples_typed(spark, sf_dir):
+    """Literals of every other type: bool, decimal, date, binary, JSON, all escapes, halves of the sixth decimal; nulls in turn."""
+    k = F.col("o_orderkey")
+    unless = lambda i, c: F.when(k % 7 != i, c)
+    df = read(spark, sf_dir, "orders").select(
+        "o_orderkey", unless(0, k % 2 == 0).alias("b"), unless(1, k.cast("decimal(20,2)")).alias("d"),
+        unless(2, F.col("o_orderdate").cast("date")).alias("day"), unless(3, F.encode("o_orderpriority", "UTF-8")).alias("bin"),
+        unless(4, F.array("o_custkey", "o_orderkey")).alias("j"),
+        unless(5, F.lit("a'\"\\\n\r\0\x1a\b")).alias("s"), ((k % 4096 + 0.5) / 64).cast("double").alias("f"))
+    return df.select("o_orderkey", row_tuple(df, ["b", "d", "day", "bin", "j", "s", "f"]).alias("tuple"))
+
+
 # --- A1-A4 -----------------------------------------------------------------------------------------
 
 SALES = TESTDATA_LAYOUT["sales"]
@@ -519,27 +598,52 @@ def encrypt_roundtrip(spark, sf_dir):
 
 # --- D4-D12: whole scripts (rows-only check) -------------------------------------------------------
 
+# Fixed values, stated for the expected side on its own: the settings at the top and end of a full script.
+EXPECTED_HEADER = """/*!40101 SET @OLD_CHARACTER_SET_CLIENT=@@CHARACTER_SET_CLIENT */;
+/*!40101 SET @OLD_CHARACTER_SET_RESULTS=@@CHARACTER_SET_RESULTS */;
+/*!40101 SET @OLD_COLLATION_CONNECTION=@@COLLATION_CONNECTION */;
+/*!50503 SET NAMES utf8mb4 */;
+/*!40103 SET @OLD_TIME_ZONE=@@TIME_ZONE */;
+/*!40103 SET TIME_ZONE='+00:00' */;
+/*!40014 SET @OLD_UNIQUE_CHECKS=@@UNIQUE_CHECKS, UNIQUE_CHECKS=0 */;
+/*!40014 SET @OLD_FOREIGN_KEY_CHECKS=@@FOREIGN_KEY_CHECKS, FOREIGN_KEY_CHECKS=0 */;
+/*!40101 SET @OLD_SQL_MODE=@@SQL_MODE, SQL_MODE='NO_AUTO_VALUE_ON_ZERO' */;
+/*!40111 SET @OLD_SQL_NOTES=@@SQL_NOTES, SQL_NOTES=0 */;"""
+EXPECTED_FOOTER = """/*!40103 SET TIME_ZONE=@OLD_TIME_ZONE */;
+
+/*!40101 SET SQL_MODE=@OLD_SQL_MODE */;
+/*!40014 SET FOREIGN_KEY_CHECKS=@OLD_FOREIGN_KEY_CHECKS */;
+/*!40014 SET UNIQUE_CHECKS=@OLD_UNIQUE_CHECKS */;
+/*!40101 SET CHARACTER_SET_CLIENT=@OLD_CHARACTER_SET_CLIENT */;
+/*!40101 SET CHARACTER_SET_RESULTS=@OLD_CHARACTER_SET_RESULTS */;
+/*!40101 SET COLLATION_CONNECTION=@OLD_COLLATION_CONNECTION */;
+/*!40111 SET SQL_NOTES=@OLD_SQL_NOTES */;"""
+
 SCRIPT_PACKET = 1048576
 SCRIPT_DONE = "2024-01-01 00:00:00"
 
 
+EXPECTED_PRIMARY = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"],
+                    "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"], "lineitem": []}
+
+
 def _duck_script_sales() -> str:
     """The whole full-mode script of ``sales``: header, per table DDL / packed rows / unlock, footer.
-
-    Every table is well under one chunk at the checked scale, so its rows are one greedy pass.
     """
     head = ("-- tablevault SQL dump 0.1.0\n--\n-- Host: spark    Database: sales\n"
             "-- ------------------------------------------------------\n-- Server version\ttablevault 0.1.0\n\n"
-            + HEADER_SETTINGS.format(charset="utf8mb4")
+            + EXPECTED_HEADER
             + "\n\n--\n-- Current Database: `sales`\n--\n\nCREATE DATABASE /*!32312 IF NOT EXISTS*/ `sales` "
             "/*!40100 DEFAULT CHARACTER SET utf8mb4 COLLATE utf8mb4_0900_ai_ci */ "
             "/*!80016 DEFAULT ENCRYPTION='N' */;\n\nUSE `sales`;")
-    foot = FOOTER_SETTINGS + f"\n\n-- Dump completed on {SCRIPT_DONE}"
+    foot = EXPECTED_FOOTER + f"\n\n-- Dump completed on {SCRIPT_DONE}"
     out = ["SELECT 'sales' AS db, 0 AS section, '' AS table_key, 0 AS part, CAST(0 AS BIGINT) AS chunk, "
            f"CAST(0 AS BIGINT) AS seq, {_sq(head)} AS value",
+           "SELECT 'sales', 3, '', 0, 0, 0, " + _sq(chr(10) + "--" + chr(10) + "-- Dumping routines for database 'sales'"
+                                                    + chr(10) + "--"),
            f"SELECT 'sales', 5, '', 0, 0, 0, {_sq(foot)}"]
     for t in SALES:
-        out.append(f"SELECT 'sales', 1, '{t}', 0, 0, 0, {duck_table_pre(t)}")
+        out.append(f"SELECT 'sales', 1, '{t}', 0, 0, 0, {duck_table_pre(t, EXPECTED_PRIMARY[t])}")
         out.append(f"SELECT 'sales', 1, '{t}', 1, 0, seq, stmt FROM ({duck_packed_whole(t, TESTDATA_KEYS[t], SCRIPT_PACKET)})")
         out.append(f"SELECT 'sales', 1, '{t}', 2, 0, 0, "
                    f"{_sq(f'/*!40000 ALTER TABLE `{t}` ENABLE KEYS */;' + chr(10) + 'UNLOCK TABLES;')}")

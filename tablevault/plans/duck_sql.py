@@ -155,13 +155,14 @@ _DUCK_DDL_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "SMALLINT": "smallint",
                    "TIMESTAMP WITH TIME ZONE": "timestamp NULL"}
 
 
-def duck_table_pre(table: str, charset: str = "utf8mb4", collation: str = "utf8mb4_0900_ai_ci") -> str:
+def duck_table_pre(table: str, key: list[str] = (), charset: str = "utf8mb4", collation: str = "utf8mb4_0900_ai_ci") -> str:
     """Full-mode text before a table's rows (comments, DROP, CREATE from information_schema, LOCK)."""
     t = f"`{table}`"
     head = (f"\n--\n-- Table structure for table {t}\n--\n\nDROP TABLE IF EXISTS {t};\n"
             "/*!40101 SET @saved_cs_client     = @@character_set_client */;\n"
             f"/*!50503 SET character_set_client = {charset} */;\nCREATE TABLE {t} (\n")
-    tail = (f"\n) ENGINE=InnoDB DEFAULT CHARSET={charset} COLLATE={collation};\n"
+    primary = f",\n  PRIMARY KEY ({','.join(f'`{k}`' for k in key)})" if key else ""
+    tail = (f"{primary}\n) ENGINE=InnoDB DEFAULT CHARSET={charset} COLLATE={collation};\n"
             "/*!40101 SET character_set_client = @saved_cs_client */;\n\n"
             f"--\n-- Dumping data for table {t}\n--\n\nLOCK TABLES {t} WRITE;\n"
             f"/*!40000 ALTER TABLE {t} DISABLE KEYS */;")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablevault.plans.script import ORDER_COLUMNS, assemble
+from tablevault.plans.script import assemble
 
 # Compression names the writer accepts and the Hadoop codec each one selects.
 CODECS = {"gzip": "gzip", "bzip2": "bzip2", "none": "none"}
@@ -70,25 +70,34 @@ def encrypt_column(c, key) -> Column:
     ``key`` is 32 raw bytes (given as a Column or a base64 string). One value per statement row,
     so nothing is buffered beyond a row. Encrypt *after* compressing if both are wanted.
     """
-    k = F.unbase64(F.lit(key)) if isinstance(key, str) else key
+    k = _key(key)
     x = F.col(c) if isinstance(c, str) else c
     return F.base64(F.aes_encrypt(x.cast("binary"), k, F.lit("CBC"), F.lit("PKCS")))
 
 
 def decrypt_column(c, key) -> Column:
     """W4 inverse: base64 text -> plaintext string (fails the job on a wrong key)."""
-    k = F.unbase64(F.lit(key)) if isinstance(key, str) else key
+    k = _key(key)
     x = F.col(c) if isinstance(c, str) else c
     return F.aes_decrypt(F.unbase64(x), k, F.lit("CBC"), F.lit("PKCS")).cast("string")
 
 
 def check_key(key_b64: str) -> None:
+    """A key is 32 bytes; 16 or 24 would silently give a weaker cipher."""
     import base64
 
-    if len(base64.b64decode(key_b64)) != 32:
+    if len(base64.b64decode(key_b64, validate=True)) != 32:
         raise ValueError("AES-256 needs a 32-byte key")
 
 
+def _key(key) -> Column:
+    """The key as a column, its length checked: a string before the job starts, a column in the rows."""
+    if isinstance(key, str):
+        check_key(key)
+        return F.unbase64(F.lit(key))
+    return F.when(F.octet_length(key) == 32, key).otherwise(F.raise_error(F.lit("AES-256 needs a 32-byte key")).cast("binary"))
+
+
 # --- W5: delete prune candidates ---------------------------------------------------------------------
 
 DELETE_SCHEMA = "target string, filename string, deleted boolean, error string"
@@ -98,8 +107,13 @@ def delete_backups(candidates: DataFrame, dry_run: bool = True) -> DataFrame:
     """Remove candidate files, in parallel tasks, through the pyarrow filesystem layer.
 
     ``candidates``: (target, filename). Default is a dry run, which only reports. Each task
-    deletes its own share of the files; the driver never loops over them.
+    deletes its own share of the files; the driver never loops over them. The deletion runs here, once, and
+    its result is checkpointed: reading the returned frame again deletes nothing. A file that is gone
+    already (a task that ran again, a second call) counts as deleted.
     """
+    from tablevault.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(candidates.sparkSession)
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -118,9 +132,10 @@ def delete_backups(candidates: DataFrame, dry_run: bool = True) -> DataFrame:
                         cache[base] = fs.FileSystem.from_uri(base)
                     filesystem, root = cache[base]
                     full = root.rstrip("/") + "/" + name
-                    if filesystem.get_file_info(full).type == fs.FileType.Directory:
+                    kind = filesystem.get_file_info(full).type
+                    if kind == fs.FileType.Directory:
                         filesystem.delete_dir(full)
-                    else:
+                    elif kind != fs.FileType.NotFound:
                         filesystem.delete_file(full)
                     deleted.append(True)
                     errors.append(None)
@@ -130,7 +145,7 @@ def delete_backups(candidates: DataFrame, dry_run: bool = True) -> DataFrame:
             yield pd.DataFrame({"target": pdf["target"], "filename": pdf["filename"],
                                 "deleted": deleted, "error": errors})
 
-    return candidates.select("target", "filename").mapInPandas(remove, DELETE_SCHEMA)
+    return candidates.select("target", "filename").mapInPandas(remove, DELETE_SCHEMA).checkpoint(eager=True)
 
 
 # --- W6 / R5: restore tables atomically ----------------------------------------------------------------
@@ -138,8 +153,9 @@ def delete_backups(candidates: DataFrame, dry_run: bool = True) -> DataFrame:
 def restore_tables(tables: dict[str, DataFrame], dest: str, fmt: str = "parquet") -> list[str]:
     """W6 + R5: write every table to a staging folder, publish them only if all writes worked.
 
-    Publishing is a rename of each staged folder into ``dest/<table>`` through Hadoop's
-    FileSystem; a failed write leaves the destination untouched.
+    Publishing moves each old table aside and the new one into ``dest/<table>`` through Hadoop's FileSystem.
+    Old tables are removed only when all new ones stand; if a move fails, the old ones are moved back.
+    A failed write leaves the destination untouched.
     """
     spark = next(iter(tables.values())).sparkSession
     stage = f"{dest.rstrip('/')}/_staging_{uuid.uuid4().hex}"
@@ -149,18 +165,27 @@ def restore_tables(tables: dict[str, DataFrame], dest: str, fmt: str = "parquet"
     conf = spark._jsc.hadoopConfiguration()
     stage_path = jvm.org.apache.hadoop.fs.Path(stage)
     fs = stage_path.getFileSystem(conf)
-    published = []
-    for name in tables:
-        src = jvm.org.apache.hadoop.fs.Path(f"{stage}/{name}")
-        dst = jvm.org.apache.hadoop.fs.Path(f"{dest.rstrip('/')}/{name}")
-        if fs.exists(dst):
-            fs.delete(dst, True)
-        if not fs.rename(src, dst):
-            raise OSError(f"could not publish {name}")
-        published.append(name)
-    fs.delete(stage_path, True)
+    path = jvm.org.apache.hadoop.fs.Path
+    old = path(f"{dest.rstrip('/')}/_replaced_{uuid.uuid4().hex}")
+    fs.mkdirs(old)
+    aside, published = [], []
+    try:
+        for name in tables:
+            target = path(f"{dest.rstrip('/')}/{name}")
+            if fs.exists(target):
+                if not fs.rename(target, path(f"{old}/{name}")):
+                    raise OSError(f"could not move {name} aside")
+                aside.append(name)
+            if not fs.rename(path(f"{stage}/{name}"), target):
+                raise OSError(f"could not publish {name}")
+            published.append(name)
+    except BaseException:
+        for name in published:
+            fs.delete(path(f"{dest.rstrip('/')}/{name}"), True)
+        for name in aside:
+            fs.rename(path(f"{old}/{name}"), path(f"{dest.rstrip('/')}/{name}"))
+        raise
+    finally:
+        fs.delete(stage_path, True)
+    fs.delete(old, True)
     return published
-
-
-def order_columns() -> list[str]:
-    return list(ORDER_COLUMNS)

@@ -18,6 +18,9 @@ from pyspark.sql import types as T
 # Schemas every MySQL server has, left out when databases are listed.
 SYSTEM_DATABASES = ["information_schema", "performance_schema", "sys", "mysql"]
 
+# The server's Extra texts of computed columns.
+COMPUTED = ("VIRTUAL GENERATED", "STORED GENERATED")
+
 BASE_TABLE = "BASE TABLE"
 VIEW = "VIEW"
 
@@ -62,6 +65,7 @@ class TableSet:
     views: dict[tuple[str, str], str] = field(default_factory=dict)
     extras: dict[tuple[str, str, str], str] = field(default_factory=dict)
     keys: dict[tuple[str, str], list[str]] = field(default_factory=dict)
+    create_sql: dict[tuple[str, str], str] = field(default_factory=dict)
 
     def add_table(self, db: str, table: str, reader: Callable[[], DataFrame] | DataFrame,
                   key: list[str] | None = None) -> "TableSet":
@@ -79,6 +83,16 @@ class TableSet:
         self.extras[(db, table, column)] = extra
         return self
 
+    def set_create_sql(self, db: str, table: str, sql: str) -> "TableSet":
+        """The server's own ``CREATE TABLE`` text, written to dumps as it is (without the final ``;``)."""
+        self.create_sql[(db, table)] = sql.strip().rstrip(";")
+        return self
+
+    def computed(self, db: str, table: str) -> set[str]:
+        """Columns whose values the server computes; a dump leaves them out of its INSERTs."""
+        return {c for (d, t, c), extra in self.extras.items()
+                if (d, t) == (db, table) and extra.upper() in COMPUTED}
+
     def read(self, db: str, table: str) -> DataFrame:
         return self.readers[(db, table)]()
 
@@ -128,6 +142,31 @@ def jdbc_table_reader(spark: SparkSession, url: str, db: str, table: str, proper
     return read
 
 
+def tableset_from_catalog(spark: SparkSession, schemata: DataFrame, tables_df: DataFrame, columns_df: DataFrame,
+                          reader: Callable[[str, str], DataFrame]) -> TableSet:
+    """A table set from a server's catalog frames.
+
+    ``schemata``: (db); ``tables_df``: (db, table, kind, create_sql); ``columns_df``: (db, table, name, extra).
+    System schemas are left out and any kind but a base table or a view is an error. ``reader(db, table)`` gives
+    a table's rows and is called only when the table is read.
+    """
+    ts = TableSet(spark)
+    wanted = {r["db"] for r in schemata.select("db").collect()} - set(SYSTEM_DATABASES)
+    for r in check_kinds(tables_df).select("db", "table", "kind", "create_sql").collect():
+        if r["db"] not in wanted:
+            continue
+        if r["kind"] == VIEW:
+            ts.add_view(r["db"], r["table"], r["create_sql"] or "")
+        else:
+            ts.add_table(r["db"], r["table"], lambda d=r["db"], t=r["table"]: reader(d, t))
+            if r["create_sql"]:
+                ts.set_create_sql(r["db"], r["table"], r["create_sql"])
+    for r in columns_df.select("db", "table", "name", "extra").collect():
+        if r["extra"]:
+            ts.mark_column(r["db"], r["table"], r["name"], r["extra"])
+    return ts
+
+
 def databases(ts: TableSet, drop_system: bool = True) -> DataFrame:
     """Database names (one row each), system schemas dropped."""
     names = sorted({db for db, _ in ts.readers} | {db for db, _ in ts.views})
