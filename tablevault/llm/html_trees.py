@@ -14,7 +14,7 @@ their article with an article or main element, and of ``DRAWN`` pages drawn from
 ``_drawn_page``, where the label of each block is known. All pages are then extracted, whole.
 
 Defined results: null or empty html gives the empty string, as does a page without an article; open elements
-end where the page ends, stray end tags are ignored; equal pages get equal texts; white space is what
+end where the page ends, a tag cut off there is no text, stray end tags are ignored; equal pages get equal texts; white space is what
 Unicode calls so; a br is white space; other columns do not matter.
 """
 
@@ -38,7 +38,8 @@ SAMPLE, DRAWN = 200, 900
 TREES, DEPTH = 25, 5
 
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"
+    r"|<[!?/]?[a-zA-Z][^>]*\Z",
     re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
