@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,9 +13,22 @@ from tablevault.session import ensure_checkpoint_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the given folder, in a session set up for whole texts."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of whole texts in one Arrow batch; Spark's default of 10,000 is meant for short rows.
+BATCH_ROWS = "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the memory that whole texts take on their way to Python, unless the session says otherwise."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def text_of(column: str) -> Column:
     """The column as text, null read as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -71,3 +85,24 @@ def forget(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now, not when the driver next collects garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def groups(batches: Iterator, keys: list[str]) -> Iterator:
+    """The row groups of a partition sorted by ``keys``, each as one frame, across Arrow batches."""
+    import pandas as pd
+
+    held: list = []
+    last = None
+    for batch in batches:
+        ids = list(zip(*[batch[k] for k in keys], strict=True))
+        start = 0
+        for i in range(len(ids) + 1):
+            if i == len(ids) or ids[i] != last:
+                if i > start:
+                    held.append(batch.iloc[start:i])
+                if i < len(ids):
+                    if held:
+                        yield pd.concat(held)
+                    held, last, start = [], ids[i], i
+    if held:
+        yield pd.concat(held)
