@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
+from tablevault.llm.common import once
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "\u2581"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -123,7 +125,8 @@ def backend(model: Model):
     if model.kind == BPE:
         tokenizer = Tokenizer(models.BPE(
             {p: i for i, (p, _, _) in enumerate(model.pieces)}, implied_merges(model.pieces),
-            unk_token=model.pieces[unknown][0], fuse_unk=True, byte_fallback=model.byte_fallback))
+            unk_token=model.pieces[unknown][0], fuse_unk=True, byte_fallback=model.byte_fallback,
+            cache_capacity=0))  # it would remember whole texts
     elif model.kind == UNIGRAM:
         tokenizer = Tokenizer(models.Unigram([(p, s) for p, s, _ in model.pieces], unk_id=unknown,
                                              byte_fallback=model.byte_fallback))
@@ -214,12 +217,11 @@ def encode(docs: DataFrame, text_col: str = "text", out: str = "pieces", model:
         encoder = Encoder(data)
         for texts in batches:
             texts = ["" if t is None else t for t in texts]
-            rows = []
-            for i in range(0, len(texts), batch):  # bounded work in flight, however large the Arrow batch
-                rows += encoded(texts[i:i + batch], encoder, parity_every)
-            yield pd.DataFrame(rows, columns=names).astype({"parity": "object"})
+            for i in range(0, len(texts), batch):  # few ids in flight, however large the Arrow batch
+                rows = encoded(texts[i:i + batch], encoder, parity_every)
+                yield pd.DataFrame(rows, columns=names).astype({"parity": "object"})
 
-    return docs.withColumn(out, pieces(F.col(text_col).cast("string")))
+    return docs.withColumn(out, once(pieces)(F.col(text_col).cast("string")))
 
 
 def decode(df: DataFrame, ids_col: str, out: str = "text", model: str = MODEL) -> DataFrame:
