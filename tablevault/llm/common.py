@@ -44,6 +44,14 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.unhex(F.md5(parts.cast("binary")))
 
 
+def once(function):
+    """A Python column function that Spark evaluates once per row, wherever its result is used.
+
+    Filters on its result would otherwise be pushed below the projection, with a second evaluation.
+    """
+    return function.asNondeterministic()
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """``docs`` as one struct column ``row``, so that columns of any name can stand beside it.
 

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
+from tablevault.llm.common import once
+
 WORD = re.compile(r"[^\W_]+")
 GRAM = 3
 #: Share of the best possible alignment score from which a passage counts as a copy.
@@ -174,7 +176,7 @@ def finder(docs: DataFrame, items: Items, least: float):
             yield pd.Series([[dict(zip(names, h, strict=True)) for h in block.hits(words_of(t), seeds, least)]
                              for t in texts], dtype=object)
 
-    return hits
+    return once(hits)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",

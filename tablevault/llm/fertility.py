@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from tablevault.llm.common import cut, packed
+from tablevault.llm.common import cut, once, packed
 
 FOLDER = "/opt/tokenizers"
 #: Files of public vocabularies in the folder, and the pattern that splits text before the merges of the first.
@@ -140,7 +140,7 @@ def measures(folder: str = FOLDER):
         for texts in batches:
             yield pd.DataFrame([measure(t, vocabularies) for t in texts], columns=names)
 
-    return fields
+    return once(fields)
 
 
 def group_of(lang: Column, script: Column) -> Column:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
 from tablevault.llm import boosting
-from tablevault.llm.common import cut
+from tablevault.llm.common import cut, once
 
 SAMPLE, DRAWN = 200, 900
 TREES, DEPTH = 25, 5
@@ -401,4 +401,4 @@ def extract(pages: DataFrame, html_col: str = "html", out: str = "text", trees:
                 found += texts_of(batch.iloc[i:i + 50].tolist(), trees)
             yield pd.Series(found, dtype=object)
 
-    return pages.withColumn(out, main_text(F.col(html_col).cast("string")))
+    return pages.withColumn(out, once(main_text)(F.col(html_col).cast("string")))
