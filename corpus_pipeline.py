@@ -12,16 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablevault.llm import decontamination, fertility, line_chunks, probminhash, sentencepieces
+from tablevault.llm.common import small_batches, table
 from tablevault.session import ensure_checkpoint_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie in their language's fertility band."""
+    small_batches(spark)
     return fertility.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the line chunks that stand elsewhere already; those left without a word go."""
+    small_batches(spark)
     rest = line_chunks.remove_repeated(docs)
     rest = rest.filter(F.coalesce(F.col("text"), F.lit("")).rlike(r"\S"))
     return rest.withColumn("n_chars", F.length("text").cast("long"))
@@ -29,16 +32,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
+    small_batches(spark)
     return probminhash.keep_first(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontamination.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document."""
+    small_batches(spark)
     coded = sentencepieces.encode(docs)
     return coded.select("doc_id", "lang", "source", "n_chars", F.col("pieces.n_tokens").alias("n_tokens"),
                         F.col("pieces.ids").alias("ids"), F.col("pieces.round_trip").alias("round_trip"))
@@ -51,7 +56,7 @@ STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("MinHas
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
