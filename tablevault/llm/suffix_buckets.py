@@ -14,9 +14,11 @@ every byte from lo to hi + 200. Then, in Spark:
 
 1. q-gram buckets with one member are dropped: no window of theirs is repeated;
 2. of the rest, runs of windows whose common name occurs twice or more are repeated as a whole;
-3. a bucket with several different runs is refined window by window: one run of each name sends its bytes,
-   and every window whose bytes stand in two runs is repeated. Buckets of up to ``TOGETHER`` names are
-   compared in one task, larger ones window by window in a shuffle;
+3. a bucket with several different runs is refined: one run of each name sends its bytes. Buckets of up to
+   ``TOGETHER`` runs are compared window by window in one task. In larger ones a run's windows are halved by
+   their offset to the representative, and each half goes to the bucket of the bytes that all windows of
+   that half share; equal halves are repeated as a whole, and different halves are refined in the same way,
+   until a half is one window. Rows grow by two a step, not by windows;
 4. each document drops what its repeated windows cover.
 
 Counts are added up before shuffles; no task holds the members of a bucket, which may be a third of all rows.
@@ -33,10 +35,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablevault.llm.common import cut, row_key, text_of
+from tablevault.llm.common import cut, once, row_key, text_of
 
 LENGTH = 200
 GRAM = 25
@@ -113,10 +116,6 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"key": keys, **dict(zip(("gram", "first", "last", "lo", "more"), columns, strict=True))})
 
 
-def _window_names(run: bytes) -> np.ndarray:
-    return window_buckets(gram_buckets(np.frombuffer(run, dtype=np.uint8)))
-
-
 def _spans(key, lo: int, hits: np.ndarray) -> list[tuple]:
     """Stretches of windows, as (key, start, end) of the bytes that they cover."""
     if not len(hits):
@@ -144,7 +143,7 @@ def _refine_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = ["key", "start", "end"]
     for batch in batches:
         out = []
-        for g, key, lo, n, run in zip(batch["gram"], batch["key"], batch["lo"], batch["n"], batch["run"], strict=True):
+        for g, key, lo, n, run in zip(batch["bucket"], batch["key"], batch["lo"], batch["n"], batch["run"], strict=True):
             if g != gram:
                 out += done()
                 gram, held = g, []
@@ -155,12 +154,52 @@ def _refine_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=names)
 
 
-def _window_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+OPEN = "bucket long, key binary, lo int, n long, at int, low int, high int, run binary"
+
+
+def _opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs as they leave their documents, with the place of their representative."""
     for batch in batches:
-        for g, key, lo, n, run in zip(batch["gram"], batch["key"], batch["lo"], batch["n"], batch["run"], strict=True):
-            names = _window_names(bytes(run)).view(np.int64)
-            yield pd.DataFrame({"gram": g, "name": names, "key": [key] * len(names), "start": lo + np.arange(len(names)),
-                                "n": n})
+        at = [int(representatives(gram_buckets(np.frombuffer(bytes(r), dtype=np.uint8)))[0][0]) for r in batch["run"]]
+        yield batch.assign(at=at, low=0, high=LENGTH - GRAM + 1)[[f.split()[0] for f in OPEN.split(", ")]]
+
+
+def _halves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The two halves of each run's windows, by offset to the representative, each in its own bucket."""
+    for batch in batches:
+        out = []
+        for bucket, key, lo, n, at, low, high, run in batch.itertuples(index=False):
+            run, middle = bytes(run), (low + high) // 2
+            for a, b in ((low, middle), (middle, high)):
+                least, most = max(a, at - (len(run) - LENGTH)), min(b - 1, at)
+                if least > most:
+                    continue
+                start = at - most
+                shared = run[at - a:at - b + 1 + LENGTH]
+                name = xxhash.xxh3_64_intdigest(shared, seed=(bucket ^ a << 8 ^ b) & 0xFFFFFFFFFFFFFFFF) - 2**63
+                out.append((name, key, lo + start, n, at - start, a, b, run[start:at - least + LENGTH]))
+        yield pd.DataFrame(out, columns=batch.columns)
+
+
+def _refined(opened: DataFrame, together: int) -> list[DataFrame]:
+    """Spans (key, start, end) of the repeated windows of runs that are alone of their name in their bucket."""
+    spans = []
+    while True:
+        sizes = cut(opened.groupBy("bucket").agg(F.count("*").alias("runs")).filter("runs > 1"))
+        mixed = cut(opened.join(sizes, "bucket"))
+        small = mixed.filter(F.col("runs") <= together).select("bucket", "key", "lo", "n", "run")
+        spans.append(small.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(
+            _refine_together, "key binary, start int, end int"))
+        large = mixed.filter((F.col("runs") > together) & (F.col("high") - F.col("low") > 1)).drop("runs")
+        if large.isEmpty():
+            return spans
+        halves = cut(large.mapInPandas(_halves, OPEN))
+        same = cut(halves.groupBy("bucket", "run").agg(
+            F.sum("n").alias("n"), F.min(F.struct("key", "lo", "at", "low", "high")).alias("one")))
+        twice = same.filter("n > 1").select("bucket", "run")
+        spans.append(halves.filter("n = 1").join(twice, ["bucket", "run"], "left_semi").select(
+            "key", F.col("lo").alias("start"), (F.col("lo") + F.octet_length("run")).alias("end")))
+        opened = same.select("bucket", "one.key", "one.lo", "n", "one.at", "one.low", "one.high", "run")
 
 
 def repeated_spans(docs: DataFrame, id_col: str, text_col: str, together: int = TOGETHER) -> DataFrame:
@@ -178,22 +217,15 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, together: int =
     whole = (runs.join(names.filter("n > 1").select("gram", "first", "last", "more"), ["gram", "first", "last", "more"],
                        "left_semi").select("key", F.col("lo").alias("start"), end.alias("end")))
     mixed = cut(names.groupBy("gram").agg(F.count("*").alias("different")).filter("different > 1"))
-    asked = names.join(mixed, "gram").select("gram", "different", "n", "one.key", "one.lo", "more")
-    lists = cut(asked.groupBy("key").agg(F.collect_set(F.struct("gram", "different", "n", "lo", "more")).alias("asked")))
+    asked = names.join(mixed, "gram").select("gram", "n", "one.key", "one.lo", "more")
+    lists = cut(asked.groupBy("key").agg(F.collect_set(F.struct("gram", "n", "lo", "more")).alias("asked")))
     one = (texts.join(lists, "key").select("key", "data", F.explode("asked").alias("a"))
-           .select("a.gram", "a.different", "key", "a.lo", F.col("a.n").cast("int").alias("n"),
+           .select(F.col("a.gram").alias("bucket"), "key", "a.lo", "a.n",
                    F.substring("data", F.col("a.lo") + 1, F.col("a.more") + LENGTH).alias("run")))
-    one = cut(one.dropDuplicates(["gram", "key", "lo"]))  # equal rows share a key and send the same runs
-    few = one.filter(F.col("different") <= together).drop("different")
-    small = few.repartition("gram").sortWithinPartitions("gram").mapInPandas(
-        _refine_together, "key binary, start int, end int")
-    rows = one.filter(F.col("different") > together).drop("different").mapInPandas(
-        _window_rows, "gram long, name long, key binary, start int, n int")
-    twice = (rows.groupBy("gram", "name").agg(F.count("*").alias("c"), F.min(F.struct("key", "start")).alias("x"))
-             .filter("c > 1").select("gram", "name"))
-    large = (rows.filter("n = 1").join(twice, ["gram", "name"], "left_semi")
-             .select("key", "start", (F.col("start") + LENGTH).cast("int").alias("end")))
-    return whole.unionByName(small).unionByName(large)
+    one = one.dropDuplicates(["bucket", "key", "lo"])  # equal rows share a key and send the same runs
+    for part in _refined(cut(one.mapInPandas(_opened, OPEN)), together):
+        whole = whole.unionByName(part)
+    return whole
 
 
 def _rest(data: bytes, spans) -> tuple[bytes, int]:
@@ -230,4 +262,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     df = docs.select(F.struct("*").alias("row"), row_key(id_col, text_col).alias("key")).join(lists, "key", "left")
     data = F.encode(text_of(f"row.`{text_col}`"), "UTF-8")
-    return df.select("row", rest(data, "spans").alias("rest"))
+    return df.select("row", once(rest)(data, "spans").alias("rest"))
