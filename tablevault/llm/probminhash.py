@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from tablevault.llm.common import cut, groups, row_key, text_of
+from tablevault.llm.common import cut, groups, once, row_key, text_of
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -280,7 +280,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     The first of a class is the row with the smallest (id, digest); null ids come last.
     """
-    describe = pandas_udf(_described, FIELDS)
+    describe = once(pandas_udf(_described, FIELDS))
     tid = F.unhex(F.md5(text_of(text_col).cast("binary")))
     rows = cut(docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("doc_id"), tid.alias("tid")))
     described = docs.select(tid.alias("tid"), describe(text_of(text_col)).alias("d"))
