@@ -1,16 +1,19 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
 A first pass counts in how many documents each three-word gram of the test items occurs. An item's
-seeds are its grams that are not far more frequent than its median gram (relative, not a fixed count: an
-item that a third of all documents quote keeps its seeds, and so do the grams that edited copies share). A second pass finds seeds in every whole text and aligns the item locally with the words
-around them, so copies with replaced, added or dropped words score nearly as exact ones.
+seeds are the rarer half, by rank, of its grams that occur at all, however many documents hold them. A
+second pass finds the items' grams in every whole text and aligns the item locally with the words around
+them, the places with seeds first, so copies with replaced, added or dropped words score nearly as exact
+ones. Places that hold only other grams are aligned too: no count cuts off an item. A place is left out only
+where the words it shares with the item, in any order, are too few for the score.
 
 The items travel to the tasks in blocks of bounded size, one after the other; documents are never
 shuffled. Work in a task is one document's words and one item's alignment at a time.
 
 Defined results: null texts hold no words and match nothing; items without words match nothing, items of
 one or two words are their own only gram; equal items each get a row; rows equal in id and text get the
-same rows; among equal scores the first place counts; other columns do not matter.
+same rows; among equal scores the first place counts; n_seeds is the number of seed places in the text, 0 where only
+more frequent grams of the item stand; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -31,8 +34,6 @@ WORD = re.compile(r"[^\W_]+")
 GRAM = 3
 #: Share of the best possible alignment score from which a passage counts as a copy.
 LEAST_SCORE = 0.6
-#: A gram is rare in so many documents at most: a multiple of its item's median gram, and some more.
-RARE_TIMES, RARE_MORE = 4, 16
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 16 << 20
 
@@ -73,20 +74,26 @@ class Items:
         self.words = {i: words_of(text) for i, text in rows}
         self.ids = {w: n for n, w in enumerate(sorted({w for ws in self.words.values() for w in ws}))}
         self.coded = {i: np.array([self.ids[w] for w in ws]) for i, ws in self.words.items()}
-        self.grams = {g for ws in self.words.values() for g in grams_of(ws)}
-        self.seeds: dict[tuple, list[int]] = {}
+        self.counts = {i: Counter(ws) for i, ws in self.words.items()}
+        owners = defaultdict(set)
+        for i, ws in self.words.items():
+            for g in grams_of(ws):
+                owners[g].add(i)
+        self.owners = dict(owners)
+        self.grams = frozenset(owners)
+        self.seeds: dict[int, set[tuple]] = {}
         self.short: set[int] = {len(g) for g in self.grams}
 
     def choose_seeds(self, documents: dict[tuple, int]) -> None:
-        """Each item's rare grams, by the number of documents that hold them."""
-        seeds = defaultdict(list)
+        """Each item's rarer half of the grams that occur, by the number of documents that hold them."""
         for i, ws in self.words.items():
-            own = set(grams_of(ws))
-            middle = sorted(documents.get(g, 0) for g in own)[(len(own) - 1) // 2] if own else 0
-            for g in own:
-                if documents.get(g, 0) <= RARE_TIMES * middle + RARE_MORE:
-                    seeds[g].append(i)
-        self.seeds = dict(seeds)
+            held = {g: documents[g] for g in grams_of(ws) if documents.get(g)}
+            middle = sorted(held.values())[(len(held) - 1) // 2] if held else 0
+            self.seeds[i] = {g for g, n in held.items() if n <= middle}
+
+    def shared(self, i: int, words: Counter) -> int:
+        """How many words of the item stand among ``words``; no alignment matches more."""
+        return sum(min(n, words[w]) for w, n in self.counts[i].items())
 
     def found(self, words: list[str], among) -> set[tuple]:
         out = set()
@@ -95,38 +102,49 @@ class Items:
                 zip(words, words[1:], words[2:], strict=False))
         return out
 
-    def hits(self, words: list[str], seed_set: frozenset, least: float) -> list[tuple]:
-        held = self.found(words, seed_set)
+    def hits(self, words: list[str], least: float) -> list[tuple]:
+        held = self.found(words, self.grams)
         if not held:
             return []
+        every = Counter(words)
+        near = {i for g in held for i in self.owners[g]}
+        near = {i for i in near if self.shared(i, every) / len(self.coded[i]) >= least}
+        if not near:
+            return []
         places = defaultdict(list)
         for n in {len(g) for g in held}:
             for at, g in enumerate(zip(*[words[i:] for i in range(n)], strict=False)):
                 if g in held:
-                    for i in self.seeds[g]:
-                        places[i].append(at)
+                    for i in self.owners[g] & near:
+                        places[i].append((at, g in self.seeds[i]))
         coded = np.array([self.ids.get(w, -1) for w in words])
         out = []
         for i in sorted(places):
             item, at = self.coded[i], sorted(places[i])
             # an alignment above the bound spans less than the item's length times 1 + MATCH / -GAP
             reach = len(item) * (1 + MATCH // -GAP)
-            best = (0, 0)
+            parts = []
             start = 0
             while start < len(at):
                 stop = start
-                while stop + 1 < len(at) and at[stop + 1] - at[stop] <= 2 * reach:
+                while stop + 1 < len(at) and at[stop + 1][0] - at[stop][0] <= 2 * reach:
                     stop += 1
-                low, high = max(0, at[start] - reach), min(len(words), at[stop] + reach)
+                parts.append((not any(seed for _, seed in at[start:stop + 1]),
+                              max(0, at[start][0] - reach), min(len(words), at[stop][0] + reach)))
+                start = stop + 1
+            best = (0, 0)
+            for _, low, high in sorted(parts):
+                bound = MATCH * self.shared(i, Counter(words[low:high]))
+                if bound < best[0] or bound / (MATCH * len(item)) < least:
+                    continue
                 score, end = align(coded[low:high], item)
                 best = max(best, (score, -(low + end)))
-                start = stop + 1
             score = best[0] / (MATCH * len(item))
             if score >= least:
                 end = -best[1]
                 low = max(0, end - reach)
                 back, length = align(coded[low:end][::-1], item[::-1])
-                out.append((i, float(score), end - length, end, len(places[i])))
+                out.append((i, float(score), end - length, end, sum(seed for _, seed in at)))
         return out
 
 
@@ -149,7 +167,7 @@ def prepared(docs: DataFrame, text_col: str, rows: list[tuple[int, str]]) -> Ite
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block = shared.value
-        every, seen = frozenset(block.grams), Counter()
+        every, seen = block.grams, Counter()
         for batch in batches:
             for text in batch["_text"]:
                 seen.update(block.found(words_of(text), every))
@@ -170,10 +188,9 @@ def finder(docs: DataFrame, items: Items, least: float):
     @pandas_udf(HITS)
     def hits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         block = shared.value
-        seeds = frozenset(block.seeds)
         names = ("item_id", "score", "start_word", "end_word", "n_seeds")
         for texts in batches:
-            yield pd.Series([[dict(zip(names, h, strict=True)) for h in block.hits(words_of(t), seeds, least)]
+            yield pd.Series([[dict(zip(names, h, strict=True)) for h in block.hits(words_of(t), least)]
                              for t in texts], dtype=object)
 
     return once(hits)

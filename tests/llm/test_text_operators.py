@@ -158,6 +158,24 @@ def test_alignment_finds_exact_and_edited_copies(spark):
     assert {(r.doc_id, r.item_id, r.score) for r in many} == {(*k, r.score) for k, r in rows.items()}
 
 
+@pytest.mark.parametrize("copies", [17, 50, 1000])
+@pytest.mark.parametrize("every", [4, 5, 6])
+def test_an_edited_copy_in_many_documents_is_found_in_all(spark, copies, every):
+    r = random.Random(copies + every)
+    filler = lambda n: ["w%d" % r.randint(0, 5000) for _ in range(n)]
+    item = ["i%d" % i for i in range(40)]
+    edited = [f"zz{i}" if i % every == every - 1 else w for i, w in enumerate(item)]
+    # a rarer piece of the item elsewhere must not hide the copies
+    rows = [(i, " ".join(filler(30) + edited + filler(30))) for i in range(copies)]
+    rows += [(copies, " ".join(filler(30) + item[:6] + filler(500) + edited))]
+    rows += [(copies + 1 + i, " ".join(filler(60))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    found = decontamination.find(docs, items).collect()
+    assert {x.doc_id for x in found} == set(range(copies + 1)) and all(x.score >= 0.6 for x in found)
+    assert decontamination.keep_clean(docs, items).count() == 20
+
+
 def test_alignment_equals_cell_by_cell():
     r = random.Random(9)
     for _ in range(60):
