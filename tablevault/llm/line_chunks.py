@@ -1,9 +1,9 @@
 """Line dedup by content-defined chunks of lines.
 
-A rolling hash over the hashes of the last ``WINDOW`` lines ends a chunk wherever it falls into one of
-``MEAN_LINES`` classes, so a shared passage is cut at the same lines wherever it stands. A chunk of two
-or more lines with content that occurs again anywhere is removed, except at its first place (smallest
-id, then position), after its bytes were compared with those of all its copies.
+A window rolls over the lines with content: every ``MIN_LINES`` of them in a row, with the blank lines
+between, are a chunk, wherever they stand. A chunk that occurs again anywhere is removed, except at its
+first place (smallest id, then position), after its bytes were compared with those of all its copies.
+Chunks overlap, so a repeated passage is covered from its first line to its last, whatever stands around it.
 
 Only DataFrame functions: lines stay in arrays inside their row, chunks leave the row as 16-byte digests,
 and texts are shuffled twice, to compare bytes and to write the rest.
@@ -11,7 +11,9 @@ and texts are shuffled twice, to compare bytes and to write the rest.
 Defined results: a null text stays null, an empty one empty; a text whose lines all go becomes empty;
 rows equal in id and text are one document read twice and get the same result (they do not remove each
 other's chunks); a class whose bytes differ (a digest collision) is left alone; null ids come first;
-the other columns of a document are passed through whatever their names.
+a line goes where it stands in a later place of any chunk; a copy that overlaps the chunk's first place
+(a line that follows itself) leaves that place's lines; the other columns of a document are passed through
+whatever their names.
 """
 
 from __future__ import annotations
@@ -21,47 +23,27 @@ from pyspark.sql import functions as F
 
 from tablevault.llm.common import cut, row_key
 
-WINDOW = 3
-MEAN_LINES = 4
 MIN_LINES = 2
 
 
-def _rotated(h: Column, by: int) -> Column:
-    return F.shiftleft(h, by).bitwiseOR(F.shiftrightunsigned(h, 64 - by)) if by else h
+def _part(start: Column, end: Column) -> Column:
+    """The text of a row's lines from ``start`` to ``end``."""
+    return F.array_join(F.slice("lines", start + 1, end - start + 1), "\n")
 
 
-def _ends(hashes: Column, mean_lines: int) -> Column:
-    """Indexes of the lines that end a chunk: those the rolling hash picks, and the last."""
-
-    def is_end(i: Column) -> Column:
-        rolled = _rotated(hashes[i], 0)
-        for back in range(1, WINDOW):
-            earlier = F.when(i >= back, hashes[F.greatest(i - back, F.lit(0))]).otherwise(F.lit(0).cast("long"))
-            rolled = rolled.bitwiseXOR(_rotated(earlier, back * 7))
-        # the high bits: neighbouring windows share low ones
-        picked = F.pmod(F.shiftrightunsigned(rolled, 17), F.lit(mean_lines)) == 0
-        return picked | (i == F.size(hashes) - 1)
-
-    return F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), is_end)
-
-
-def chunks(docs: DataFrame, id_col: str, text_col: str, mean_lines: int = MEAN_LINES,
-           min_lines: int = MIN_LINES) -> DataFrame:
-    """One row per chunk of ``min_lines`` lines with content or more: key, id, first and last line, digest."""
+def chunks(docs: DataFrame, id_col: str, text_col: str, min_lines: int = MIN_LINES) -> DataFrame:
+    """One row per ``min_lines`` lines with content in a row: key, id, first and last line, digest."""
     df = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"),
                      F.split(F.col(text_col).cast("string"), "\n", -1).alias("lines")).filter(F.size("lines") >= min_lines)
-    df = df.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
-    df = df.withColumn("ends", _ends(F.col("hashes"), mean_lines))
-    bounds = F.transform("ends", lambda e, k: F.struct(
-        F.when(k > 0, F.col("ends")[F.greatest(k - 1, F.lit(0))] + 1).otherwise(0).alias("start"), e.alias("end")))
-    df = df.withColumn("bounds", F.filter(bounds, lambda b: b["end"] - b["start"] + 1 >= min_lines))
+    df = df.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("lines") - 1),
+                                      lambda i: F.length(F.trim(F.col("lines")[i])) > 0))
+    ends = F.slice("at", min_lines, F.greatest(F.size("at") - min_lines + 1, F.lit(0)))
+    df = df.withColumn("found", F.transform(ends, lambda e, k: F.struct(
+        F.col("at")[k].alias("start"), e.alias("end"),
+        F.unhex(F.md5(_part(F.col("at")[k], e).cast("binary"))).alias("digest"))))
     # an outer explode: for a plain one Spark infers a filter on the array and evaluates all of the above in it
-    df = df.select("key", "id", "lines", F.explode_outer("bounds").alias("b")).filter(F.col("b").isNotNull())
-    part = F.slice("lines", F.col("b.start") + 1, F.col("b.end") - F.col("b.start") + 1)
-    df = df.select("key", "id", F.col("b.start").alias("start"), F.col("b.end").alias("end"), part.alias("part"))
-    full = F.size(F.filter("part", lambda x: F.length(F.trim(x)) > 0)) >= min_lines
-    return df.filter(full).select("key", "id", "start", "end",
-                                  F.unhex(F.md5(F.array_join("part", "\n").cast("binary"))).alias("digest"))
+    df = df.select("key", "id", F.explode_outer("found").alias("c")).filter(F.col("c").isNotNull())
+    return df.select("key", "id", "c.start", "c.end", "c.digest")
 
 
 def _by_document(places: DataFrame) -> DataFrame:
@@ -69,49 +51,49 @@ def _by_document(places: DataFrame) -> DataFrame:
     return places.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end", "digest"))).alias("places"))
 
 
-def repeated(docs: DataFrame, id_col: str, text_col: str, mean_lines: int = MEAN_LINES,
-             min_lines: int = MIN_LINES) -> DataFrame:
+def repeated(docs: DataFrame, id_col: str, text_col: str, min_lines: int = MIN_LINES) -> DataFrame:
     """Places (key, start, end, digest) of every chunk that stands elsewhere too, but for its first place."""
-    found = cut(chunks(docs, id_col, text_col, mean_lines, min_lines))
+    found = cut(chunks(docs, id_col, text_col, min_lines))
     # sums are cut before joins: with plain exchanges on both sides Spark splits a hot class or document
     classes = cut(found.groupBy("digest")
-                  .agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "start")).alias("first"))
+                  .agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "start", "end")).alias("first"))
                   .filter("n > 1"))
     places = cut(found.join(classes, "digest"))
     texts = docs.select(row_key(id_col, text_col).alias("key"),
                         F.split(F.col(text_col).cast("string"), "\n", -1).alias("lines"))
-    part = F.slice("lines", F.col("p.start") + 1, F.col("p.end") - F.col("p.start") + 1)
-    copies = (texts.join(cut(_by_document(places)), "key").select("lines", F.explode("places").alias("p"))
-              .select("p.digest", F.array_join(part, "\n").alias("bytes")))
+    parts = F.transform("places", lambda p: F.struct(p["digest"].alias("digest"), _part(p["start"], p["end"]).alias("bytes")))
+    # one plan at every size: texts always meet the places in a merge join
+    copies = (texts.join(cut(_by_document(places)).hint("merge"), "key").select(F.explode_outer(parts).alias("p"))
+              .filter(F.col("p").isNotNull()).select("p.digest", "p.bytes"))
     same = cut(copies.groupBy("digest").agg(F.min("bytes").alias("low"), F.max("bytes").alias("high"))
                .filter(F.col("low") == F.col("high")).select("digest"))
-    later = places.filter(~(F.struct("id", "key", "start").eqNullSafe(F.col("first"))))
+    later = places.filter(~(F.struct("id", "key", "start", "end").eqNullSafe(F.col("first"))))
+    overlaps = (F.col("key") == F.col("first.key")) & (F.col("start") <= F.col("first.end"))
+    later = later.withColumn("start", F.when(overlaps, F.col("first.end") + 1).otherwise(F.col("start")))
     return later.join(same, "digest", "left_semi").select("key", "start", "end", "digest")
 
 
 STATS = ("n_lines", "n_removed", "n_chunks")
 
 
-def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean_lines: int = MEAN_LINES,
-                    min_lines: int = MIN_LINES, stats: bool = False) -> DataFrame:
+def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES,
+                    stats: bool = False) -> DataFrame:
     """``docs`` with the rest of each text; with ``stats`` also the columns of ``STATS``."""
-    gone = cut(_by_document(repeated(docs, id_col, text_col, mean_lines, min_lines)))
+    places = _by_document(repeated(docs, id_col, text_col, min_lines))
+    every = F.flatten(F.transform("places", lambda p: F.sequence(p["start"], p["end"])))
+    gone = cut(places.select("key", F.array_distinct(every).alias("gone")))
     df = docs.select(F.struct("*").alias("row"), row_key(id_col, text_col).alias("key"))
-    df = df.join(gone, "key", "left")
+    df = df.join(gone.hint("merge"), "key", "left")
     text = F.col(f"row.`{text_col}`")
-    df = df.withColumn("lines", F.when(F.col("places").isNotNull(), F.split(text.cast("string"), "\n", -1)))
-
-    # the stretches between removed chunks: from the end of one to the start of the next
-    def stretch(i: Column) -> Column:
-        begin = F.when(i > 0, F.col("places")[F.greatest(i - 1, F.lit(0))]["end"] + 1).otherwise(0)
-        stop = F.when(i < F.size("places"), F.col("places")[F.least(i, F.size("places") - 1)]["start"])
-        return F.slice("lines", begin + 1, stop.otherwise(F.size("lines")) - begin)
+    df = df.withColumn("lines", F.when(F.col("gone").isNotNull(), F.split(text.cast("string"), "\n", -1)))
 
-    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("places")), stretch))
-    rest = F.when(F.col("places").isNull(), text).otherwise(F.array_join(kept, "\n"))
-    n_removed = F.aggregate("places", F.lit(0), lambda s, p: s + p["end"] - p["start"] + 1)
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    rest = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.col("lines")[i]), "\n"))
+    n_removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
+    # a stretch of removed lines for each whose line before stays
+    n_stretches = F.size(F.array_except("gone", F.transform("gone", lambda i: i + 1)))
     n_lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
-    counts = [n_lines, F.coalesce(n_removed, F.lit(0)), F.when(F.col("places").isNull(), 0).otherwise(F.size("places"))]
+    counts = [n_lines, n_removed, F.when(F.col("gone").isNull(), 0).otherwise(n_stretches)]
     out = df.select(F.col("row").withField(f"`{text_col}`", rest).alias("row"),
                     *[c.cast("long").alias(n) for c, n in zip(counts, STATS, strict=True) if stats])
     return out.select("row.*", *(STATS if stats else ()))

@@ -301,3 +301,46 @@ def test_line_chunk_result_is_the_lines_outside_the_places(small_docs):
         drop = by_key.get(bytes(r.key), set())
         assert rest[r.doc_id] == "\n".join(x for i, x in enumerate(r.text.split("\n")) if i not in drop)
     assert docs.filter(F.col("text").contains("\n")).count()
+
+
+def brute_lines(rows):
+    """Per id the lines left: those outside later places of two lines with content, blank ones between."""
+    first, gone = {}, {i: set() for i, _ in rows}
+    for i, text in sorted(rows):
+        lines = text.split("\n")
+        at = [k for k, x in enumerate(lines) if x.strip(" ")]
+        for a, b in zip(at, at[1:]):
+            doc, end = first.setdefault("\n".join(lines[a:b + 1]), (i, b))
+            if (doc, end) != (i, b):
+                gone[i].update(range(max(a, end + 1) if doc == i else a, b + 1))
+    return {i: [x for k, x in enumerate(t.split("\n")) if k not in gone[i]] for i, t in rows}
+
+
+def test_line_chunks_find_every_passage_of_two_lines_and_more(spark, small_docs):
+    r = random.Random(21)
+    line = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(8))
+    rows, own_lines = [], {}
+    for n in range(2, 11):
+        for k in range(12):
+            passage = [line() for _ in range(n)]
+            if k % 3 == 0:
+                passage.insert(1, "")
+            for copy in range(2):
+                before, after = ([line() for _ in range(r.randint(1, 9))] for _ in range(2))
+                i = len(rows)
+                own_lines[i] = before + (passage if copy == 0 else []) + after
+                rows.append((i, "\n".join(before + passage + after)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: x.text.split("\n") for x in line_chunks.remove_repeated(docs).collect()} == own_lines
+    # random lines of a small alphabet: overlaps, repeats inside a text, blank lines
+    rows = [(i, "\n".join(r.choice(["a", "b", "c", "d", "e", "", " ", f"own {i} {k}"]) for k in range(r.randint(1, 12))))
+            for i in range(80)] + [(80, "x\nx\nx\nx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: "\n".join(x) for i, x in brute_lines(rows).items()}
+    assert want[80] == "x\nx"
+    out = line_chunks.remove_repeated(docs, stats=True).collect()
+    assert {x.doc_id: x.text for x in out} == want
+    assert all((x.n_removed > 0) == (x.n_chunks > 0) and x.n_chunks <= x.n_removed <= x.n_lines for x in out)
+    rows = [tuple(x) for x in small_docs.filter("text is not null and doc_id is not null").select("doc_id", "text").collect()]
+    assert {x.doc_id: x.text for x in line_chunks.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {
+        i: "\n".join(x) for i, x in brute_lines(rows).items()}
