@@ -127,6 +127,19 @@ def test_encoding_edges(edge_docs, no_docs):
     assert sentencepieces.encode(no_docs).count() == 0
 
 
+def test_a_wrong_segmentation_never_goes_out(small_docs):
+    with open(MODEL, "rb") as f:
+        encoder = sentencepieces.Encoder(f.read())
+    texts = [f"the {i} words of this text" for i in range(60)]
+    of_letter = {p: i for i, (p, _, _) in enumerate(encoder.model.pieces)}
+    # letter by letter: a round trip holds, the ids are not the model's
+    encoder.encode = lambda normal: [np.array([of_letter[c] for c in t], dtype=np.int32) for t in normal]
+    rows = sentencepieces.encoded(texts, encoder, sentencepieces.PARITY_EVERY)
+    for text, (ids, n, _, whole, same) in zip(texts, rows, strict=True):
+        assert ids.tolist() == encoder.reference.encode(text) and n == len(ids) and whole and same is False
+    assert sentencepieces.encode(small_docs.limit(50)).filter("pieces.parity").count() == 50
+
+
 # --- decontamination ---
 
 ITEM = "the quick brown fox jumps over the lazy dog while seven small kings watch from the old stone wall tonight".split()
