@@ -15,6 +15,7 @@ from tablevault.llm import (
     line_chunks,
     packing,
     probminhash,
+    repairs,
     sentencepieces,
     sharding,
     suffix_buckets,
@@ -69,6 +70,10 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"), stats=True)
 
 
+def op11_cyk_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repairs.repaired(repairs.damaged(table(spark, sf_dir, "conversations")))
+
+
 def op12_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -79,6 +84,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_html_trees, op2_label_propagation_shards, op3_tokeniser_fertility,
                             op4_benchmark_alignment, op5_license_set_join, op6_probminhash,
                             op7_sentencepiece_tokenizers, op8_url_trees, op9_suffix_buckets, op10_line_chunks,
-                            op12_sum_of_squares_packing)}
+                            op11_cyk_repair, op12_sum_of_squares_packing)}
 
 ORACLES: dict[str, str] = {}
