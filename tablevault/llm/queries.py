@@ -14,6 +14,7 @@ from tablevault.llm import (
     licenses,
     line_chunks,
     packing,
+    prefix_trie,
     probminhash,
     repairs,
     sentencepieces,
@@ -80,10 +81,14 @@ def op12_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_html_trees, op2_label_propagation_shards, op3_tokeniser_fertility,
                             op4_benchmark_alignment, op5_license_set_join, op6_probminhash,
                             op7_sentencepiece_tokenizers, op8_url_trees, op9_suffix_buckets, op10_line_chunks,
-                            op11_cyk_repair, op12_sum_of_squares_packing)}
+                            op11_cyk_repair, op12_sum_of_squares_packing, op13_prefix_trie)}
 
 ORACLES: dict[str, str] = {}

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablevault.llm.common import cut
-from tablevault.llm.turns import id_key, in_order
+from tablevault.llm.turns import id_key, in_order, ranked
 
 KEEP, RENAME, DELETE, INSERT, UNFINISHED = 0, 1, 2, 5, 5
 STATES = "0123"  # start, after s, after u, after a
@@ -416,7 +416,7 @@ def repaired(rows: DataFrame) -> DataFrame:
                        "text", "gone")
     kind = rows.schema["conv_id"].dataType.simpleString()
     schema = T.StructType.fromDDL(f"k string, conv_id {kind}, {RESULT}, {EDGE}")
-    found = cut(in_order(rows).mapInArrow(_whole_and_edges(schema), schema))
+    found = cut(in_order(ranked(rows)).mapInArrow(_whole_and_edges(schema), schema))
     names = [f.strip().split(" ")[0] for f in RESULT.split(",")]
     inner = found.filter("idx is null").select("conv_id", *names)
     edges = found.filter("idx is not null")

@@ -19,14 +19,19 @@ def id_key(column: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit("-"))
 
 
-def in_order(rows: DataFrame) -> DataFrame:
-    """``rows`` (with k, turn, role, text) sorted by k, turn (null first), role and text.
+def ranked(rows: DataFrame) -> DataFrame:
+    """``rows`` (with k, turn, role, text) with the columns that put equal turns in order."""
+    return rows.withColumns({"_head": F.substring("text", 1, PREFIX), "_hash": F.xxhash64("text")})
 
-    Equal turns are ordered by role, the text's first ``PREFIX`` characters, a hash of the whole text, and the text.
-    Rows that agree in all of it are identical, so that a hot group of them may spread over partitions.
+
+def in_order(rows: DataFrame, last: str = "text") -> DataFrame:
+    """Ranked rows sorted by k, turn (null first), role and text.
+
+    Equal turns are ordered by role, the text's first ``PREFIX`` characters, a hash of the whole text, and ``last`` (the
+    text itself or a digest of it). Rows that agree in all of it are identical, so that a hot group of them may
+    spread over partitions.
     """
-    order = [F.col("k"), F.col("turn").asc_nulls_first(), F.col("role"), F.substring("text", 1, PREFIX),
-             F.xxhash64("text")]
+    order = [F.col("k"), F.col("turn").asc_nulls_first(), F.col("role"), F.col("_head"), F.col("_hash")]
     tie = F.col("_tie")
     return (rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*order, tie)
-            .sortWithinPartitions(*order, F.col("text"), tie).drop("_tie"))
+            .sortWithinPartitions(*order, F.col(last), tie).drop("_tie", "_head", "_hash"))
