@@ -113,27 +113,55 @@ def lit_float(c, mode: str = COMPAT) -> Column:
 
 
 def _six_decimals(x: Column) -> Column:
-    """``%f`` of the exact binary value, halves to even.
+    """``%f`` of the exact binary value, halves to even (Java's own ``%f`` rounds the shortest decimal text instead).
 
-    Java's own ``%f`` rounds the shortest decimal text instead. The fraction times 10**6 is computed with its
-    rounding error (the fraction is split into 26-bit halves, so all partial products are exact). Beyond
-    2**53 a double has no fraction and Java's text is taken; not-a-numbers and infinities as well.
+    Most doubles in tables are the nearest ones to a decimal of six places at most: then that decimal divided out
+    again gives the same double, and below 2**32, where half a unit in the last place is less than half a millionth, its
+    digits are the exact rounding too. The others take :func:`_exact_six_decimals`.
     """
-    size = F.abs(x)
-    whole = F.floor(size)
-    part = size - whole
-    wide = part * F.lit(134217729.0)
-    high = wide - (wide - part)
-    product = part * F.lit(1e6)
+    millionths = F.rint(x * F.lit(1e6))
+    short = (F.abs(x) < F.lit(float(2**32))) & (millionths / F.lit(1e6) == x)
+    digits = F.abs(millionths).cast("long")
+    minus = (x < 0) | (x == 0) & x.cast("string").startswith("-")
+    text = F.concat(F.when(minus, F.lit("-")).otherwise(F.lit("")),
+                    F.call_function("div", digits, F.lit(1000000).cast("long")).cast("string"), F.lit("."),
+                    F.lpad((digits % 1000000).cast("string"), 6, "0"))
+    return F.when(short, text).otherwise(_exact_six_decimals(x))
+
+
+def _bind(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _exact_six_decimals(x: Column) -> Column:
+    """``%f`` of the exact binary value of any double.
+
+    The fraction times 10**6 is computed with its rounding error (the fraction is split into 26-bit halves, so all
+    partial products are exact). Beyond 2**53 a double has no fraction and Java's text is taken; not-a-numbers and
+    infinities as well.
+    """
+    def split(size: Column, whole: Column) -> Column:
+        return _bind(size - whole, lambda part: _bind(part * F.lit(134217729.0), lambda wide: _bind(
+            wide - (wide - part), lambda high: _bind(part * F.lit(1e6), lambda product: _bind(
+                F.floor(product), lambda down: _bind(down + _round_up(part, high, product, down),
+                                                     lambda digits: text(whole, digits)))))))
+
+    def text(whole: Column, digits: Column) -> Column:
+        carried = whole + F.when(digits == 1000000, 1).otherwise(0)
+        return F.concat(F.when(x.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit("")),
+                        carried.cast("string"), F.lit("."), F.lpad((digits % 1000000).cast("string"), 6, "0"))
+
+    near = _bind(F.abs(x), lambda size: _bind(F.floor(size), lambda whole: split(size, whole)))
+    return F.when(F.abs(x) < F.lit(float(2**53)), near).otherwise(F.format_string("%f", x))
+
+
+def _round_up(part: Column, high: Column, product: Column, down: Column) -> Column:
+    """1 where the exact product lies above the half, or on it after an odd digit; else 0."""
     error = (high * F.lit(1e6) - product) + (part - high) * F.lit(1e6)
-    down = F.floor(product)
     over = product - down - F.lit(0.5)
-    up = (over > 0) & ~((over == 0) & (error < 0)) | (over == 0) & ((error > 0) | (error == 0) & (down % 2 == 1))
-    digits = down + F.when(up, 1).otherwise(0)
-    carried = whole + F.when(digits == 1000000, 1).otherwise(0)
-    text = F.concat(F.when(x.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit("")),
-                    carried.cast("string"), F.lit("."), F.lpad((digits % 1000000).cast("string"), 6, "0"))
-    return F.when(size < F.lit(float(2**53)), text).otherwise(F.format_string("%f", x))
+    up = (over > 0) | (over == 0) & ((error > 0) | (error == 0) & (down % 2 == 1))
+    return F.when(up, 1).otherwise(0)
 
 
 def lit_bool(c) -> Column:
