@@ -32,13 +32,19 @@ def dump_report(script: DataFrame) -> DataFrame:
 
     data = script.where((F.col("section") == TABLES) & (F.col("part") == DATA))
     size = F.octet_length("value").cast("long")
-    return data.groupBy("db", F.col("table_key").alias("table")).agg(
+    return data.groupBy("db", _table_of_key("table_key").alias("table")).agg(
         F.count(F.lit(1)).alias("n_statements"),
         F.sum(size + 1).alias("n_bytes"),
         F.max(size).alias("max_statement_bytes"),
     )
 
 
+def _table_of_key(name: str) -> Column:
+    """The table's name from its place in a script (a name that is not in lower case stands behind its lower form)."""
+    lower, own = F.substring_index(name, "\u0001", 1), F.expr(f"substr({name}, instr({name}, '\\u0001') + 1)")
+    return F.when(F.col(name).contains("\u0001") & (F.lower(own) == lower), own).otherwise(F.col(name))
+
+
 def run_report(runs: DataFrame) -> DataFrame:
     """A1 for a run log: per run, total / dump / upload seconds, bytes and upload count.
 

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from tablevault.functions.literals import unescape_sql
 from tablevault.operators.common import broadcast_if_small
+from tablevault.operators.ddl import parse_create_table, with_computed
 
 # Java regular expressions for the dump grammar (section 7.5 of the survey).
 QUOTED = r"'(?:[^'\\]++|\\.|'')*+'"
@@ -203,12 +204,13 @@ def glob_regex(glob: str) -> str:
     return "^" + "".join(out) + "$"
 
 
-def read_scripts(spark, path: str, path_glob: str | None = None) -> DataFrame:
+def read_scripts(spark, path: str, path_glob: str | None = None, opened=None) -> DataFrame:
     """``(file, pos, stmt)`` for every script file under ``path`` (one task per file).
 
     Files are opened through pyarrow filesystems inside the tasks and streamed (gzip / bzip2 by
     extension): a task holds one statement at a time, never a whole file, and names with ``:``
-    work. Files whose names start with ``_`` or ``.`` (commit markers) are skipped.
+    work. Files whose names start with ``_`` or ``.`` (commit markers) are skipped. ``opened`` is an accumulator
+    that counts the files opened.
     """
     files = _list_files(spark, path)
     if path_glob:
@@ -223,6 +225,8 @@ def read_scripts(spark, path: str, path_glob: str | None = None) -> DataFrame:
         for pdf in batches:
             for root, p in zip(pdf["root"], pdf["path"]):
                 filesystem, _ = fs.FileSystem.from_uri(normalize_url(root))
+                if opened is not None:
+                    opened.add(1)
                 with _open_bytes(filesystem, p) as handle:
                     rows = ((p, i, st) for i, st in enumerate(statements_of(_blocks(handle))))
                     yield from _batched(rows, ["file", "pos", "stmt"])
@@ -329,6 +333,7 @@ def _typed(text: Column, raw: Column, dtype: T.DataType) -> Column:
         binary_lit = F.regexp_extract(r, r"^_binary\s*'(.*)'$", 1)
         return (F.when(r == "NULL", F.lit(None).cast("binary"))
                 .when(F.upper(F.substring(r, 1, 2)) == "X'", F.unhex(hexed))
+                .when(F.upper(F.substring(r, 1, 2)) == "0X", F.unhex(F.substr(r, F.lit(3))))
                 .otherwise(F.encode(unescape_sql(binary_lit), "UTF-8")))
     if isinstance(dtype, (T.StringType, T.CharType, T.VarcharType)):
         return text
@@ -411,57 +416,93 @@ def load_script_lines(lines: DataFrame, tables: dict[str, T.StructType], value:
 
 # --- a whole restore ------------------------------------------------------------------------------
 
-COLUMN_RE = re.compile(r"^\s*`((?:[^`]|``)+)`\s+(\w+(?:\([^)]*\))?(?:\s+unsigned)?)(.*?),?\s*$", re.I)
-CREATE_TABLE_RE = r"(?s)^(?:.*?;\s*|\s|--[^\n]*\n|/\*.*?\*/\s*;?)*CREATE TABLE (?:IF NOT EXISTS )?(`(?:[^`]|``)+`) \((.*)$"
-
-# MySQL column types and the Spark types they load into.
-SPARK_TYPES = {"tinyint": "tinyint", "smallint": "smallint", "mediumint": "int", "int": "int", "integer": "int", "bigint": "bigint",
-               "float": "float", "double": "double", "date": "date", "datetime": "timestamp_ntz", "timestamp": "timestamp",
-               "binary": "binary", "varbinary": "binary", "tinyblob": "binary", "blob": "binary", "mediumblob": "binary",
-               "longblob": "binary"}
-
-
 def spark_type(mysql: str) -> str:
     """The Spark type of a MySQL column type; text for what has no closer one (JSON, TIME, ENUM, SET ...)."""
-    base, _, size = mysql.lower().replace(" unsigned", "").partition("(")
-    if mysql.lower().startswith("tinyint(1)"):
-        return "boolean"
-    if base in ("decimal", "numeric"):
-        return f"decimal({size.rstrip(')') or '10,0'})"
-    if mysql.lower().endswith("unsigned") and base == "bigint":
-        return "decimal(20,0)"
-    if mysql.lower().endswith("unsigned") and base in ("int", "integer"):
-        return "bigint"
-    return SPARK_TYPES.get(base, "string")
+    return parse_create_table(f"CREATE TABLE t (c {mysql})").columns[0].spark_type()
 
 
 def schema_of_ddl(body: str) -> T.StructType:
-    """The columns of a CREATE TABLE statement (``body`` starts after its opening parenthesis)."""
-    fields = [(m[1].replace("``", "`"), spark_type(m[2]))
-              for line in body.split("\n") if (m := COLUMN_RE.match(line))]
-    return T.StructType([T.StructField(n, T.DataType.fromDDL(t)) for n, t in fields])
+    """The stored columns of a CREATE TABLE statement (``body`` starts after its opening parenthesis)."""
+    return parse_create_table("CREATE TABLE t (" + body).stored()
+
+
+DATA, TABLE, PROGRAM = "data", "table", "program"
+STAGED = "db string, kind string, tbl string, file string, pos long, stmt string"
+
+#: What a statement creates, after comments and session settings in front of it. Groups: the kind, the name.
+CREATES_RE = (r"(?is)^(?:\s++|--[^\n]*+\n|/\*(?!!).*?\*/|(?:/\*!\d*+\s*+)?(?:SET|DROP)\b(?:[^;'`]++|'[^']*+'|`[^`]*+`)*+;)*+"
+              r"(?:/\*!\d*+\s*+)?CREATE\b(?:[^`(]|`[^`]*+`@`[^`]*+`){0,400}?"
+              r"\b(TABLE|VIEW|TRIGGER|FUNCTION|PROCEDURE|EVENT)\b[^`(]*+(`(?:[^`]|``)++`)")
+
+
+def tag_statements(stmts: DataFrame) -> DataFrame:
+    """``STAGED`` rows of the statements that carry data, tables or programs; session settings and locks fall away.
+
+    ``stmts``: (db, file, pos, stmt). A statement is known by its beginning, so text inside data or programs is never
+    taken for one.
+    """
+    text = F.col("stmt")
+    insert = F.startswith(text, F.lit("INSERT INTO"))
+    made = F.upper(F.regexp_extract(text, CREATES_RE, 1))
+    kind = F.when(insert, DATA).when(made == "TABLE", TABLE).when(made != "", PROGRAM)
+    quoted = F.when(insert, F.regexp_extract(text, TABLE_RE, 1)).otherwise(F.regexp_extract(text, CREATES_RE, 2))
+    name = F.replace(quoted.substr(F.lit(2), F.length(quoted) - 2), F.lit("``"), F.lit("`"))
+    tagged = stmts.select("db", kind.alias("kind"), name.alias("tbl"), "file", "pos", "stmt")
+    return tagged.where(F.col("kind").isNotNull() & (F.col("tbl") != ""))
 
 
-def run_restore(spark, path: str, dest: str, include: list[str] | None = None,
-                mapping: dict[str, str] | None = None) -> dict[str, list[str]]:
+class Restored(dict):
+    """Published tables by database; ``left_out`` names what a table folder cannot hold (db, kind, name)."""
+
+    left_out: list[tuple[str, str, str]]
+
+
+def stage_statements(stmts: DataFrame) -> tuple[DataFrame, str]:
+    """Tagged statements, written once in the shared checkpoint folder by database, kind and table, and its path.
+
+    This is the one pass over a dump's files: reads of a single table prune to its folder. A dump is contiguous by
+    table, so a task writes to few folders.
+    """
+    import uuid
+
+    from tablevault.session import ensure_checkpoint_dir
+
+    spark = stmts.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    tag_statements(stmts).write.partitionBy("db", "kind", "tbl").parquet(path)
+    return spark.read.schema(STAGED).parquet(path), path
+
+
+def run_restore(spark, path: str, dest: str, include: list[str] | None = None, mapping: dict[str, str] | None = None,
+                opened=None) -> Restored:
     """Restore a dump from its files alone: read, choose (R3) and rename (R2) databases, load (R4), publish.
 
-    The files under ``path/db=<name>/`` are a database's script. Column types come from the script's own CREATE
-    TABLE statements, one row per table. Tables land in ``dest/<database>/<table>``; a database's tables
-    are published together or not at all. Returns the published tables of each database.
+    The files under ``path/db=<name>/`` are a database's script; they are read once, however many tables they hold.
+    Column types come from the script's own CREATE TABLE statements, and computed columns, which INSERTs leave out, are
+    evaluated again. Tables land in ``dest/<database>/<table>``; a database's tables are published together or not at
+    all. Returns the published tables of each database; views, triggers and routines are named in ``left_out``.
+    ``opened`` is an accumulator that counts the files opened.
     """
-    from tablevault.sinks.writers import restore_tables
+    from tablevault.sinks.writers import remove_folder, restore_tables
 
-    stmts = read_scripts(spark, path).withColumn("db", F.url_decode(F.regexp_extract("file", r"/db=([^/]+)/", 1)))
+    stmts = read_scripts(spark, path, opened=opened).withColumn(
+        "db", F.url_decode(F.regexp_extract("file", r"/db=([^/]+)/", 1)))
     if include is not None:
         stmts = filter_databases(stmts, spark.createDataFrame([(d,) for d in include], "db string"))
-    ddl = stmts.where(F.col("stmt").contains("CREATE TABLE") & ~F.startswith(F.col("stmt"), F.lit("INSERT INTO")))
-    found = ddl.select("db", F.regexp_extract("stmt", CREATE_TABLE_RE, 1).alias("t"),
-                       F.regexp_extract("stmt", CREATE_TABLE_RE, 2).alias("body")).where("t <> ''").collect()
-    published = {}
-    for db in sorted({r["db"] for r in found}):
-        schemas = {r["t"][1:-1].replace("``", "`"): schema_of_ddl(r["body"]) for r in found if r["db"] == db}
-        tables = load_scripts(stmts.where(F.col("db") == db), schemas)
-        target = (mapping or {}).get(db, db)
-        published[target] = restore_tables(tables, f"{dest.rstrip('/')}/{target}")
+    staged, folder = stage_statements(stmts)
+    published = Restored()
+    try:
+        found = [(r["db"], table) for r in staged.where(F.col("kind") == TABLE).select("db", "stmt").collect()
+                 if (table := parse_create_table(r["stmt"])) is not None]
+        for db in sorted({d for d, _ in found}):
+            mine = staged.where((F.col("kind") == DATA) & (F.col("db") == db))
+            tables = {t.name: with_computed(load_inserts(mine.where(F.col("tbl") == t.name), t.name, t.stored()), t)
+                      for d, t in found if d == db}
+            target = (mapping or {}).get(db, db)
+            published[target] = restore_tables(tables, f"{dest.rstrip('/')}/{target}")
+        programs = staged.where(F.col("kind") == PROGRAM).select("db", "tbl", "stmt")
+        named = programs.select("db", F.upper(F.regexp_extract("stmt", CREATES_RE, 1)).alias("kind"), "tbl").distinct()
+        published.left_out = sorted(tuple(r) for r in named.collect())
+    finally:
+        remove_folder(spark, folder)
     return published

@@ -670,3 +670,7 @@ def stream_dump_events(spark, sf_dir):
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return spark.read.text(f"{base}/out").select(F.col("value").alias("stmt"))
+
+
+# the plans of restore register themselves with this module's PLANS and ORACLES
+from tablevault.plans import restore_checks  # noqa: E402, F401

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -150,8 +151,15 @@ def delete_backups(candidates: DataFrame, dry_run: bool = True) -> DataFrame:
 
 # --- W6 / R5: restore tables atomically ----------------------------------------------------------------
 
-def restore_tables(tables: dict[str, DataFrame], dest: str, fmt: str = "parquet") -> list[str]:
-    """W6 + R5: write every table to a staging folder, publish them only if all writes worked.
+def remove_folder(spark, path: str) -> None:
+    """Delete an intermediate folder of ours."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def restore_tables(tables: dict[str, DataFrame], dest: str, fmt: str = "parquet", parallel: int = 4) -> list[str]:
+    """W6 + R5: write every table to a staging folder (``parallel`` jobs at a time), publish them only if all writes
+    worked.
 
     Publishing moves each old table aside and the new one into ``dest/<table>`` through Hadoop's FileSystem.
     Old tables are removed only when all new ones stand; if a move fails, the old ones are moved back.
@@ -159,8 +167,10 @@ def restore_tables(tables: dict[str, DataFrame], dest: str, fmt: str = "parquet"
     """
     spark = next(iter(tables.values())).sparkSession
     stage = f"{dest.rstrip('/')}/_staging_{uuid.uuid4().hex}"
-    for name, df in tables.items():
-        df.write.mode("errorifexists").format(fmt).save(f"{stage}/{name}")
+    with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(tables)))) as pool:
+        writes = [pool.submit(df.write.mode("errorifexists").format(fmt).save, f"{stage}/{name}") for name, df in tables.items()]
+        for write in writes:
+            write.result()
     jvm = spark._jvm
     conf = spark._jsc.hadoopConfiguration()
     stage_path = jvm.org.apache.hadoop.fs.Path(stage)
