@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from tablevault.functions.literals import unescape_sql
 from tablevault.operators.common import broadcast_if_small
 from tablevault.operators.ddl import parse_create_table, with_computed
+from tablevault.operators.script_blocks import BLOCK_BYTES, read_blocks
 
 # Java regular expressions for the dump grammar (section 7.5 of the survey).
 QUOTED = r"'(?:[^'\\]++|\\.|'')*+'"
@@ -42,7 +43,7 @@ SPLIT_SCHEMA = "file string, pos long, stmt string"
 # "/*" to "*/"; those that begin with "/*!" hold code and are scanned as such.
 
 _TOKEN = re.compile(
-    rb"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|`(?:[^`]|``)*`|/\*(?!!).*?\*/|(?:--(?=\s)|#)[^\n]*|/\*!|\*/", re.S)
+    rb"'(?:[^'\\]++|\\.|'')*+'|\"(?:[^\"\\]++|\\.|\"\")*+\"|`(?:[^`]++|``)*+`|/\*(?!!).*?\*/|(?:--(?=\s)|#)[^\n]*|/\*!|\*/", re.S)
 _OPENERS = re.compile(rb"['\"`#]|--(?=\s)|/\*")
 _PLAIN = re.compile(rb"(?:[^'\"`#/;\n-]++|'(?:[^'\\]++|\\.)*+'|`[^`]*+`)*+", re.S)
 _DELIMITER_LINE = re.compile(rb"[ \t]*DELIMITER[ \t]+(\S+)[ \t]*\r?\n?", re.I)
@@ -69,10 +70,26 @@ def _as_text(statement: bytes) -> str:
 class Splitter:
     """Finds statements in a stream of byte blocks; holds the open statement and nothing before it."""
 
-    def __init__(self):
-        self.data, self.scanned, self.delimiter = bytearray(), 0, b";"
+    def __init__(self, delimiter: bytes = b";"):
+        self.data, self.scanned, self.delimiter = bytearray(), 0, delimiter
+        self.open = b""  # what the text ends within: a quote's or comment's beginning
 
     def feed(self, block: bytes, final: bool = False) -> Iterator[bytes]:
+        """Statements without the white space around them; blank ones are passed over."""
+        for piece in self.cuts(block, final):
+            if statement := piece.strip():
+                yield statement
+        if final and (statement := self.rest().strip()):
+            yield statement
+
+    def rest(self) -> bytes:
+        """The open statement."""
+        left = bytes(self.data)
+        self.data, self.scanned = bytearray(), 0
+        return left
+
+    def cuts(self, block: bytes, final: bool = False) -> Iterator[bytes]:
+        """The text up to each delimiter, which stays only if it is a semicolon."""
         self.data += block
         while self.scanned < len(self.data):
             data, at = self.data, self.scanned
@@ -88,7 +105,7 @@ class Splitter:
                     if line:
                         size, delimiter = line.end() - line.start(), bytes(line[1])
                         del line  # it refers to the buffer
-                        yield from self._cut(at, 0)
+                        yield self._cut(at, 0)
                         del self.data[:size]
                         self.delimiter = delimiter
                         continue
@@ -106,23 +123,23 @@ class Splitter:
             first = min(stop, opener.start()) if opener else stop
             ends = data.find(self.delimiter, at, first)
             if ends >= 0:
-                yield from self._cut(ends + len(self.delimiter), 0 if self.delimiter == b";" else len(self.delimiter))
+                yield self._cut(ends + len(self.delimiter), 0 if self.delimiter == b";" else len(self.delimiter))
             elif opener and opener.start() < stop:
                 token = _TOKEN.match(data, opener.start())
                 if token is None and not final or token and token.end() == len(data) and not final:
                     return  # the quote or comment may go on in the next block
+                if token is None:
+                    self.open = bytes(opener[0])
                 self.scanned = token.end() if token else len(data)
+                del opener, token
             else:
                 self.scanned = stop
-        if final:
-            yield from self._cut(len(self.data), 0)
 
-    def _cut(self, at: int, drop: int) -> Iterator[bytes]:
-        statement = bytes(self.data[:at - drop]).strip()
+    def _cut(self, at: int, drop: int) -> bytes:
+        piece = bytes(self.data[:at - drop])
         del self.data[:at]
         self.scanned = 0
-        if statement:
-            yield statement
+        return piece
 
 
 def statements_of(blocks) -> Iterator[str]:
@@ -140,6 +157,8 @@ def split_script_text(text: str) -> list[str]:
     return list(statements_of([text.encode("utf-8")]))
 
 
+#: Names that are streamed, as their bytes cannot be read from the middle.
+COMPRESSED_RE = r"\.(gz|tgz|bz2|tbz2)$"
 READ_BYTES = 1 << 20
 BATCH_BYTES = 8 << 20
 
@@ -187,13 +206,13 @@ def _list_files(spark, path: str, suffixes: tuple[str, ...] | None = None) -> Da
             for root in pdf["root"]:
                 filesystem, base = fs.FileSystem.from_uri(normalize_url(root))
                 infos = filesystem.get_file_info(fs.FileSelector(base, recursive=True))
-                names = sorted(i.path for i in infos if i.type == fs.FileType.File
+                found = sorted((i.path, i.size) for i in infos if i.type == fs.FileType.File
                                and not i.base_name.startswith(("_", "."))
                                and (suffixes is None or i.path.endswith(suffixes)))
-                yield pd.DataFrame({"root": [root] * len(names), "path": names})
+                yield pd.DataFrame([(root, *f) for f in found], columns=["root", "path", "size"])
 
     roots = spark.createDataFrame([(path,)], "root string")
-    return roots.mapInPandas(lister, "root string, path string")
+    return roots.mapInPandas(lister, "root string, path string, size long")
 
 
 def glob_regex(glob: str) -> str:
@@ -204,18 +223,24 @@ def glob_regex(glob: str) -> str:
     return "^" + "".join(out) + "$"
 
 
-def read_scripts(spark, path: str, path_glob: str | None = None, opened=None) -> DataFrame:
-    """``(file, pos, stmt)`` for every script file under ``path`` (one task per file).
+def read_scripts(spark, path: str, path_glob: str | None = None, opened=None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``(file, pos, stmt)`` for every script file under ``path``.
 
-    Files are opened through pyarrow filesystems inside the tasks and streamed (gzip / bzip2 by
-    extension): a task holds one statement at a time, never a whole file, and names with ``:``
-    work. Files whose names start with ``_`` or ``.`` (commit markers) are skipped. ``opened`` is an accumulator
-    that counts the files opened.
+    Files are opened through pyarrow filesystems inside the tasks, so names with ``:`` work. Plain files larger than
+    ``block_bytes`` are read by many tasks (:mod:`script_blocks`); any other file is streamed by one, gzip and bzip2 by
+    extension, holding one statement at a time. Files whose names start with ``_`` or ``.`` (commit markers) are
+    skipped. ``opened`` is an accumulator that counts the files opened by the streaming tasks.
     """
     files = _list_files(spark, path)
     if path_glob:
         files = files.where(F.element_at(F.split("path", "/"), -1).rlike(glob_regex(path_glob)))
-    n = max(1, files.count())
+    large = ~F.lower("path").rlike(COMPRESSED_RE) & (F.col("size") > block_bytes)
+    streamed = _streamed(files.where(~large), opened)
+    return streamed.unionByName(read_blocks(files.where(large), block_bytes)) if files.where(large).limit(1).count() else streamed
+
+
+def _streamed(files: DataFrame, opened=None) -> DataFrame:
+    """Statements of files, a task a file."""
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -231,14 +256,15 @@ def read_scripts(spark, path: str, path_glob: str | None = None, opened=None) ->
                     rows = ((p, i, st) for i, st in enumerate(statements_of(_blocks(handle))))
                     yield from _batched(rows, ["file", "pos", "stmt"])
 
-    return files.repartition(n, "path").mapInPandas(split, SPLIT_SCHEMA)
+    # dealt in turn, so that no task gets two files while another has none
+    return files.repartition(max(1, files.count())).mapInPandas(split, SPLIT_SCHEMA)
 
 
 ARCHIVE_SCHEMA = "archive string, member string, pos long, stmt string"
 
 
 def read_archives(spark, path: str) -> DataFrame:
-    """Statements of every ``.sql`` member of every tar archive under ``path``.
+    """Statements of every file member of every tar archive under ``path``.
 
     Archives (tar, tgz, tbz2) are streamed member by member inside one task per archive: a tar
     is not splittable, but the task holds one statement at a time, never the archive or a member.
@@ -266,7 +292,7 @@ def read_archives(spark, path: str) -> DataFrame:
                         rows = ((p, m.name, i, st) for i, st in enumerate(statements_of(blocks)))
                         yield from _batched(rows, ["archive", "member", "pos", "stmt"])
 
-    return files.repartition(n, "path").mapInPandas(members, ARCHIVE_SCHEMA)
+    return files.repartition(n).mapInPandas(members, ARCHIVE_SCHEMA)
 
 
 def statements_in_lines(lines: DataFrame, value: str = "value") -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tablevault.functions.literals import EXACT
 from tablevault.operators.audit import dump_report
-from tablevault.operators.restore import run_restore
+from tablevault.operators.restore import read_scripts, run_restore
+from tablevault.operators.statements import insert_single
 from tablevault.plans.checks import plan, read
 from tablevault.plans.script import DumpOptions, dump
 from tablevault.session import ensure_checkpoint_dir
@@ -110,3 +111,38 @@ def dump_report_mixed_case(spark, sf_dir):
     ts.add_table("d", "orders", orders.select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("s")), ["k"])
     ts.add_table("d", "\u00c9t\u00e9", read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")), ["k"])
     return dump_report(dump(ts, ["d"], DumpOptions(skip_extended_insert=True)))
+
+
+def _duck_blocks() -> str:
+    text = "'INSERT INTO `documents` (`doc_id`, `text`) VALUES (' || doc_id || ',' || chr(39) || {} || chr(39) || ');'"
+    body = "text"
+    for raw, esc in (("chr(92)", "chr(92) || chr(92)"), ("chr(39)", "chr(92) || chr(39)"), ("chr(34)", "chr(92) || chr(34)"),
+                     ("chr(10)", "chr(92) || 'n'"), ("chr(13)", "chr(92) || 'r'")):
+        body = f"replace({body}, {raw}, {esc})"
+    comment = "'/* ' || lang || ' ; it' || chr(39) || 's' || chr(10) || '\"open */' || chr(10) || "
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i,
+    {comment}{text.format(body)} AS stmt,
+    sum(CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 0 END) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM documents)
+SELECT CAST(i + coalesce(before, 0) AS BIGINT) AS pos, stmt FROM d
+UNION ALL
+SELECT CAST(i + coalesce(before, 0) + 1 AS BIGINT),
+  'CREATE PROCEDURE p' || doc_id || '()' || chr(10) || 'BEGIN' || chr(10) || 'SELECT ' || chr(39) || 'a;' || chr(10) || ';b' || chr(39) || ';' || chr(10) || 'END'
+FROM d WHERE doc_id % 10 = 0"""
+
+
+@plan("read_script_blocks", _duck_blocks())
+def read_script_blocks(spark, sf_dir):
+    """Documents as one script file with comments and strings over several lines and stored programs between, read back in
+    blocks of 50 kB: every statement at its position."""
+    docs = read(spark, sf_dir, "documents")
+    insert = insert_single(docs.select("doc_id", "text"), "documents", keep=["doc_id"])
+    text = F.concat(F.lit("/* "), F.col("lang"), F.lit(" ; it's\n\"open */\n"), F.col("stmt"))
+    program = F.concat(F.lit("\nDELIMITER //\nCREATE PROCEDURE p"), F.col("doc_id").cast("string"),
+                       F.lit("()\nBEGIN\nSELECT 'a;\n;b';\nEND//\nDELIMITER ;"))
+    rows = insert.join(docs.select("doc_id", "lang"), "doc_id").orderBy("doc_id").select(
+        F.concat(text, F.when(F.col("doc_id") % 10 == 0, program).otherwise(F.lit(""))).alias("value"))
+    path = fresh(spark, "blocks")
+    rows.coalesce(1).write.text(path)
+    return read_scripts(spark, path, block_bytes=50_000).select("pos", "stmt")
