@@ -5,9 +5,8 @@ scores and types, the algorithm, and the normaliser's settings. ``backend`` rebu
 ``tokenizers.Tokenizer``: the compiled character map, the metaspace mark, unigram scores or the merges
 that the scores imply, byte fallback. Batches are encoded by the library's threads inside a task.
 
-Parity: the ids of every text are decoded again and must give the normalised text, and every text is
-encoded by sentencepiece as well. Where one of the two fails, sentencepiece's own ids are returned and the
-row says so.
+Parity: every text is encoded by sentencepiece as well; where the ids differ, sentencepiece's are returned and the row
+says so. The ids returned are decoded again and must give the normalised text; the row says whether they do.
 
 Defined results: a null or empty text has no ids and decodes to the empty string; strings that look
 like control pieces are ordinary text; a metaspace mark (U+2581) in a text decodes to a space, as in SentencePiece itself; lone surrogates cannot occur in Spark strings; equal rows get
@@ -16,6 +15,8 @@ equal results; other columns do not matter.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -23,9 +24,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.pandas.functions import arrow_udf, pandas_udf
 
 from tablevault.llm.common import once
 
@@ -173,26 +175,31 @@ class Encoder:
                 for e in self.tokenizer.encode_batch_fast(normal, add_special_tokens=False)]
 
     def decode(self, ids) -> str:
-        table = self.bytes
-        text = b"".join([table[i] for i in ids]).decode("utf-8", "replace")
+        text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
 def encoded(texts: list[str], encoder: Encoder, parity_every: int) -> list[tuple]:
-    """The fields of ``FIELDS`` for each text."""
+    """The fields of ``FIELDS`` for each text.
+
+    Where sentencepiece gives other ids, they are its own, and the round trip is theirs.
+    """
     out = []
     normal = [encoder.normal(t) for t in texts]
-    for text, norm, ids in zip(texts, normal, encoder.encode(normal), strict=True):
+    checked = [parity_every == 1 or zlib.crc32(t.encode()) % parity_every == 0 for t in texts]
+    theirs = iter(encoder.reference.encode(list(itertools.compress(texts, checked)), num_threads=1))
+    for text, norm, ids, check in zip(texts, normal, encoder.encode(normal), checked, strict=True):
         want = norm.replace(SPACE, " ") if encoder.model.escape else norm
         want = want[1:] if encoder.model.dummy_prefix and want.startswith(" ") else want
-        own = ids.tolist()
-        whole = encoder.decode(own) == want
-        same = None
-        if not whole or zlib.crc32(text.encode()) % parity_every == 0:
-            theirs = encoder.reference.encode(text, num_threads=1)
-            same = own == theirs
-            if not same:
-                ids = np.array(theirs, dtype=np.int32)
+        other = next(theirs) if check else None
+        if other is None:
+            whole, same = encoder.decode(ids.tolist()) == want, None
+            if not whole:
+                other = encoder.reference.encode(text, num_threads=1)
+        if other is not None:
+            as_array = np.array(other, dtype=np.int32)
+            same = np.array_equal(ids, as_array)
+            ids, whole = as_array, encoder.decode(other) == want
         out.append((ids, len(ids), int(encoder.is_byte[ids].sum()), whole, same))
     return out
 
@@ -205,6 +212,22 @@ def _model_bytes(path: str) -> bytes:
     return data
 
 
+@functools.lru_cache(maxsize=2)
+def _encoder(data: bytes) -> Encoder:
+    """One encoder a worker process, kept from task to task."""
+    return Encoder(data)
+
+
+def _columns(rows: list[tuple]) -> pa.StructArray:
+    """``FIELDS`` as Arrow columns, the ids as one run of numbers with the texts' ends."""
+    ids, n, n_bytes, whole, same = zip(*rows, strict=True) if rows else ((),) * 5
+    ends = np.cumsum([0, *n], dtype=np.int32)
+    values = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
+    arrays = [pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32())), pa.array(n, pa.int32()),
+              pa.array(n_bytes, pa.int32()), pa.array(whole, pa.bool_()), pa.array(same, pa.bool_())]
+    return pa.StructArray.from_arrays(arrays, names=[f.split()[0] for f in FIELDS.split(", ")])
+
+
 def encode(docs: DataFrame, text_col: str = "text", out: str = "pieces", model: str = MODEL,
            parity_every: int = PARITY_EVERY, batch: int = 64) -> DataFrame:
     """``docs`` with a struct column ``out`` of ``FIELDS``.
@@ -212,16 +235,16 @@ def encode(docs: DataFrame, text_col: str = "text", out: str = "pieces", model:
     The driver reads the model file and sends it with the tasks, so executors need no copy of it.
     """
     data = _model_bytes(model)
-    names = [f.split()[0] for f in FIELDS.split(", ")]
 
-    @pandas_udf(FIELDS)
-    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(data)
+    @arrow_udf(FIELDS)
+    def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = _encoder(data)
         for texts in batches:
-            texts = ["" if t is None else t for t in texts]
-            for i in range(0, len(texts), batch):  # few ids in flight, however large the Arrow batch
-                rows = encoded(texts[i:i + batch], encoder, parity_every)
-                yield pd.DataFrame(rows, columns=names).astype({"parity": "object"})
+            texts = ["" if t is None else t for t in texts.to_pylist()]
+            parts = []
+            for i in range(0, len(texts), batch):  # few texts in flight, however large the Arrow batch
+                parts.append(_columns(encoded(texts[i:i + batch], encoder, parity_every)))
+            yield pa.concat_arrays(parts) if parts else _columns([])
 
     return docs.withColumn(out, once(pieces)(F.col(text_col).cast("string")))
 
@@ -232,7 +255,7 @@ def decode(df: DataFrame, ids_col: str, out: str = "text", model: str = MODEL) -
 
     @pandas_udf("string")
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = Encoder(data)
+        encoder = _encoder(data)
         for ids in batches:
             yield pd.Series([encoder.decode(x.tolist()) if x is not None else "" for x in ids], dtype=object)
 
