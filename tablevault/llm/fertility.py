@@ -113,6 +113,26 @@ def _script(letters: np.ndarray) -> str:
     return min(seen, key=lambda k: (-seen[k], k)) if seen else "NONE"
 
 
+#: White space of the vocabulary's pattern, in runs too long for its look-ahead (which keeps a stack of the run).
+LONG_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % (1 << 16))
+
+
+def token_ids(text: str, encoding) -> np.ndarray:
+    """The tokens of a text, however long its runs of white space.
+
+    The pattern takes a run of white space as one part, but for its last character where something follows; so a
+    long run is encoded by itself, and the text around it as it stands.
+    """
+    parts, at = [], 0
+    for run in LONG_BLANKS.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        parts += [encoding.encode_to_numpy(text[at:run.start()], disallowed_special=()),
+                  np.array(encoding._encode_single_piece(text[run.start():end]), dtype=np.uint32)]
+        at = end
+    parts.append(encoding.encode_to_numpy(text[at:], disallowed_special=()))
+    return np.concatenate(parts) if len(parts) > 1 else parts[0]
+
+
 def measure(text: str | None, v: Vocabularies) -> tuple:
     text = (text or "").encode("utf-8", "replace").decode()
     codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
@@ -121,7 +141,7 @@ def measure(text: str | None, v: Vocabularies) -> tuple:
     if not words:
         return (0, 0, n_symbols, 0, 0, 0, 0.0, 0.0, "NONE")
     letters = codes[(codes != 32) & ((codes < 9) | (codes > 13))]
-    tokens = v.encoding.encode_to_numpy(text, disallowed_special=())
+    tokens = token_ids(text, v.encoding)
     each = np.bincount(tokens)
     share = each[each > 0] / len(tokens)
     width = 1 + (codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + (codes > 0xFFFF)

@@ -357,3 +357,25 @@ def test_line_chunks_find_every_passage_of_two_lines_and_more(spark, small_docs)
     rows = [tuple(x) for x in small_docs.filter("text is not null and doc_id is not null").select("doc_id", "text").collect()]
     assert {x.doc_id: x.text for x in line_chunks.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {
         i: "\n".join(x) for i, x in brute_lines(rows).items()}
+
+
+def test_long_runs_of_white_space():
+    folder = fertility.FOLDER
+    v = fertility.Vocabularies(f"{folder}/{fertility.RANKS}", fertility.PATTERN, f"{folder}/{fertility.FALLBACK}")
+    for blanks in (" ", "\n ", "　", "\t\r\n"):
+        run = (blanks * (1 << 17))[:1 << 17]
+        for text in (run, f"a{run}", f"{run}b", f"one{run}two {run}three\n", f"x{run}​{run}."):
+            assert fertility.token_ids(text, v.encoding).tolist() == v.encoding.encode_ordinary(text)
+    words = "word " * 60
+    assert fertility.measure(words + " " * 2_000_000 + words, v)[0] == 120
+
+
+def test_lines_that_end_in_carriage_returns(spark):
+    from tablevault.llm import line_chunks
+
+    rows = [(1, "one line\r\n\r\n\r\nanother"), (2, "other words\r\n\r\n\r\nat the end"), (3, "\r\n \t\r\nlast\r\n\r\n"),
+            (4, "same line\r\nnext line\r\nmine"), (5, "yours\r\nsame line\r\n\r\nnext line\r\n"), (6, "so\r\nsame line\r\nnext line\r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_chunks.remove_repeated(docs).collect()}
+    # blank lines are no content; the repeated pair goes at its second place, not where a blank line parts it
+    assert got == dict(rows) | {6: "so\r"}
