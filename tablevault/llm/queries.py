@@ -13,6 +13,7 @@ from tablevault.llm import (
     html_trees,
     licenses,
     line_chunks,
+    oracles,
     packing,
     prefix_trie,
     probminhash,
@@ -91,4 +92,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
                             op7_sentencepiece_tokenizers, op8_url_trees, op9_suffix_buckets, op10_line_chunks,
                             op11_cyk_repair, op12_sum_of_squares_packing, op13_prefix_trie)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_cyk_repair": oracles.repair(), "op13_prefix_trie": oracles.trie()}
