@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablevault.operators.common import broadcast_if_small
+from tablevault.operators.common import broadcast_if_small, broadcast_known
 
 # Script lines that change from run to run and are left out of a comparison
 # (dump banner, completion time) - blank lines are dropped as well.
@@ -32,14 +32,14 @@ def dump_report(script: DataFrame) -> DataFrame:
 
     data = script.where((F.col("section") == TABLES) & (F.col("part") == DATA))
     size = F.octet_length("value").cast("long")
-    return data.groupBy("db", _table_of_key("table_key").alias("table")).agg(
+    return data.groupBy("db", table_of_key("table_key").alias("table")).agg(
         F.count(F.lit(1)).alias("n_statements"),
         F.sum(size + 1).alias("n_bytes"),
         F.max(size).alias("max_statement_bytes"),
     )
 
 
-def _table_of_key(name: str) -> Column:
+def table_of_key(name: str) -> Column:
     """The table's name from its place in a script (a name that is not in lower case stands behind its lower form)."""
     lower, own = F.substring_index(name, "\u0001", 1), F.expr(f"substr({name}, instr({name}, '\\u0001') + 1)")
     return F.when(F.col(name).contains("\u0001") & (F.lower(own) == lower), own).otherwise(F.col(name))
@@ -74,16 +74,55 @@ def stable_lines(script_lines: DataFrame, value: str = "value") -> DataFrame:
     return lines.where(~F.col(value).rlike(VOLATILE_LINE_RE))
 
 
+#: Ranges of hashes that are compared first; a difference of few lines makes as many of them differ.
+RANGES = 1 << 16
+
+
+def _signed_lines(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
+    """(_line, _n, _range) of both scripts' stable lines: 1 on the side of ``a``, -1 on that of ``b``."""
+    return _ranged(stable_lines(a.select(value), value).select(F.col(value).alias("_line"), F.lit(1).alias("_n"))
+                   .unionByName(stable_lines(b.select(value), value).select(F.col(value).alias("_line"), F.lit(-1).alias("_n"))))
+
+
+def _ranged(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("_range", F.pmod(F.xxhash64("_line"), F.lit(RANGES)).cast("int"))
+
+
+def _unequal_ranges(signed: DataFrame) -> DataFrame:
+    """(_range) where the two sides' lines are not the same multiset.
+
+    A range's fingerprint is its number of lines and the sums of the halves of two 64-bit hashes of them, each side
+    against the other. Only these numbers are shuffled, summed before by each task; unequal multisets agree in them with
+    a chance of about 2**-100.
+    """
+    sums = [F.sum("_n").alias("_lines")]
+    for i, h in enumerate((F.xxhash64(F.lit(1), "_line"), F.xxhash64(F.lit(2), "_line"))):
+        low, high = h.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")), F.shiftright(h, 32)
+        sums += [F.sum(F.col("_n") * part).alias(f"_{name}{i}") for name, part in (("low", low), ("high", high))]
+    odd = signed.groupBy("_range").agg(*sums)
+    unequal = F.lit(False)
+    for c in odd.columns[1:]:
+        unequal = unequal | (F.col(c) != 0)
+    return odd.where(unequal).select("_range")
+
+
+def unequal_ranges(a: DataFrame, b: DataFrame, value: str = "value") -> DataFrame:
+    """(_range) of the hash ranges in which two scripts differ, volatile lines ignored; at most ``RANGES`` rows."""
+    return _unequal_ranges(_signed_lines(a, b, value))
+
+
 def verify_snapshot(a: DataFrame, b: DataFrame, value: str = "value") -> DataFrame:
     """A2: multiset difference of two scripts, both ways, volatile lines ignored.
 
+    Lines fall into ranges of their hash, and the ranges' fingerprints are compared first. Only the lines of ranges that
+    differ meet as text, so that equal scripts shuffle no text at all, and others little more than what differs.
     Returns ``(side, value)``: side 'a' rows occur more often in ``a`` than in ``b``, and so on.
     Empty result = same snapshot.
     """
-    both = (stable_lines(a.select(value), value).select(F.col(value).alias("_line"), F.lit(1).alias("_n"))
-            .unionByName(stable_lines(b.select(value), value).select(F.col(value).alias("_line"), F.lit(-1).alias("_n"))))
-    # one pass, one exchange: lines of a count that does not even out
-    odd = both.groupBy("_line").agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    both = _signed_lines(a, b, value)
+    # at most RANGES numbers
+    few = both.join(broadcast_known(_unequal_ranges(both), RANGES), "_range", "left_semi")
+    odd = few.groupBy("_line").agg(F.sum("_n").alias("_n")).where("_n <> 0")
     side = F.when(F.col("_n") > 0, F.lit("a")).otherwise(F.lit("b"))
     return odd.select(side.alias("side"), F.explode(F.array_repeat("_line", F.abs("_n").cast("int"))).alias(value))
 

@@ -196,7 +196,7 @@ def _batched(rows, columns):
 
 
 def _list_files(spark, path: str, suffixes: tuple[str, ...] | None = None) -> DataFrame:
-    """Every file under ``path`` (recursive), listed in one task through pyarrow filesystems."""
+    """Every file under ``path`` (recursive, without hidden ones), listed in one task through pyarrow filesystems."""
     from tablevault.sources.listing import normalize_url
 
     def lister(batches):
@@ -207,7 +207,7 @@ def _list_files(spark, path: str, suffixes: tuple[str, ...] | None = None) -> Da
                 filesystem, base = fs.FileSystem.from_uri(normalize_url(root))
                 infos = filesystem.get_file_info(fs.FileSelector(base, recursive=True))
                 found = sorted((i.path, i.size) for i in infos if i.type == fs.FileType.File
-                               and not i.base_name.startswith(("_", "."))
+                               and not any(part.startswith(("_", ".")) for part in i.path[len(base):].split("/"))
                                and (suffixes is None or i.path.endswith(suffixes)))
                 yield pd.DataFrame([(root, *f) for f in found], columns=["root", "path", "size"])
 
@@ -223,15 +223,20 @@ def glob_regex(glob: str) -> str:
     return "^" + "".join(out) + "$"
 
 
-def read_scripts(spark, path: str, path_glob: str | None = None, opened=None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def read_scripts(spark, path: str, path_glob: str | None = None, opened=None, block_bytes: int = BLOCK_BYTES,
+                 only: DataFrame | None = None) -> DataFrame:
     """``(file, pos, stmt)`` for every script file under ``path``.
 
     Files are opened through pyarrow filesystems inside the tasks, so names with ``:`` work. Plain files larger than
     ``block_bytes`` are read by many tasks (:mod:`script_blocks`); any other file is streamed by one, gzip and bzip2 by
-    extension, holding one statement at a time. Files whose names start with ``_`` or ``.`` (commit markers) are
-    skipped. ``opened`` is an accumulator that counts the files opened by the streaming tasks.
+    extension, holding one statement at a time. Files and folders whose names start with ``_`` or ``.`` (commit markers,
+    manifests) are skipped. ``only`` (file: ``db=<name>/<part>``, as in a manifest) keeps the others closed. ``opened`` is an accumulator
+    that counts the files opened by the streaming tasks.
     """
     files = _list_files(spark, path)
+    if only is not None:
+        name = F.regexp_extract("path", r"(db=[^/]+/[^/]+)$", 1)
+        files = files.join(broadcast_if_small(only.select(F.col("file").alias("_file"))), name == F.col("_file"), "left_semi")
     if path_glob:
         files = files.where(F.element_at(F.split("path", "/"), -1).rlike(glob_regex(path_glob)))
     large = ~F.lower("path").rlike(COMPRESSED_RE) & (F.col("size") > block_bytes)
@@ -500,18 +505,22 @@ def stage_statements(stmts: DataFrame) -> tuple[DataFrame, str]:
 
 
 def run_restore(spark, path: str, dest: str, include: list[str] | None = None, mapping: dict[str, str] | None = None,
-                opened=None) -> Restored:
+                opened=None, tables: list[tuple[str, str]] | None = None) -> Restored:
     """Restore a dump from its files alone: read, choose (R3) and rename (R2) databases, load (R4), publish.
 
     The files under ``path/db=<name>/`` are a database's script; they are read once, however many tables they hold.
     Column types come from the script's own CREATE TABLE statements, and computed columns, which INSERTs leave out, are
     evaluated again. Tables land in ``dest/<database>/<table>``; a database's tables are published together or not at
     all. Returns the published tables of each database; views, triggers and routines are named in ``left_out``.
-    ``opened`` is an accumulator that counts the files opened.
+    ``tables`` (db, table) restores these alone; where the dump has a manifest, only files that hold wanted data are
+    opened (programs in others are not seen then). ``opened`` is an accumulator that counts the files opened.
     """
+    from tablevault.sinks.manifest import files_of, has_manifest
     from tablevault.sinks.writers import remove_folder, restore_tables
 
-    stmts = read_scripts(spark, path, opened=opened).withColumn(
+    chosen = tables is not None or include is not None
+    only = files_of(spark, path, tables, include) if chosen and has_manifest(spark, path) else None
+    stmts = read_scripts(spark, path, opened=opened, only=only).withColumn(
         "db", F.url_decode(F.regexp_extract("file", r"/db=([^/]+)/", 1)))
     if include is not None:
         stmts = filter_databases(stmts, spark.createDataFrame([(d,) for d in include], "db string"))
@@ -519,13 +528,14 @@ def run_restore(spark, path: str, dest: str, include: list[str] | None = None, m
     published = Restored()
     try:
         found = [(r["db"], table) for r in staged.where(F.col("kind") == TABLE).select("db", "stmt").collect()
-                 if (table := parse_create_table(r["stmt"])) is not None]
+                 if (table := parse_create_table(r["stmt"])) is not None
+                 and (tables is None or (r["db"], table.name) in tables)]
         for db in sorted({d for d, _ in found}):
             mine = staged.where((F.col("kind") == DATA) & (F.col("db") == db))
-            tables = {t.name: with_computed(load_inserts(mine.where(F.col("tbl") == t.name), t.name, t.stored()), t)
-                      for d, t in found if d == db}
+            frames = {t.name: with_computed(load_inserts(mine.where(F.col("tbl") == t.name), t.name, t.stored()), t)
+                      for d, t in sorted(found, key=lambda x: x[1].name) if d == db}
             target = (mapping or {}).get(db, db)
-            published[target] = restore_tables(tables, f"{dest.rstrip('/')}/{target}")
+            published[target] = restore_tables(frames, f"{dest.rstrip('/')}/{target}")
         programs = staged.where(F.col("kind") == PROGRAM).select("db", "tbl", "stmt")
         named = programs.select("db", F.upper(F.regexp_extract("stmt", CREATES_RE, 1)).alias("kind"), "tbl").distinct()
         published.left_out = sorted(tuple(r) for r in named.collect())

@@ -16,8 +16,9 @@ from tablevault.operators.statements import insert_single
 from tablevault.plans.checks import plan, read
 from tablevault.plans.script import DumpOptions, dump
 from tablevault.session import ensure_checkpoint_dir
+from tablevault.sinks.manifest import manifest_report, verify_manifest
 from tablevault.sinks.writers import write_dump
-from tablevault.sources.tableset import TableSet
+from tablevault.sources.tableset import TableSet, parquet_tableset
 
 
 def fresh(spark, name: str) -> str:
@@ -146,3 +147,30 @@ def read_script_blocks(spark, sf_dir):
     path = fresh(spark, "blocks")
     rows.coalesce(1).write.text(path)
     return read_scripts(spark, path, block_bytes=50_000).select("pos", "stmt")
+
+
+def _duck_single(db: str, table: str, columns: list[tuple[str, str]]) -> str:
+    """One row per INSERT of a table: db, table, text."""
+    names = ", ".join(f"`{c}`" for c, _ in columns)
+    values = " || ',' || ".join(e for _, e in columns)
+    return (f"SELECT '{db}' AS db, '{table}' AS \"table\", 'INSERT INTO `{table}` ({names}) VALUES (' || {values} || ');' AS stmt"
+            f" FROM {table}")
+
+
+@plan("manifest_report_sales", "WITH s AS (" + " UNION ALL ".join([
+    _duck_single("sales", "orders", [("o_orderkey", "o_orderkey"), ("o_custkey", "o_custkey"), ("o_orderstatus", "chr(39) || o_orderstatus || chr(39)")]),
+    _duck_single("sales", "nation", [("n_nationkey", "n_nationkey"), ("n_name", "chr(39) || n_name || chr(39)")]),
+    _duck_single("web", "events", [("event_id", "event_id"), ("event_type", "chr(39) || event_type || chr(39)")])]) + """)
+SELECT db, "table", count(*) AS n_statements, count(*) AS n_rows, CAST(sum(strlen(stmt) + 1) AS BIGINT) AS n_bytes,
+  CAST(0 AS BIGINT) AS n_unsound FROM s GROUP BY db, "table" """)
+def manifest_report_sales(spark, sf_dir):
+    """A dump of two databases with its manifest: what it says of each table, and that the files agree."""
+    ts = parquet_tableset(spark, sf_dir, layout={"sales": ["orders", "nation"], "web": ["events"]})
+    few = TableSet(spark)
+    for db, table, names in (("sales", "orders", ["o_orderkey", "o_custkey", "o_orderstatus"]), ("sales", "nation", ["n_nationkey", "n_name"]),
+                             ("web", "events", ["event_id", "event_type"])):
+        few.add_table(db, table, ts.read(db, table).select(*names), names[:1])
+    path = fresh(spark, "manifest")
+    write_dump(dump(few, ["sales", "web"], DumpOptions(mode=EXACT, skip_extended_insert=True)), path, num_partitions=12, manifest=True)
+    unsound = verify_manifest(spark, path).count()
+    return manifest_report(spark, path).select("db", "table", "n_statements", "n_rows", "n_bytes", F.lit(unsound).cast("long").alias("n_unsound"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablevault.plans.script import assemble
+from tablevault.sinks.manifest import write_manifest
 
 # Compression names the writer accepts and the Hadoop codec each one selects.
 CODECS = {"gzip": "gzip", "bzip2": "bzip2", "none": "none"}
@@ -26,13 +27,30 @@ def codec(name: str) -> str:
 
 
 def write_dump(script: DataFrame, path: str, compression: str = "gzip", num_partitions: int | None = None,
-               mode: str = "errorifexists") -> None:
+               mode: str = "errorifexists", manifest: bool = False) -> None:
     """W1 + W2: one ``db=<name>`` directory per database; sorted part names give the script.
 
     The rows are range-partitioned and sorted on the script order first; the writer then only
-    splits each sorted partition by ``db`` (it needs no sort of its own, so the order stays).
+    splits each sorted partition by ``db`` (it needs no sort of its own, so the order stays). With ``manifest`` the sorted
+    rows are checkpointed, and an index of the part files is written last (:mod:`manifest`).
     """
     ordered = assemble(script, num_partitions)
+    if manifest:
+        ordered = _numbered(ordered)
+    _write_parts(ordered, path, compression, mode)
+    if manifest:
+        write_manifest(ordered, path)
+
+
+def _numbered(ordered: DataFrame) -> DataFrame:
+    """An assembled script whose partitions are fixed, with the number of each row's partition and part file."""
+    from tablevault.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(ordered.sparkSession)
+    return ordered.withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
+
+
+def _write_parts(ordered: DataFrame, path: str, compression: str, mode: str = "errorifexists") -> None:
     (ordered.select("db", "value").write.mode(mode).option("compression", codec(compression))
      .partitionBy("db").text(path))
 
@@ -42,19 +60,17 @@ def push(script: DataFrame, targets: list[str], compression: str = "gzip",
     """Write the same dump to each target in turn; the first failure stops the run.
 
     The sorted script is checkpointed once (``spark.checkpoint.dir``), so every target gets the
-    same bytes without recomputing the dump. Returns one upload result per target.
+    same bytes without recomputing the dump; each gets its manifest. Returns one upload result per target.
     """
     import datetime as dt
 
-    from tablevault.session import ensure_checkpoint_dir
-
     spark = script.sparkSession
-    ensure_checkpoint_dir(spark)
-    ordered = assemble(script, num_partitions).select("db", "value").checkpoint(eager=True)
+    ordered = _numbered(assemble(script, num_partitions))
     results = []
     for target in targets:
         start = dt.datetime.now(dt.timezone.utc)
-        ordered.write.mode("errorifexists").option("compression", codec(compression)).partitionBy("db").text(target)
+        _write_parts(ordered, target, compression)
+        write_manifest(ordered, target)
         end = dt.datetime.now(dt.timezone.utc)
         files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
                  .option("pathGlobFilter", "part-*").load(target)

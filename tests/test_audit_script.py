@@ -230,3 +230,20 @@ def test_unkeyed_dump_spreads_by_text_hash_and_is_stable(spark, tmp_out):
     plan = assemble(dump(ts, ["db01"], opts), 8)._jdf.queryExecution().executedPlan().toString()
     range_key = plan[plan.index("rangepartitioning("):].split(", 8)")[0]
     assert "_vh" in range_key and "value" not in range_key
+
+
+def test_equal_scripts_shuffle_no_text_and_differences_stay_in_their_ranges(spark):
+    from tablevault.operators.audit import unequal_ranges, verify_snapshot
+
+    lines = spark.range(20_000).selectExpr("concat('line ', id % 15000) value")
+    assert unequal_ranges(lines, lines.orderBy("value")).count() == 0
+    assert verify_snapshot(lines, lines.repartition(7)).count() == 0
+    other = lines.where("value <> 'line 14000'").union(spark.sql("SELECT 'line 3' value UNION ALL SELECT 'new'"))
+    assert 2 <= unequal_ranges(lines, other).count() <= 3
+    got = sorted(tuple(r) for r in verify_snapshot(lines, other).collect())
+    assert got == [("a", "line 14000"), ("b", "line 3"), ("b", "new")]
+    # lines that would cancel out in a sum without their number, and pairs that swap sides
+    a, b = (spark.createDataFrame([(x,) for x in t], "value string") for t in (["x", "x", "y"], ["x", "y", "y"]))
+    assert sorted(tuple(r) for r in verify_snapshot(a, b).collect()) == [("a", "x"), ("b", "y")]
+    plan = verify_snapshot(lines, lines)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
