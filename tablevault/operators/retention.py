@@ -130,8 +130,9 @@ def prune(listing: DataFrame, policies: DataFrame, now, target: str = "target",
     """Candidates over many targets; each target's policy picks the age or the count rule.
 
     ``listing``: (target, filename, ...); ``policies``: (target, retention). Returns the
-    candidates with ``rule`` ('age' or 'count'). Targets without a policy are left alone.
+    candidates with ``rule`` ('age' or 'count'). Targets without a policy are left alone; no policy at all is an error.
     """
+    require_targets(policies)
     pol = validate_policy(policies).select(target, "hours", "count")
     pol = broadcast_if_small(pol)
     classified = classify_names(listing).join(pol, target)

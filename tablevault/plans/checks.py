@@ -654,7 +654,7 @@ def _duck_script_sales() -> str:
 def script_sales(spark, sf_dir):
     ts = parquet_tableset(spark, sf_dir)
     opts = DumpOptions(max_allowed_packet=SCRIPT_PACKET, completed_at=SCRIPT_DONE)
-    return dump(ts, ["sales"], opts)
+    return dump(ts, ["sales"], opts).drop("n_rows")
 
 
 # --- A5: streaming dump ------------------------------------------------------------------------------
@@ -672,5 +672,5 @@ def stream_dump_events(spark, sf_dir):
     return spark.read.text(f"{base}/out").select(F.col("value").alias("stmt"))
 
 
-# the plans of restore register themselves with this module's PLANS and ORACLES
-from tablevault.plans import restore_checks  # noqa: E402, F401
+# the plans of restore and of whole runs register themselves with this module's PLANS and ORACLES
+from tablevault.plans import restore_checks, run_checks  # noqa: E402, F401

@@ -135,6 +135,8 @@ def delete_backups(candidates: DataFrame, dry_run: bool = True) -> DataFrame:
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
+        from tablevault.sources.listing import normalize_url
+
         cache: dict[str, tuple] = {}
         for pdf in batches:
             deleted, errors = [], []
@@ -144,10 +146,9 @@ def delete_backups(candidates: DataFrame, dry_run: bool = True) -> DataFrame:
                     errors.append(None)
                     continue
                 try:
-                    base = target if "://" in target else "file://" + target
-                    if base not in cache:
-                        cache[base] = fs.FileSystem.from_uri(base)
-                    filesystem, root = cache[base]
+                    if target not in cache:
+                        cache[target] = fs.FileSystem.from_uri(normalize_url(target))
+                    filesystem, root = cache[target]
                     full = root.rstrip("/") + "/" + name
                     kind = filesystem.get_file_info(full).type
                     if kind == fs.FileType.Directory:

@@ -120,7 +120,7 @@ def catalog_tableset(spark: SparkSession, databases: list[str] | None = None) ->
     for db in dbs:
         for t in spark.catalog.listTables(db):
             if t.tableType == "VIEW":
-                ts.add_view(db, t.name, t.description or "")
+                ts.add_view(db, t.name, spark.sql(f"SHOW CREATE TABLE `{db}`.`{t.name}`").first()[0])
             elif not t.isTemporary:
                 ts.add_table(db, t.name, lambda d=db, n=t.name: spark.table(f"`{d}`.`{n}`"))
     return ts
