@@ -5,6 +5,7 @@ Each has its DuckDB oracle beside it, as in :mod:`tablevault.plans.checks`, whic
 
 from __future__ import annotations
 
+import base64
 import datetime as dt
 
 import pandas as pd
@@ -13,13 +14,14 @@ from pyspark.sql import functions as F
 from tablevault.functions.literals import EXACT
 from tablevault.functions.names import parse_target
 from tablevault.operators.audit import run_report
-from tablevault.operators.restore import read_archives, read_scripts
+from tablevault.operators.restore import load_inserts, read_archives, read_scripts
 from tablevault.operators.retention import classify_names, prune_by_count
 from tablevault.operators.statements import insert_single, with_positions
 from tablevault.plans.backup import run_backup
 from tablevault.plans.checks import plan, read
 from tablevault.plans.restore_checks import fresh
 from tablevault.plans.script import PROGRAM_SETTINGS_AFTER, PROGRAM_SETTINGS_BEFORE, DumpOptions, Programs, dump
+from tablevault.sinks.encrypted import key_provider, read_encrypted_scripts, write_encrypted_dump
 from tablevault.sinks.writers import delete_backups, write_dump
 from tablevault.sources.listing import list_backups
 from tablevault.sources.tableset import TableSet, big_table, tables, tableset_from_catalog
@@ -272,3 +274,15 @@ def big_table_rows(spark, sf_dir):
     rows = big_table(spark, read(spark, sf_dir, "orders").count())
     return rows.select(F.col("id").cast("string").alias("id"), F.decode("payload", "UTF-8").alias("payload"),
                        F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+
+
+@plan("encrypted_dump", "SELECT o_orderkey, o_orderpriority, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS day FROM orders")
+def encrypted_dump(spark, sf_dir):
+    """Orders written as encrypted part files and loaded from them."""
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate")
+    provider = key_provider(base64.b64encode(bytes(range(32))).decode())
+    path = fresh(spark, "encrypted")
+    script = dump(TableSet(spark).add_table("d", "orders", orders, ["o_orderkey"]), ["d"], DumpOptions(mode=EXACT, max_allowed_packet=65536))
+    write_encrypted_dump(script, path, provider, num_partitions=8)
+    back = load_inserts(read_encrypted_scripts(spark, path, provider), "orders", orders.schema)
+    return back.select("o_orderkey", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("day"))
