@@ -379,3 +379,16 @@ def test_lines_that_end_in_carriage_returns(spark):
     got = {r.doc_id: r.text for r in line_chunks.remove_repeated(docs).collect()}
     # blank lines are no content; the repeated pair goes at its second place, not where a blank line parts it
     assert got == dict(rows) | {6: "so\r"}
+
+
+def test_quotes_hold_values_after_an_equals_sign_only():
+    from tablevault.llm import html_trees
+
+    def tags(html):
+        return [m[0] for m in html_trees.MARKUP.finditer(html)]
+
+    assert tags("<p title=don't>Text one, it's here</p>") == ["<p title=don't>", "</p>"]
+    assert tags("<p 'a\" b>x \"y\" > z</p>") == ["<p 'a\" b>", "</p>"]
+    assert tags("<a title = 'x > y' href=\"a>b\">t</a>") == ["<a title = 'x > y' href=\"a>b\">", "</a>"]
+    assert tags("<p class=\"open>text</p><b>it's</b>") == ["<p class=\"open>", "</p>", "<b>", "</b>"]
+    assert tags("<img alt=''/><br/><!-- ' -->'<i>") == ["<img alt=''/>", "<br/>", "<!-- ' -->", "<i>"]
