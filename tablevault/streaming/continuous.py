@@ -13,19 +13,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from tablevault.functions.literals import COMPAT
-from tablevault.operators.statements import insert_single
+from tablevault.operators.statements import DEFAULT_MAX_PACKET, insert_extended, insert_single
 from tablevault.sinks.writers import codec
 
 
 def dump_stream(stream: DataFrame, table: str, out_path: str, checkpoint_location: str,
                 frequency_minutes: int | None = None, once: bool = False, mode: str = COMPAT,
-                compression: str = "gzip", columns: list[str] | None = None) -> StreamingQuery:
-    """Start a streaming dump of ``stream`` into ``out_path/batch=<id>/part-*``."""
+                compression: str = "gzip", columns: list[str] | None = None, extended: bool = False,
+                key: list[str] | None = None, max_packet: int = DEFAULT_MAX_PACKET) -> StreamingQuery:
+    """Start a streaming dump of ``stream`` into ``out_path/batch=<id>/part-*``.
+
+    With ``extended`` each batch's rows are packed (D3), in ``key`` order within the batch; a statement never spans batches.
+    """
     comp = codec(compression)
     cols = columns or stream.columns
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        stmts = insert_single(batch, table, columns=cols, mode=mode)
+        if extended:
+            packed = insert_extended(batch, table, key=key, max_packet=max_packet, columns=cols, mode=mode)
+            stmts = packed.repartitionByRange("seq").sortWithinPartitions("seq").select("stmt")
+        else:
+            stmts = insert_single(batch, table, columns=cols, mode=mode)
         stmts.write.mode("overwrite").option("compression", comp).text(f"{out_path.rstrip('/')}/batch={batch_id}")
 
     writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_location)

@@ -49,3 +49,19 @@ def test_the_number_of_jobs_does_not_grow_with_the_tables(spark):
         jobs[many] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"many{many}"))
         spark.sparkContext.setJobGroup("", "")
     assert jobs[200] <= jobs[20] + 2 and jobs[200] < 60
+
+
+def test_streamed_batches_are_packed(spark, tmp_out):
+    from tablevault.operators.restore import load_script_lines
+    from tablevault.streaming.continuous import dump_stream, file_stream
+
+    rows = spark.range(500).select("id", F.concat(F.lit("s"), F.col("id").cast("string")).alias("s"))
+    rows.repartition(4).write.parquet(f"{tmp_out}/in")
+    stream = file_stream(spark, f"{tmp_out}/in", rows.schema, max_files_per_trigger=2)
+    dump_stream(stream, "t", f"{tmp_out}/out", f"{tmp_out}/ckpt", once=True, extended=True, key=["id"], max_packet=400,
+                mode="exact").awaitTermination()
+    lines = spark.read.text(f"{tmp_out}/out")
+    assert lines.select("batch").distinct().count() == 2
+    assert 10 < lines.count() < 40 and lines.agg(F.max(F.octet_length("value"))).first()[0] <= 401
+    back = load_script_lines(lines, {"t": rows.schema})["t"]
+    assert back.exceptAll(rows).count() == 0 and rows.exceptAll(back).count() == 0
