@@ -505,7 +505,7 @@ def stage_statements(stmts: DataFrame) -> tuple[DataFrame, str]:
 
 
 def run_restore(spark, path: str, dest: str, include: list[str] | None = None, mapping: dict[str, str] | None = None,
-                opened=None, tables: list[tuple[str, str]] | None = None) -> Restored:
+                opened=None, tables: list[tuple[str, str]] | None = None, versioned: bool = False) -> Restored:
     """Restore a dump from its files alone: read, choose (R3) and rename (R2) databases, load (R4), publish.
 
     The files under ``path/db=<name>/`` are a database's script; they are read once, however many tables they hold.
@@ -513,9 +513,11 @@ def run_restore(spark, path: str, dest: str, include: list[str] | None = None, m
     evaluated again. Tables land in ``dest/<database>/<table>``; a database's tables are published together or not at
     all. Returns the published tables of each database; views, triggers and routines are named in ``left_out``.
     ``tables`` (db, table) restores these alone; where the dump has a manifest, only files that hold wanted data are
-    opened (programs in others are not seen then). ``opened`` is an accumulator that counts the files opened.
+    opened (programs in others are not seen then). With ``versioned`` each database's tables become a new version of
+    its folder, at one moment for every reader (:mod:`versions`). ``opened`` is an accumulator that counts the files opened.
     """
     from tablevault.sinks.manifest import files_of, has_manifest
+    from tablevault.sinks.versions import publish_version
     from tablevault.sinks.writers import remove_folder, restore_tables
 
     chosen = tables is not None or include is not None
@@ -524,7 +526,7 @@ def run_restore(spark, path: str, dest: str, include: list[str] | None = None, m
         "db", F.url_decode(F.regexp_extract("file", r"/db=([^/]+)/", 1)))
     if include is not None:
         stmts = filter_databases(stmts, spark.createDataFrame([(d,) for d in include], "db string"))
-    staged, folder = stage_statements(stmts)
+    staged, scratch = stage_statements(stmts)
     published = Restored()
     try:
         found = [(r["db"], table) for r in staged.where(F.col("kind") == TABLE).select("db", "stmt").collect()
@@ -535,10 +537,15 @@ def run_restore(spark, path: str, dest: str, include: list[str] | None = None, m
             frames = {t.name: with_computed(load_inserts(mine.where(F.col("tbl") == t.name), t.name, t.stored()), t)
                       for d, t in sorted(found, key=lambda x: x[1].name) if d == db}
             target = (mapping or {}).get(db, db)
-            published[target] = restore_tables(frames, f"{dest.rstrip('/')}/{target}")
+            place = f"{dest.rstrip('/')}/{target}"
+            if versioned:
+                publish_version(frames, place)
+                published[target] = list(frames)
+            else:
+                published[target] = restore_tables(frames, place)
         programs = staged.where(F.col("kind") == PROGRAM).select("db", "tbl", "stmt")
         named = programs.select("db", F.upper(F.regexp_extract("stmt", CREATES_RE, 1)).alias("kind"), "tbl").distinct()
         published.left_out = sorted(tuple(r) for r in named.collect())
     finally:
-        remove_folder(spark, folder)
+        remove_folder(spark, scratch)
     return published

@@ -20,6 +20,7 @@ from tablevault.operators.audit import (check_begin, dump_report, first_run, mis
 from tablevault.operators.restore import (load_inserts, load_scripts, mapping_frame, read_scripts,
                                           remap_databases, run_restore)
 from tablevault.plans.script import DumpOptions, Programs, dump
+from tablevault.plans.registry import ORACLES, PLANS, plan, read  # noqa: F401
 from tablevault.session import ensure_checkpoint_dir
 from tablevault.sinks.writers import decrypt_column, encrypt_column, write_dump
 from tablevault.streaming.continuous import dump_stream, file_stream
@@ -37,24 +38,6 @@ from tablevault.operators.statements import insert_extended, insert_single
 from tablevault.plans.duck_sql import (TABLE_COLUMNS, _sq, duck_insert, duck_packed_whole, duck_prefix,
                                        duck_table_pre, duck_tuple)
 
-PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def plan(name: str, oracle: str | None = None):
-    def deco(fn):
-        PLANS[name] = fn
-        if oracle is not None:
-            ORACLES[name] = oracle
-        return fn
-
-    return deco
-
-
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
-
-
 # --- L1-L13, D1, D2 ---------------------------------------------------------------------------
 
 @plan("row_tuples_customer", f"""

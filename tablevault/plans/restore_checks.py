@@ -5,27 +5,20 @@ Each has its DuckDB oracle beside it, as in :mod:`tablevault.plans.checks`, whic
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tablevault.functions.literals import EXACT
 from tablevault.operators.audit import dump_report
 from tablevault.operators.restore import read_scripts, run_restore
 from tablevault.operators.statements import insert_single
-from tablevault.plans.checks import plan, read
+from tablevault.plans.registry import fresh, plan, read
 from tablevault.plans.script import DumpOptions, dump
-from tablevault.session import ensure_checkpoint_dir
 from tablevault.sinks.manifest import manifest_report, verify_manifest
+from tablevault.sinks.versions import current_version, read_published
 from tablevault.sinks.writers import write_dump
 from tablevault.sources.tableset import TableSet, parquet_tableset
 
 
-def fresh(spark, name: str) -> str:
-    """A folder of one run in the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 #: A table with a column of every type, as its server would show it.
 ALL_TYPES = """CREATE TABLE `all types` (
   `id` bigint NOT NULL COMMENT 'it''s the key, (unique)',
@@ -174,3 +167,21 @@ def manifest_report_sales(spark, sf_dir):
     write_dump(dump(few, ["sales", "web"], DumpOptions(mode=EXACT, skip_extended_insert=True)), path, num_partitions=12, manifest=True)
     unsound = verify_manifest(spark, path).count()
     return manifest_report(spark, path).select("db", "table", "n_statements", "n_rows", "n_bytes", F.lit(unsound).cast("long").alias("n_unsound"))
+
+
+@plan("restore_versions", """
+SELECT 'before' AS version, o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0
+UNION ALL SELECT 'current', o_orderkey, o_orderstatus FROM orders""")
+def restore_versions(spark, sf_dir):
+    """Two restores of a table into one place: a reader of the first version keeps it while the second is published."""
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    base = fresh(spark, "versions")
+    found = []
+    for name, rows in (("before", orders.where("o_orderkey % 2 = 0")), ("current", orders)):
+        ts = TableSet(spark).add_table("d", "orders", rows, ["o_orderkey"])
+        write_dump(dump(ts, ["d"], DumpOptions(mode=EXACT)), f"{base}/{name}")
+        run_restore(spark, f"{base}/{name}", f"{base}/out", versioned=True)
+        found.append(current_version(spark, f"{base}/out/d"))
+    before = spark.read.parquet(f"{found[0]}/orders").select(F.lit("before").alias("version"), "o_orderkey", "o_orderstatus")
+    current = read_published(spark, f"{base}/out/d", "orders")
+    return before.unionByName(current.select(F.lit("current").alias("version"), "o_orderkey", "o_orderstatus"))

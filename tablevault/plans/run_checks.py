@@ -18,8 +18,7 @@ from tablevault.operators.restore import load_inserts, read_archives, read_scrip
 from tablevault.operators.retention import classify_names, prune_by_count
 from tablevault.operators.statements import insert_single, with_positions
 from tablevault.plans.backup import run_backup
-from tablevault.plans.checks import plan, read
-from tablevault.plans.restore_checks import fresh
+from tablevault.plans.registry import fresh, plan, read
 from tablevault.plans.script import PROGRAM_SETTINGS_AFTER, PROGRAM_SETTINGS_BEFORE, DumpOptions, Programs, dump
 from tablevault.sinks.encrypted import key_provider, read_encrypted_scripts, write_encrypted_dump
 from tablevault.sinks.writers import delete_backups, write_dump
