@@ -15,6 +15,9 @@ VOLATILE_LINE_RE = r"(?i)^\s*(-- (tablevault SQL dump|Go SQL Dump|MySQL dump) .*
 MINUTES_RE = r"^\+([0-9]+)$"
 CLOCK_RE = r"^([0-9][0-9])([0-9][0-9])$"
 
+# Fixed value: the message for a begin option that is none of these; the option follows in quotes.
+BAD_BEGIN = "invalid format for begin delay '"
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -179,8 +182,8 @@ def first_run(begin, from_ts) -> Column:
 
 
 def check_begin(begin) -> Column:
-    """A4 validation: fails the job with the reference's message for an invalid option."""
+    """A4 validation: an invalid option fails the job."""
     b = _col(begin)
     ok = b.rlike(MINUTES_RE) | b.rlike(CLOCK_RE)
     return F.when(ok, b).otherwise(F.raise_error(
-        F.concat(F.lit("invalid format for begin delay '"), b, F.lit("'"))))
+        F.concat(F.lit(BAD_BEGIN), b, F.lit("'"))))
