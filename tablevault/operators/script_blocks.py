@@ -9,6 +9,7 @@ another entry are counted again from their own.
 
 Statements that lie within a block leave their task whole; the two ends of a block, which belong to statements that go
 on in its neighbours, meet in a grouping by statement number. Positions count statements as one pass over the file would.
+A task takes many small blocks, one after another, so that the number of tasks follows the bytes.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from tablevault.session import ensure_checkpoint_dir
 
 BLOCK_BYTES = 64 << 20
+#: Blocks of about so many bytes are one task.
+TASK_BYTES = 16 << 20
 READ_AHEAD = 1 << 16
 
 #: What a line can begin within, and text that leads there.
@@ -73,8 +76,10 @@ def scan(data: bytes, context: str, delimiter: bytes) -> tuple[list[bytes], byte
 
 EXIT = "context_out string, delimiter_out string"
 STATE = "root string, path string, size long, block long, context string, delimiter string"
-SUMMARY = f"{STATE}, {EXIT}, n_cuts long, inner long, head_blank boolean, rest_blank boolean"
+SUMMARY = f"{STATE}, {EXIT}, n_cuts long, inner long, head_blank boolean, rest_blank boolean, head long, rest long"
 SUMMARY_NAMES = [f.split(" ")[0] for f in SUMMARY.split(", ")]
+#: Rows of a frame handed on at once.
+BATCH_ROWS = 1000
 
 
 def _open(root: str, path: str):
@@ -85,26 +90,49 @@ def _open(root: str, path: str):
     return fs.FileSystem.from_uri(normalize_url(root))[0].open_input_file(path)
 
 
+def _block_data(batches: Iterator[pd.DataFrame], block_bytes: int) -> Iterator[tuple]:
+    """Each row with the bytes of its block; rows in succession share an open file and a block's bytes."""
+    file, block, handle, data = None, None, None, b""
+    try:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                if (r.root, r.path) != file:
+                    if handle is not None:
+                        handle.close()
+                    handle, file, block = _open(r.root, r.path), (r.root, r.path), None
+                if r.block != block:
+                    data, block = block_bytes_of(handle, r.block, r.size, block_bytes), r.block
+                yield r, data
+    finally:
+        if handle is not None:
+            handle.close()
+
+
 def _summaries(blocks: DataFrame, block_bytes: int) -> DataFrame:
-    """``SUMMARY`` of blocks with their entry states."""
+    """``SUMMARY`` of blocks with their entry states; ``blocks`` are dealt to tasks already."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                with _open(r.root, r.path) as handle:
-                    data = block_bytes_of(handle, r.block, r.size, block_bytes)
-                delimiter = UNCHANGED if r.delimiter is None else r.delimiter.encode()
-                pieces, rest, context, after = scan(data, r.context, delimiter)
-                yield pd.DataFrame([(*r, context, None if after == UNCHANGED else after.decode(), len(pieces),
-                                     sum(1 for p in pieces[1:] if p.strip()), not (pieces and pieces[0].strip()),
-                                     not rest.strip())], columns=SUMMARY_NAMES)
+        held = []
+        for r, data in _block_data(batches, block_bytes):
+            delimiter = UNCHANGED if r.delimiter is None else r.delimiter.encode()
+            pieces, rest, context, after = scan(data, r.context, delimiter)
+            held.append((*r, context, None if after == UNCHANGED else after.decode(), len(pieces),
+                         sum(1 for p in pieces[1:] if p.strip()), not (pieces and pieces[0].strip()), not rest.strip(),
+                         len(pieces[0]) if pieces else len(data), len(rest) if pieces else 0))
+            if len(held) >= BATCH_ROWS:
+                yield pd.DataFrame(held, columns=SUMMARY_NAMES)
+                held = []
+        if held:
+            yield pd.DataFrame(held, columns=SUMMARY_NAMES)
 
-    return _spread(blocks).mapInPandas(run, SUMMARY).checkpoint()
+    return blocks.mapInPandas(run, SUMMARY).checkpoint()
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """One row a task, dealt in turn."""
-    return rows.repartition(max(1, rows.count()))
+def _spread(rows: DataFrame, block_bytes: int) -> DataFrame:
+    """Blocks dealt in turn to tasks of about ``TASK_BYTES``, one block at least; few blocks to all cores."""
+    many = rows.count()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(1, min(many, max(-(-many * block_bytes // TASK_BYTES), 2 * cores))))
 
 
 def _entries(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -120,7 +148,8 @@ def _entries(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=SUMMARY_NAMES[:6])
 
 
-PLACE = f"{STATE}, ordinal long, pos long, inner_pos long"
+PLACE = f"{STATE}, ordinal long, pos long, inner_pos long, rest_pos long, n_cuts long, head long, rest long"
+PLACE_NAMES = [f.split(" ")[0] for f in PLACE.split(", ")]
 
 
 def _places(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -129,45 +158,59 @@ def _places(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     blank, found = True, []
     for r in rows.sort_values("block").itertuples(index=False):
         ended = int(r.n_cuts > 0 and not (blank and r.head_blank))
-        found.append((r.root, r.path, int(r.size), int(r.block), r.context, r.delimiter, ordinal, pos, pos + ended))
+        found.append((r.root, r.path, int(r.size), int(r.block), r.context, r.delimiter, ordinal, pos, pos + ended,
+                      pos + ended + int(r.inner), int(r.n_cuts), int(r.head), int(r.rest)))
         pos += ended + int(r.inner)
         ordinal += int(r.n_cuts)
         blank = bool(r.rest_blank) and (blank or r.n_cuts > 0)
-    return pd.DataFrame(found, columns=[f.split(" ")[0] for f in PLACE.split(", ")])
+    return pd.DataFrame(found, columns=PLACE_NAMES)
 
 
-PIECES = "file string, ordinal long, pos long, part long, whole string, piece binary"
-PIECE_NAMES = [f.split(" ")[0] for f in PIECES.split(", ")]
+PIECES = "file string, ordinal long, pos long, part long, piece binary"
 
 
-def _pieces(places: DataFrame, block_bytes: int, batch_bytes: int) -> DataFrame:
-    """Whole statements of each block, and the pieces at its ends."""
+def _inner(places: DataFrame, block_bytes: int, batch_bytes: int) -> DataFrame:
+    """(file, pos, stmt) of the statements that lie within a block."""
+    from tablevault.operators.restore import SPLIT_SCHEMA
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from tablevault.operators.restore import _as_text
 
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                with _open(r.root, r.path) as handle:
-                    data = block_bytes_of(handle, r.block, r.size, block_bytes)
-                pieces, rest, _, _ = scan(data, r.context, r.delimiter.encode())
-                # the first piece ends what earlier blocks began, the rest goes on in later ones
-                held = [(r.path, r.ordinal, r.pos, r.block, None, pieces[0] if pieces else rest)]
-                size, pos = 0, r.inner_pos
-                for piece in pieces[1:]:
-                    if piece := piece.strip():
-                        held.append((r.path, None, pos, r.block, _as_text(piece), None))
-                        pos += 1
-                        size += len(piece)
-                        if size >= batch_bytes:
-                            yield pd.DataFrame(held, columns=PIECE_NAMES)
-                            held, size = [], 0
-                if pieces and rest:
-                    held.append((r.path, r.ordinal + len(pieces), pos, r.block, None, rest))
-                if held:
-                    yield pd.DataFrame(held, columns=PIECE_NAMES).astype({"ordinal": "Int64"})
-
-    return _spread(places).mapInPandas(run, PIECES)
+        held, size = [], 0
+        for r, data in _block_data(batches, block_bytes):
+            pos = r.inner_pos
+            for piece in scan(data, r.context, r.delimiter.encode())[0][1:]:
+                if piece := piece.strip():
+                    held.append((r.path, pos, _as_text(piece)))
+                    pos += 1
+                    size += len(piece)
+                    if size >= batch_bytes:
+                        yield pd.DataFrame(held, columns=["file", "pos", "stmt"])
+                        held, size = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=["file", "pos", "stmt"])
+
+    return places.mapInPandas(run, SPLIT_SCHEMA)
+
+
+def _ends(places: DataFrame, block_bytes: int, batch_bytes: int) -> DataFrame:
+    """``PIECES`` at the ends of blocks, cut out by their lengths: the first ends what earlier blocks began, the last goes
+    on in later ones."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for r, data in _block_data(batches, block_bytes):
+            held.append((r.path, r.ordinal, r.pos, r.block, data[:r.head]))
+            if r.rest:
+                held.append((r.path, r.ordinal + r.n_cuts, r.rest_pos, r.block, data[len(data) - r.rest:]))
+            size += r.head + r.rest
+            if size >= batch_bytes:
+                yield pd.DataFrame(held, columns=["file", "ordinal", "pos", "part", "piece"])
+                held, size = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=["file", "ordinal", "pos", "part", "piece"])
+
+    return places.mapInPandas(run, PIECES)
 
 
 def _meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -191,19 +234,19 @@ def read_blocks(files: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     last = F.floor((F.col("size") - 1) / block_bytes)
     blocks = files.where("size > 0").select("root", "path", F.col("size").cast("long").alias("size"),
                                             F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
+    blocks = _spread(blocks, block_bytes)
     usual = blocks.select("*", F.lit(USUAL[0]).alias("context"), F.lit(USUAL[1]).alias("delimiter"))
     found = _summaries(usual, block_bytes)
     odd = found.where((F.col("context_out") != USUAL[0]) | (F.col("delimiter_out") != USUAL[1])).select("root", "path").distinct()
     if odd.limit(1).count():
         kinds = F.explode(F.array(*[F.lit(c) for c in CONTEXTS])).alias("context")
-        every = blocks.join(odd, ["root", "path"], "left_semi").select("*", kinds, F.lit(None).cast("string").alias("delimiter"))
-        entries = (_summaries(every, block_bytes).drop("n_cuts", "inner", "head_blank", "rest_blank")
+        few = _spread(found.join(odd, ["root", "path"], "left_semi").select("root", "path", "size", "block"), block_bytes)
+        every = few.select("*", kinds, F.lit(None).cast("string").alias("delimiter"))
+        entries = (_summaries(every, block_bytes).drop("n_cuts", "inner", "head_blank", "rest_blank", "head", "rest")
                    .groupBy("root", "path").applyInPandas(_entries, STATE).checkpoint())
         others = entries.where((F.col("context") != USUAL[0]) | (F.col("delimiter") != USUAL[1]))
-        again = _summaries(others, block_bytes)
+        again = _summaries(_spread(others, block_bytes), block_bytes)
         found = found.join(others.select("root", "path", "block"), ["root", "path", "block"], "left_anti").unionByName(again)
-    places = found.groupBy("root", "path").applyInPandas(_places, PLACE).checkpoint()
-    pieces = _pieces(places, block_bytes, BATCH_BYTES)
-    whole = pieces.where("whole IS NOT NULL").select("file", "pos", F.col("whole").alias("stmt"))
-    met = pieces.where("piece IS NOT NULL").groupBy("file", "ordinal").applyInPandas(_meet, SPLIT_SCHEMA)
-    return whole.unionByName(met)
+    places = _spread(found.groupBy("root", "path").applyInPandas(_places, PLACE).checkpoint(), block_bytes)
+    met = _ends(places, block_bytes, BATCH_BYTES).groupBy("file", "ordinal").applyInPandas(_meet, SPLIT_SCHEMA)
+    return _inner(places, block_bytes, BATCH_BYTES).unionByName(met)

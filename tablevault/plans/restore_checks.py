@@ -135,10 +135,11 @@ def read_script_blocks(spark, sf_dir):
     text = F.concat(F.lit("/* "), F.col("lang"), F.lit(" ; it's\n\"open */\n"), F.col("stmt"))
     program = F.concat(F.lit("\nDELIMITER //\nCREATE PROCEDURE p"), F.col("doc_id").cast("string"),
                        F.lit("()\nBEGIN\nSELECT 'a;\n;b';\nEND//\nDELIMITER ;"))
-    rows = insert.join(docs.select("doc_id", "lang"), "doc_id").orderBy("doc_id").select(
-        F.concat(text, F.when(F.col("doc_id") % 10 == 0, program).otherwise(F.lit(""))).alias("value"))
+    # the texts are made before the sort: the one task that writes the file does nothing else
+    rows = insert.join(docs.select("doc_id", "lang"), "doc_id").select(
+        "doc_id", F.concat(text, F.when(F.col("doc_id") % 10 == 0, program).otherwise(F.lit(""))).alias("value"))
     path = fresh(spark, "blocks")
-    rows.coalesce(1).write.text(path)
+    rows.orderBy("doc_id").select("value").coalesce(1).write.text(path)
     return read_scripts(spark, path, block_bytes=50_000).select("pos", "stmt")
 
 

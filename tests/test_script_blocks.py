@@ -67,3 +67,14 @@ def test_a_statement_over_many_blocks(spark, tmp_out):
         f.write("SELECT 1;\n" + long + "\nSELECT 2;\n")
     got = sorted((r.pos, r.stmt) for r in read_scripts(spark, tmp_out, block_bytes=1000).collect())
     assert got == [(0, "SELECT 1;"), (1, long), (2, "SELECT 2;")]
+
+
+def test_many_small_blocks_share_tasks(spark, tmp_out):
+    """The number of tasks follows the bytes, not the blocks."""
+    texts = [f"/* {i} ; it's\n\"open */\nINSERT INTO `t` VALUES ({i},'x');" for i in range(2000)]
+    with open(f"{tmp_out}/a.sql", "w") as f:
+        f.write("\n".join(texts) + "\n")
+    found = read_scripts(spark, tmp_out, block_bytes=40)
+    assert found.rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism
+    got = sorted((r.pos, r.stmt) for r in found.collect())
+    assert got == list(enumerate(texts))
