@@ -21,7 +21,7 @@ from tablevault.functions.literals import COMPAT, quote_ident, row_tuple
 from tablevault.operators.common import broadcast_known
 from tablevault.operators.statements import (DEFAULT_MAX_PACKET, FAN, FUNCTION, NOTHING_OPEN, _comparable, _composer,
                                              _evaluate, _partition_function, insert_prefix)
-from tablevault.session import ensure_checkpoint_dir
+from tablevault.session import ensure_checkpoint_dir, small_arrow_batches
 
 
 @dataclass
@@ -215,6 +215,7 @@ def insert_many(tables: list[TableRows], max_packet: int = DEFAULT_MAX_PACKET, m
         raise ValueError("max_packet must be at least 2 bytes")
     spark = tables[0].df.sparkSession
     ensure_checkpoint_dir(spark)
+    small_arrow_batches(spark)
     prefixes = {t.tid: t.prefix() for t in tables}
     limits = {tid: max_packet - len(p.encode("utf-8")) + 1 for tid, p in prefixes.items()}
     heads = spark.createDataFrame(list(prefixes.items()), "tid int, prefix string")

@@ -160,7 +160,7 @@ def split_script_text(text: str) -> list[str]:
 #: Names that are streamed, as their bytes cannot be read from the middle.
 COMPRESSED_RE = r"\.(gz|tgz|bz2|tbz2)$"
 READ_BYTES = 1 << 20
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 1 << 20
 
 
 def _blocks(handle) -> Iterator[bytes]:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tablevault.functions.literals import COMPAT, quote_ident, row_tuple
 from tablevault.operators.common import broadcast_known
-from tablevault.session import ensure_checkpoint_dir
+from tablevault.session import ensure_checkpoint_dir, small_arrow_batches
 
 DEFAULT_MAX_PACKET = 4194304
 #: Partitions (or groups of them) composed in one task.
@@ -269,6 +269,7 @@ def insert_extended(df: DataFrame, table: str, key: list[str] | None = None,
     """
     if max_packet < 2:
         raise ValueError("max_packet must be at least 2 bytes")
+    small_arrow_batches(df.sparkSession)
     cols = columns or df.columns
     prefix = insert_prefix(table, cols)
     limit = max_packet - len(prefix.encode("utf-8")) + 1

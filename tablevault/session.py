@@ -55,3 +55,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="tablevault-ckpt-")
     sc.setCheckpointDir(path)
     return path
+
+
+#: Bytes of rows in one Arrow batch on its way to Python, where text takes several times its size.
+ARROW_BATCH_BYTES = 2 << 20
+
+
+def small_arrow_batches(spark: SparkSession) -> None:
+    """Bound the memory that rows of any length take on their way to Python, unless the session says otherwise.
+
+    Spark's own bounds are 10,000 rows, whatever their length, and 64 MiB.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, str(ARROW_BATCH_BYTES))
