@@ -38,3 +38,26 @@ def test_statements_are_handed_on_in_small_frames():
     frames = list(restore._batched(rows, ["file", "pos", "stmt"]))
     assert sum(len(f) for f in frames) == 20
     assert max(int(f["stmt"].str.len().sum()) for f in frames) <= 2 << 20
+
+
+def test_functions_of_runs_come_in_small_batches(spark, monkeypatch):
+    """The functions of all partitions of a large table are never held by one task."""
+    real = many_tables._starts
+
+    def probed(*args):
+        starts = real(*args)
+
+        def run(batches):
+            def watched():
+                for batch in batches:
+                    assert 32 * int(batch["g"].map(len).sum()) < 8 << 20
+                    yield batch
+
+            return starts(watched())
+
+        return run
+
+    monkeypatch.setattr(many_tables, "_starts", probed)
+    table = many_tables.TableRows(0, spark.range(800_000), "t", ["id"])
+    packed = many_tables.insert_many([table], 1 << 20, num_partitions=8)
+    assert packed.agg(F.sum("n_rows")).first()[0] == 800_000
