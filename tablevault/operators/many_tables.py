@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from tablevault.functions.literals import COMPAT, quote_ident, row_tuple
 from tablevault.operators.common import broadcast_known
-from tablevault.operators.statements import (DEFAULT_MAX_PACKET, FAN, FUNCTION, NOTHING_OPEN, _comparable, _composer,
-                                             _evaluate, _partition_function, insert_prefix)
+from tablevault.operators.statements import (DEFAULT_MAX_PACKET, FAN, FUNCTION, NOTHING_OPEN, Fold, _comparable, _composer,
+                                             _evaluate, insert_prefix)
 from tablevault.session import ensure_checkpoint_dir, small_arrow_batches
 
 
@@ -78,11 +78,10 @@ RUN_NAMES = ["tid", "at", "id", "g", "out", "n", "last", "total", "open"]
 
 def _runs(limits: dict[int, int]):
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tid, at, parts, index, pid = None, 0, [], 0, None
+        tid, at, run, index, pid = None, 0, None, 0, None
 
         def done() -> pd.DataFrame:
-            f = _partition_function(np.concatenate(parts), limits[tid])
-            return pd.DataFrame([(tid, at, pid, *f)], columns=RUN_NAMES)
+            return pd.DataFrame([(tid, at, pid, *run.done())], columns=RUN_NAMES)
 
         for batch in batches:
             if not len(batch):
@@ -92,12 +91,13 @@ def _runs(limits: dict[int, int]):
             cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if int(ids[a]) != tid:
-                    if parts:
+                    if run:
                         yield done()
-                    tid, at, parts = int(ids[a]), index + a, []
-                parts.append(sizes[a:b])
+                    tid, at = int(ids[a]), index + a
+                    run = Fold(limits[tid])
+                run.add(sizes[a:b])
             index += len(ids)
-        if parts:
+        if run:
             yield done()
 
     return fold

@@ -109,6 +109,8 @@ def with_positions(df: DataFrame, key: list[str], num_partitions: int | None = N
 
 FUNCTION = "id long, g array<long>, out array<long>, n array<long>, last array<long>, total long, open boolean"
 NOTHING_OPEN = 1 << 60  # more than any limit: the first tuple starts a statement
+#: Tuple sizes that a task holds before it makes a function of them.
+FOLD_ROWS = 1 << 16
 
 
 def _partition_function(sizes: np.ndarray, limit: int) -> tuple:
@@ -131,6 +133,51 @@ def _partition_function(sizes: np.ndarray, limit: int) -> tuple:
     return g[:firsts], out, count, last, total, firsts == n and (not n or int(g[-1]) <= limit)
 
 
+def _followed(f: tuple, then: tuple, limit: int, at: int = 0) -> tuple:
+    """The function of rows with function ``f`` and rows with function ``then`` after them, the first of which has index ``at``.
+
+    A tuple after the first one beyond the limit is never the first start, so the tables stay within a packet.
+    """
+    g, out, n, last, total, is_open = f
+    g2, out2, n2, last2, total2, open2 = then
+    entry = np.searchsorted(g2, limit - out, side="right")
+    starts = entry < len(g2)
+    entry = entry[starts]
+    out, n, last = np.minimum(out + total2, NOTHING_OPEN), n.copy(), last.copy()
+    out[starts], last[starts] = out2[entry], last2[entry] + at
+    n[starts] += n2[entry]
+    if is_open:  # carried bytes may reach the rows after untouched but for what came before
+        firsts = int(np.searchsorted(g2, limit - total, side="right")) + 1
+        g, out = np.concatenate([g, g2[:firsts] + total]), np.concatenate([out, out2[:firsts]])
+        n, last = np.concatenate([n, n2[:firsts]]), np.concatenate([last, last2[:firsts] + at])
+        is_open = bool(open2) and total + total2 <= limit
+    return g, out, n, last, total + total2, is_open
+
+
+class Fold:
+    """The function of rows that come in batches; holds ``FOLD_ROWS`` sizes and a packet's table, however many rows come."""
+
+    def __init__(self, limit: int):
+        self.limit, self.at, self.held, self.rows = limit, 0, [], 0
+        self.function = _partition_function(np.empty(0, dtype=np.int64), limit)
+
+    def add(self, sizes: np.ndarray) -> None:
+        for start in range(0, len(sizes), FOLD_ROWS):
+            part = sizes[start:start + FOLD_ROWS]
+            self.held.append(part)
+            self.rows += len(part)
+            if self.rows >= FOLD_ROWS:
+                self.done()
+
+    def done(self) -> tuple:
+        if self.held:
+            then = _partition_function(np.concatenate(self.held), self.limit)
+            self.function = _followed(self.function, then, self.limit, self.at)
+            self.at += self.rows
+            self.held, self.rows = [], 0
+        return self.function
+
+
 def _evaluate(f, carry: int, limit: int) -> tuple[int, int, int]:
     """(entry or -1 for no start, bytes carried out, statements started)."""
     i = int(np.searchsorted(np.asarray(f.g), limit - carry, side="right"))
@@ -193,14 +240,13 @@ def statement_bounds(sizes: DataFrame, limit: int, fan: int = FAN) -> DataFrame:
     """``BOUNDS`` per partition of ``sizes`` (_pid, size; one partition each, in row order)."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts, pid = [], None
+        run, pid = Fold(limit), None
         for batch in batches:
             if len(batch):
                 pid = int(batch["_pid"].iloc[0])
-                parts.append(batch["size"].to_numpy(dtype=np.int64))
+                run.add(batch["size"].to_numpy(dtype=np.int64))
         if pid is not None:
-            g, out, n, last, total, is_open = _partition_function(np.concatenate(parts), limit)
-            yield pd.DataFrame([(pid, g, out, n, last, total, is_open)],
+            yield pd.DataFrame([(pid, *run.done())],
                                columns=["id", "g", "out", "n", "last", "total", "open"])
 
     levels = [sizes.mapInPandas(fold, FUNCTION).checkpoint()]

@@ -1,5 +1,9 @@
 """Rows and statements go to and from Python in batches bounded by bytes, however many rows there are."""
 
+import tracemalloc
+
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +65,29 @@ def test_functions_of_runs_come_in_small_batches(spark, monkeypatch):
     table = many_tables.TableRows(0, spark.range(800_000), "t", ["id"])
     packed = many_tables.insert_many([table], 1 << 20, num_partitions=8)
     assert packed.agg(F.sum("n_rows")).first()[0] == 800_000
+
+
+@pytest.mark.parametrize("limit", [1, 40, 300, 5000, 10**9])
+def test_a_run_folded_in_pieces_has_the_function_of_the_whole(monkeypatch, limit):
+    sizes = np.random.default_rng(limit).integers(3, 90, 700)
+    whole = statements._partition_function(sizes, limit)
+    for piece in (1, 7, 699, 700):
+        monkeypatch.setattr(statements, "FOLD_ROWS", piece)
+        run = statements.Fold(limit)
+        for start in range(0, len(sizes), 50):
+            run.add(sizes[start:start + 50])
+        for got, expected in zip(run.done(), whole, strict=True):
+            assert np.array_equal(got, expected)
+
+
+def test_a_run_is_folded_without_holding_its_rows():
+    """Sizes of millions of rows of a partition become a function a packet long, batch by batch."""
+    batches = (pd.DataFrame({"tid": 0, "_pid": 3, "size": np.full(10_000, 100)}) for _ in range(300))
+    tracemalloc.start()
+    try:
+        found, = many_tables._runs({0: 1 << 20})(batches)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found["total"][0] == 3_000_000 * 101 and found["id"][0] == 3
+    assert peak < 24 << 20
