@@ -151,14 +151,15 @@ def run_bounds(rows: DataFrame, limits: dict[int, int], fan: int = FAN) -> DataF
     last = levels[0].agg(F.max("id")).first()[0] or 0
     parent = F.floor(F.col("id") / fan).cast("long").alias("parent")
     while last >= fan:
-        levels.append(levels[-1].groupBy("tid", parent).applyInPandas(_compose(limits), RUN).checkpoint())
+        levels.append(levels[-1].drop("last").groupBy("tid", parent).applyInPandas(_compose(limits), RUN).checkpoint())
         last //= fan
     zero = F.lit(0).cast("long")
-    walk = levels[-1].withColumns({"parent": zero, "carry": F.lit(NOTHING_OPEN), "base": zero})
+    # where the last start is matters to the partitions alone
+    walk = levels[-1].drop("last").withColumns({"parent": zero, "carry": F.lit(NOTHING_OPEN), "base": zero})
     walk = walk.groupBy("tid", "parent").applyInPandas(_walk(limits), WALK)
     for level in reversed(levels[:-1]):
         above = walk.withColumnRenamed("id", "parent")
-        walk = (level.withColumn("parent", F.floor(F.col("id") / fan).cast("long")).join(above, ["tid", "parent"])
+        walk = (level.drop("last").withColumn("parent", F.floor(F.col("id") / fan).cast("long")).join(above, ["tid", "parent"])
                 .groupBy("tid", "parent").applyInPandas(_walk(limits), WALK))
     return levels[0].join(walk, ["tid", "id"]).mapInPandas(_starts(limits), BOUNDS)
 

@@ -188,16 +188,11 @@ def _evaluate(f, carry: int, limit: int) -> tuple[int, int, int]:
 
 def _composer(limit: int):
     def compose(parent: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        g, out, n, total, is_open = [], [], [], 0, True
+        whole = Fold(limit).function
         for f in rows.sort_values("id").itertuples(index=False):
-            after = [_evaluate(f, o, limit) for o in out]
-            out, n = [a[1] for a in after], [x + a[2] for x, a in zip(n, after, strict=True)]
-            if is_open:  # carried bytes may reach this member untouched but for what came before
-                g += [int(x) + total for x in f.g]
-                out += [int(x) for x in f.out]
-                n += [int(x) for x in f.n]
-            total += int(f.total)
-            is_open = is_open and bool(f.open)
+            g, out, n = (np.asarray(x, dtype=np.int64) for x in (f.g, f.out, f.n))
+            whole = _followed(whole, (g, out, n, np.zeros_like(g), int(f.total), bool(f.open)), limit)
+        g, out, n, _, total, is_open = whole
         return pd.DataFrame([(int(parent[0]), g, out, n, [], total, is_open)],
                             columns=["id", "g", "out", "n", "last", "total", "open"])
 
@@ -253,14 +248,15 @@ def statement_bounds(sizes: DataFrame, limit: int, fan: int = FAN) -> DataFrame:
     many = levels[0].count()
     parent = (F.col("id") / fan).cast("long").alias("parent")
     while many > fan:
-        levels.append(levels[-1].groupBy(parent).applyInPandas(_composer(limit), FUNCTION).checkpoint())
+        levels.append(levels[-1].drop("last").groupBy(parent).applyInPandas(_composer(limit), FUNCTION).checkpoint())
         many = levels[-1].count()
     zero = F.lit(0).cast("long")
-    walk = levels[-1].withColumns({"parent": zero, "carry": F.lit(NOTHING_OPEN), "base": zero})
+    # where the last start is matters to the partitions alone
+    walk = levels[-1].drop("last").withColumns({"parent": zero, "carry": F.lit(NOTHING_OPEN), "base": zero})
     walk = walk.groupBy("parent").applyInPandas(_walker(limit), WALK)
     for level in reversed(levels[:-1]):
         above = walk.withColumnRenamed("id", "parent")
-        walk = (level.withColumn("parent", (F.col("id") / fan).cast("long")).join(above, "parent")
+        walk = (level.drop("last").withColumn("parent", (F.col("id") / fan).cast("long")).join(above, "parent")
                 .groupBy("parent").applyInPandas(_walker(limit), WALK))
     return levels[0].join(walk, "id").mapInPandas(_starts(limit), BOUNDS)
 

@@ -91,3 +91,16 @@ def test_a_run_is_folded_without_holding_its_rows():
         tracemalloc.stop()
     assert found["total"][0] == 3_000_000 * 101 and found["id"][0] == 3
     assert peak < 24 << 20
+
+
+def test_a_composed_function_stays_within_a_packet():
+    """Partitions smaller than a packet: what their group can do first ends with the first tuple beyond the limit."""
+    limit, rng = 1000, np.random.default_rng(4)
+    parts = [rng.integers(3, 90, rng.integers(0, 12)) for _ in range(200)]
+    members = pd.DataFrame([(i, *statements._partition_function(p, limit)) for i, p in enumerate(parts)],
+                           columns=["id", "g", "out", "n", "last", "total", "open"])
+    found = statements._composer(limit)((0,), members).iloc[0]
+    whole = statements._partition_function(np.concatenate(parts), limit)
+    for got, expected in zip((found["g"], found["out"], found["n"], found["total"], found["open"]),
+                             (*whole[:3], *whole[4:]), strict=True):
+        assert np.array_equal(got, expected)
